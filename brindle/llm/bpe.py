@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -104,3 +105,31 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", key:
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+
+
+def tokens(df: DataFrame, ranks: str, pattern: str, text: str = "text", piece: int = _PIECE) -> DataFrame:
+    """`df` without `text`, with ids (array<int>), n_tokens and whole (the ids decode to the text's bytes). Null counts as empty."""
+    keep = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = load(ranks, pattern)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                b = batch.slice(lo, 500)
+                texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+                ids = [encode(enc, t, piece) for t in texts]
+                whole = [enc.decode_bytes(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat = np.fromiter((i for x in ids for i in x), np.int32, off[-1])
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists, pa.array(np.diff(off).astype(np.int64)), pa.array(whole, pa.bool_())], [*keep, "ids", "n_tokens", "whole"])
+
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, text).mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, whole boolean")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's columns but the text, with its ids, n_tokens, and whether they decode to the text."""
+    import public_tokenizers
+
+    return tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -96,8 +96,29 @@ def decode(model: dict, margin: np.ndarray) -> tuple[str, float]:
     return model["langs"][best], float(p[best])
 
 
-def _has_letter(text: str | None) -> bool:
-    return bool(text) and any(c.isalpha() for c in text)
+def labels(col: pa.Array, model: dict) -> tuple[list[str], list[float]]:
+    """Predicted language and score of each text of a column."""
+    data, off = flat(col)
+    lang, score = [UND] * len(col), [0.0] * len(col)
+    if not model["langs"]:
+        return lang, score
+    for i, j in slices(off, 1 << 17):
+        part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        grams = list(zip(NGRAMS, _grams(part), strict=False)) if len(part) else []
+        ascii_letter = ((part | 32) >= 97) & ((part | 32) <= 122)
+        letters = np.concatenate([[0], np.cumsum(ascii_letter)])
+        other = np.concatenate([[0], np.cumsum(part >= 128)])
+        for k in range(j - i):
+            s, e = o[k], o[k + 1]
+            if letters[e] == letters[s] and (other[e] == other[s] or not any(c.isalpha() for c in part[s:e].tobytes().decode("utf-8", "replace"))):
+                continue
+            x = np.zeros(DIM)
+            for n, g in grams:
+                x += np.bincount(g[s : max(s, e - n + 1)], minlength=DIM)
+            x = np.sqrt(x)
+            x = (x / max(1e-12, np.sqrt((x * x).sum()))).astype(np.float32)
+            lang[i + k], score[i + k] = decode(model, x @ model["w"] + model["b"])
+    return lang, score
 
 
 def predict(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -106,30 +127,25 @@ def predict(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = flat(b.column(0))
-            lang, score = [UND] * b.num_rows, [0.0] * b.num_rows
-            for i, j in slices(off, 1 << 17):
-                part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                grams = [(n, g) for n, g in zip(NGRAMS, _grams(part), strict=False)] if len(part) else []
-                alpha = np.concatenate([[0], np.cumsum((part >= 128) | ((part | 32) >= 97) & ((part | 32) <= 122))])
-                for k in range(j - i):
-                    s, e = o[k], o[k + 1]
-                    if alpha[e] == alpha[s]:
-                        continue
-                    if not (((part[s:e] | 32) >= 97) & ((part[s:e] | 32) <= 122)).any() and not _has_letter(part[s:e].tobytes().decode("utf-8", "replace")):
-                        continue
-                    x = np.zeros(DIM)
-                    for n, g in grams:
-                        x += np.bincount(g[s : max(s, e - n + 1)], minlength=DIM)
-                    x = np.sqrt(x)
-                    x = (x / max(1e-12, np.sqrt((x * x).sum()))).astype(np.float32)
-                    lang[i + k], score[i + k] = decode(model, x @ model["w"] + model["b"]) if model["langs"] else (UND, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score])], [*keep, *names])
+            lang, score = labels(b.column(0), model)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
+def identified(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows of `df` whose text has a language; all columns stay."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _ = labels(b.column(at), model)
+            yield b.filter(pa.array([x != UND for x in lang], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def learn(df: DataFrame, usable, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG) -> dict:
     """Fit on at most `per_lang` documents of each language among the rows where `usable` holds.
 
@@ -157,3 +173,8 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     out_fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = learn(docs, ~out_fold, per_lang=per_lang)
     return predict(docs, model).select("doc_id", out_fold.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the model knows: those identified as und (no text, or no letter in it) go."""
+    return identified(docs, learn(docs, F.lit(True)))

@@ -8,10 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, langid, pages, quality
+from . import bpe, decontam, huffman, langid, pages, pii, quality, simhash, suffix, tokengroup
 from .common import read, shared_dir
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -21,10 +25,22 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokengroup.components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return huffman.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
@@ -34,15 +50,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_bpe": op2_bpe,
-        "op3_main_text": op3_main_text,
-        "op6_quality": op6_quality,
-        "op8_token_files": op8_token_files,
-        "op9_language": op9_language,
-    }
+    found = [op1_decontamination, op2_bpe, op3_main_text, op4_simhash, op5_repeats, op6_quality, op7_jaccard, op8_token_files, op9_language, op10_pii]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontam.ORACLE_SQL}
