@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -19,7 +20,20 @@ def saved(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.brindle.shared", top)
     path = os.path.join(top, f"brindle-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files behind the written table
+    return out
+
+
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for f in {os.path.dirname(x) for x in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -37,7 +51,9 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         low2 = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low2, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
         new = saved(small.select("a", "b"))
-        changed = new.exceptAll(e).limit(1).count() or e.exceptAll(new).limit(1).count()
+        sums = [x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first() for x in (e, new)]
+        changed = sums[0] != sums[1]
+        drop_saved(e)
         e = new
         if not changed:
             break
