@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import batching, sampling, splits
+from ..operators.components import saved
 from ..operators.guards import duplicates, missing
 from ..operators.ordering import first_rows, numbered
 from ..sources import fixtures, tables
@@ -23,7 +24,7 @@ def _split_of(spark, sf_dir):
     a = _ann(spark, sf_dir)
     c = splits.video_components(a)
     dealt = splits.deal(splits.component_sizes(a, c), seed=SEED)
-    return splits.by_video(c, dealt)
+    return saved(splits.by_video(c, dealt))
 
 
 def _with_split(spark, sf_dir):
@@ -98,8 +99,8 @@ def rare_label_boost(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    dev = _with_split(spark, sf_dir).where("split = 'dev'")
-    return dev, sampling.pick_queries(dev, sampling.quotas(20), SEED, "dev")
+    dev = saved(_with_split(spark, sf_dir).where("split = 'dev'"))
+    return dev, saved(sampling.pick_queries(dev, sampling.quotas(20), SEED, "dev"))
 
 
 def eval_queries(spark, sf_dir):
@@ -118,7 +119,7 @@ def gallery_pool(spark, sf_dir):
 
 
 def suite_sorted(spark, sf_dir):
-    return numbered(eval_gallery(spark, sf_dir), "image_id", 8).select(F.col("rn").alias("place"), "image_id", "is_query")
+    return numbered(saved(eval_gallery(spark, sf_dir)), "image_id", 8).select(F.col("rn").alias("place"), "image_id", "is_query")
 
 
 def stable_hash_order(spark, sf_dir):
@@ -166,7 +167,7 @@ def _manifest_train(spark, sf_dir):
 
 
 def _finish(m):
-    return m.select("image_id", "pair_image_id", text.webp_path(F.col("image"), "images/").alias("image_path"), text.caption(F.lit(None).cast("string"), F.col("caption")).alias("caption"), F.concat(F.lit("v"), F.col("video_id").cast("string"), F.lit("_"), "bucket").alias("sequence_id"), "label", "label_type", "bucket", "scene", "action", "split", "is_hard_target")
+    return m.select("image_id", F.coalesce("pair_image_id", F.lit(-1)).alias("pair_image_id"), text.webp_path(F.col("image"), "images/").alias("image_path"), text.caption(F.lit(None).cast("string"), F.col("caption")).alias("caption"), F.concat(F.lit("v"), F.col("video_id").cast("string"), F.lit("_"), "bucket").alias("sequence_id"), "label", "label_type", "bucket", "scene", "action", "split", "is_hard_target")
 
 
 def manifest_train(spark, sf_dir):
@@ -191,11 +192,11 @@ def eval_caption_demote(spark, sf_dir):
 def manifest_joins(spark, sf_dir):
     m = _manifest_train(spark, sf_dir).select("image_id", "split", "is_hard_target")
     b = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.count("*").alias("n_boxes"), F.round(F.max(F.col("l_extendedprice") / 105000), 6).alias("best"))
-    return m.join(b, "image_id", "left").select("image_id", "split", "is_hard_target", "n_boxes", "best", F.when(F.col("n_boxes").isNull(), "missing").otherwise("ok").alias("bbox_status"))
+    return m.join(b, "image_id", "left").select("image_id", "split", "is_hard_target", F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"), F.coalesce("best", F.lit(0.0)).alias("best"), F.when(F.col("n_boxes").isNull(), "missing").otherwise("ok").alias("bbox_status"))
 
 
 def pair_index(spark, sf_dir):
-    m = numbered(_manifest_train(spark, sf_dir).select("image_id", "pair_image_id", "video_id"), "image_id").withColumn("row", F.col("rn") - 1)
+    m = numbered(saved(_manifest_train(spark, sf_dir).select("image_id", "pair_image_id", "video_id")), "image_id").withColumn("row", F.col("rn") - 1)
     p = m.select(F.col("image_id").alias("pair_image_id"), F.col("row").alias("partner"))
     return m.join(p, "pair_image_id").where("row <> partner").select("row", "partner", "video_id")
 

@@ -99,8 +99,8 @@ pl AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h) AS layer FROM p
 pn AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY h) AS rn FROM pl),
 pf AS (SELECT layer, count(*) // 8 AS full_n FROM pn GROUP BY 1),
 ps AS (SELECT layer, full_n, sum(full_n) OVER (ORDER BY layer) - full_n AS before FROM pf),
-plan AS (SELECT {e} AS epoch, CAST(before + (rn - 1) // 8 AS BIGINT) AS batch, CAST((rn - 1) % 8 AS BIGINT) AS slot, a, b, grp FROM pn JOIN ps USING (layer) WHERE rn <= full_n * 8),
-up AS (SELECT epoch, batch, slot * 2 AS pos, a AS row_id, slot * 2 + 1 AS partner_pos FROM plan UNION ALL SELECT epoch, batch, slot * 2 + 1, b, slot * 2 FROM plan)
+plan AS (SELECT {e} AS epoch, CAST(before + (rn - 1) // 8 AS BIGINT) AS batch, CAST((rn - 1) % 8 AS INT) AS slot, a, b, grp FROM pn JOIN ps USING (layer) WHERE rn <= full_n * 8),
+up AS (SELECT epoch, batch, (slot * 2)::INT AS pos, a AS row_id, (slot * 2 + 1)::BIGINT AS partner_pos FROM plan UNION ALL SELECT epoch, batch, (slot * 2 + 1)::INT, b, (slot * 2)::BIGINT FROM plan)
 """
 )
 P0, P1 = PAIRS.replace("{e}", "0"), PAIRS.replace("{e}", "1")
@@ -128,19 +128,19 @@ SQL = {
     "ordered_components": ANN + COMP + "SELECT component, n_rows, place FROM cord",
     "quota_apportion": "WITH one AS (SELECT 1)" + QUOTA + "SELECT CAST(n AS BIGINT) AS n, bucket, CAST(quota AS BIGINT) AS quota FROM quota WHERE n NOT IN (20, 40)",
     "reject_reasons": ANN + DEAL + "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM pr GROUP BY 1",
-    "hard_score_order": ANN + DEAL + "SELECT image_id, bucket, hardness, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, sha256('2026:train:order:' || image_id), image_id) AS ord FROM pr",
+    "hard_score_order": ANN + DEAL + "SELECT image_id, bucket, hardness, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, sha256('2026:train:order:' || image_id), image_id)::INT AS ord FROM pr",
     "rare_label_boost": ANN + "SELECT bucket, label, count(*) AS n, round(pow(count(*), -0.25), 6) AS rarity FROM ann GROUP BY 1, 2",
     "eval_queries": ANN + EVAL + "SELECT image_id, bucket, h FROM eq",
     "eval_gallery": ANN + EVAL + "SELECT image_id, bucket, is_query FROM gal",
     "gallery_pool": ANN + EVAL + "SELECT bucket, count(*) AS n FROM pool GROUP BY 1",
     "suite_sorted": ANN + EVAL + "SELECT row_number() OVER (ORDER BY image_id) AS place, image_id, is_query FROM gal",
-    "stable_hash_order": ANN + "SELECT * FROM (SELECT image_id, bucket, sha256('2026:train:pick:' || image_id) AS h, row_number() OVER (PARTITION BY bucket ORDER BY sha256('2026:train:pick:' || image_id), image_id) AS place FROM ann) WHERE place <= 10",
+    "stable_hash_order": ANN + "SELECT * FROM (SELECT image_id, bucket, sha256('2026:train:pick:' || image_id) AS h, row_number() OVER (PARTITION BY bucket ORDER BY sha256('2026:train:pick:' || image_id), image_id)::INT AS place FROM ann) WHERE place <= 10",
     "hard_edges": ANN + DEAL + HARD + "SELECT image_id || '->' || hard_id AS edge_id, image_id, hard_id, bucket, hard_bucket, video_id, relation FROM he",
     "edge_degree": ANN + DEAL + HARD + "SELECT image_id, count(*) AS degree FROM (SELECT image_id FROM he UNION ALL SELECT hard_id FROM he) GROUP BY 1",
-    "manifest_train": ANN + MAN + r"SELECT image_id, pair_image_id, 'images/' || regexp_replace(regexp_replace(replace(image, '\', '/'), '^train/', ''), '\.[^./]+$', '.webp') AS image_path, coalesce(nullif(trim(caption), ''), '') AS caption, 'v' || video_id || '_' || bucket AS sequence_id, label, label_type, bucket, scene, action, split, is_hard_target FROM mt",
+    "manifest_train": ANN + MAN + r"SELECT image_id, coalesce(pair_image_id, -1) AS pair_image_id, 'images/' || regexp_replace(regexp_replace(replace(image, '\', '/'), '^train/', ''), '\.[^./]+$', '.webp') AS image_path, coalesce(nullif(trim(caption), ''), '') AS caption, 'v' || video_id || '_' || bucket AS sequence_id, label, label_type, bucket, scene, action, split, is_hard_target FROM mt",
     "manifest_all": ANN + MAN + "SELECT split, is_hard_target, bucket, count(*) AS n, count(DISTINCT video_id) AS videos FROM ma GROUP BY 1, 2, 3",
     "eval_caption_demote": ANN + MAN + "SELECT image_id, split, CASE WHEN r > 1 THEN '' ELSE key END AS key, r > 1 AS demoted FROM (SELECT *, row_number() OVER (PARTITION BY split, key ORDER BY image_id) AS r FROM ma WHERE split <> 'train')",
-    "manifest_joins": ANN + MAN + ", b AS (SELECT l_orderkey AS image_id, count(*) AS n_boxes, round(max(l_extendedprice / 105000), 6) AS best FROM lineitem GROUP BY 1) SELECT image_id, split, is_hard_target, n_boxes, best, CASE WHEN n_boxes IS NULL THEN 'missing' ELSE 'ok' END AS bbox_status FROM mt LEFT JOIN b USING (image_id)",
+    "manifest_joins": ANN + MAN + ", b AS (SELECT l_orderkey AS image_id, count(*) AS n_boxes, round(max(l_extendedprice / 105000), 6) AS best FROM lineitem GROUP BY 1) SELECT image_id, split, is_hard_target, coalesce(n_boxes, 0) AS n_boxes, coalesce(best, 0) AS best, CASE WHEN n_boxes IS NULL THEN 'missing' ELSE 'ok' END AS bbox_status FROM mt LEFT JOIN b USING (image_id)",
     "pair_index": ANN + MAN + ", r AS (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS row FROM mt) SELECT x.row, y.row AS partner, x.video_id FROM r x JOIN r y ON y.image_id = x.pair_image_id WHERE x.row <> y.row",
     "label_counts": ANN + "SELECT bucket, label_type, action, count(*) AS n FROM ann GROUP BY 1, 2, 3",
     "label_counts_topn": ANN + "SELECT label, count(*) AS n FROM ann GROUP BY 1 ORDER BY n DESC, label LIMIT 20",

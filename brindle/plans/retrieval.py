@@ -264,13 +264,13 @@ h AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM
 ap AS (SELECT query_id, sum(hits / rank) / count(*) AS ap FROM h WHERE rel = 1 GROUP BY 1)
 SELECT round(coalesce(avg(ap), 0), 6) AS map_multi, count(*) AS queries FROM ap""",
     "gallery_dedupe": "SELECT vec_id AS gallery_id, label, vec_id AS row FROM embeddings",
-    "candidate_topk": FXE + "SELECT query_id, pos, gallery_id, round(score, 6) AS score FROM c",
-    "minmax_fuse_rank": FXE + FUSED + "SELECT query_id, gallery_id, pos, round(score, 6) AS score FROM f",
+    "candidate_topk": FXE + "SELECT query_id, pos::INT AS pos, gallery_id, round(score, 6) AS score FROM c",
+    "minmax_fuse_rank": FXE + FUSED + "SELECT query_id, gallery_id, pos::INT AS pos, round(score, 6) AS score FROM f",
     "candidate_report": FXE + FUSED + _report("f"),
     "top1_conflicts": FXE + "SELECT count(*) AS queries, count(DISTINCT gallery_id) AS distinct_top1, count(*) - count(DISTINCT gallery_id) AS conflicts FROM c WHERE pos = 1",
     "stable_matching": FXE + _matching("c") + "SELECT query_id, gallery_id FROM m",
-    "promoted_order": FXE + _matching("c") + _promoted("c") + "SELECT query_id, gallery_id, pos FROM pr",
-    "postprocess_none": FXE + "SELECT query_id, gallery_id, pos FROM c",
+    "promoted_order": FXE + _matching("c") + _promoted("c") + "SELECT query_id, gallery_id, pos::INT AS pos FROM pr",
+    "postprocess_none": FXE + "SELECT query_id, gallery_id, pos::INT AS pos FROM c",
     "two_stage_report": FXE + FUSED + _matching("f") + _promoted("f") + _report("pr"),
     "alpha_sweep_select": _SWEEP,
     "similarity_pairs": FXE + "SELECT query_id, count(*) AS n, round(max(score), 6) AS largest, round(min(score), 6) AS smallest, round(avg(score), 5) AS mean FROM s GROUP BY 1",
