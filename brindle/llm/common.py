@@ -6,9 +6,7 @@ short strings. Word hashes and shingle hashes depend on the words only, never on
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import drop_saved as drop_durable  # noqa: F401
+from ..operators.components import saved as durable  # noqa: F401
+
 _U = np.uint64
 _MAX_SLICE = 1 << 20
 
@@ -34,23 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_durable(df: DataFrame) -> None:
-    """Delete the files of a durable table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """Whether a durable table has at most `rows` rows; the caller broadcasts it only then."""
     return df.limit(rows + 1).count() <= rows

@@ -9,9 +9,10 @@ codes follow from lengths.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,61 +21,136 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import durable
+from .common import durable, flat, mix, prefix_hash, slices, span_hash
 
 #: Longest code in bits; a table of 2**LIMIT entries decodes any code in one step.
 LIMIT = 16
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
-_CACHE_WORDS = 400_000
-#: Between a character outside this class and one inside it, byte-level pre-splitting always cuts.
-_CHUNK = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-#: White space or separators besides blank, tab and line ends: such a text is encoded in one call.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_MEMO = 1_000_000
+_SLICE = 4 << 20
+#: Byte-level pre-splitting always cuts before a blank, tab or line end that follows something else, and between a
+#: letter or digit (ASCII, or Latin letter of lead byte C3) and one of the signs. Other white space and separators are
+#: odd: a text that holds one is not cut.
+_BLANK, _ALNUM, _SIGN, _ODD = (np.zeros(256, bool) for _ in range(4))
+_BLANK[list(b" \n\r\t")] = True
+_ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_SIGN[list(b".,!?;:|*$%&#)")] = True
+_ODD[[11, 12, 28, 29, 30, 31]] = True
+_OTHER_BYTE = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _state: dict = {}
 
 
 def tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a file, once per process; one thread each, as Spark runs a process per core."""
     if path not in _state:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _state[path] = (t, {})
+        _state[path] = t
     return _state[path]
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of each text as uint32, without special tokens; null counts as empty.
-
-    Each text is cut into words with their leading white space, where pre-splitting always cuts as well, and the
-    library encodes each distinct word once; a bounded memo keeps the ids of the words seen."""
-    tok, memo = tokenizer(path)
-    if len(memo) > _CACHE_WORDS:
-        memo.clear()
-    parts = [[t] if t and _ODD.search(t) else _CHUNK.findall(t or "") for t in texts]
-    new = list({w for p in parts for w in p if w not in memo})
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        for w, e in zip(some, tok.encode_batch(some, add_special_tokens=False), strict=True):
-            memo[w] = e.ids
-    out = []
-    for p in parts:
-        ids: list[int] = []
-        for w in p:
-            ids += memo[w]
-        out.append(np.array(ids, np.uint32))
-    return out
+def width(path: str) -> str:
+    """Stored type of an id: two bytes where the vocabulary allows it."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+class _Memo:
+    """Ids of the pieces seen: sorted hashes, and where each piece's ids lie in one flat array."""
+
+    def __init__(self, kind: str):
+        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        at = len(self.ids) + np.cumsum(sizes) - sizes
+        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, sizes])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.size, self.ids = keys[order], at[order], size[order], np.concatenate([self.ids, ids])
+
+
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Positions of white space or separators besides blank, tab and line ends."""
+    out = _ODD[data]
+    n = len(data)
+    for lead, rest in ((0xC2, {(0x85,), (0xA0,)}), (0xE1, {(0x9A, 0x80)}), (0xE2, {(0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)} | {(0x81, 0x9F)}), (0xE3, {(0x80, 0x80)})):
+        for i in np.flatnonzero(data == lead):
+            out[i] = any(i + len(r) < n + 1 and tuple(data[i + 1 : i + 1 + len(r)].tolist()) == r for r in rest)
+    return np.flatnonzero(out)
+
+
+def _pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the pieces of all texts of a flat buffer."""
+    n = len(data)
+    cut = np.zeros(n, bool)
+    if n:
+        blank = _BLANK[data]
+        cut[1:] = blank[1:] & ~blank[:-1]
+        letter = _ALNUM[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:] |= _SIGN[data[1:]] & letter[:-1]
+        for d in np.unique(np.searchsorted(off, _odd(data), "right") - 1):
+            cut[off[d] : off[d + 1]] = False
+        cut[off[:-1][np.diff(off) > 0]] = True
+    s = np.flatnonzero(cut)
+    return s, np.append(s[1:], n)
+
+
+def encode_flat(path: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts of a flat buffer in their stored type, offsets of each text's ids), without special tokens.
+
+    Each text is cut where pre-splitting always cuts as well; the library encodes each distinct piece once, and a
+    bounded memo keeps the ids of pieces seen. Pieces are told apart by a hash and checked by a second one."""
+    tok, kind = tokenizer(path), width(path)
+    s, e = _pieces(data, off)
+    if not len(s):
+        return np.zeros(0, kind), np.zeros(len(off), np.int64)
+    h, check = span_hash(prefix_hash(data), s, e), span_hash(prefix_hash(data, _OTHER_BYTE), s, e)
+    keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    if (check[first][inverse] != check).any():
+        keys, first, inverse = np.arange(len(h), dtype=np.uint64), np.arange(len(h)), np.arange(len(h))
+        memo = _Memo(kind)
+    else:
+        keys = mix(keys ^ check[first])
+        order = np.argsort(keys)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        keys, first, inverse = keys[order], first[order], back[inverse]
+        memo = _state.setdefault((path, "memo"), _Memo(kind))
+        if len(memo.keys) > _MEMO:
+            memo = _state[path, "memo"] = _Memo(kind)
+    there = np.minimum(np.searchsorted(memo.keys, keys), max(len(memo.keys) - 1, 0))
+    new = np.flatnonzero(memo.keys[there] != keys) if len(memo.keys) else np.arange(len(keys))
+    raw = data.tobytes()
+    for i in range(0, len(new), 1 << 16):
+        some = new[i : i + (1 << 16)]
+        got = []
+        for k in range(0, len(some), 2048):
+            got += [x.ids for x in tok.encode_batch_fast([raw[a:b].decode() for a, b in zip(s[first[some[k : k + 2048]]].tolist(), e[first[some[k : k + 2048]]].tolist(), strict=True)], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        memo.add(keys[some], sizes, np.fromiter(chain.from_iterable(got), kind, int(sizes.sum())))
+    at = np.searchsorted(memo.keys, keys)[inverse]
+    size = memo.size[at]
+    end = np.cumsum(size)
+    ids = memo.ids[np.repeat(memo.at[at] - end + size, size) + np.arange(end[-1])]
+    return ids, np.concatenate([[0], end])[np.searchsorted(s, off)]
 
 
 def tokenize(df: DataFrame, path: str, end: int | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_ids, ids): ids as little-endian unsigned 32-bit integers; `end` follows each text's ids unless None."""
-    tail = np.array([] if end is None else [end], np.uint32)
+    """(key, n_ids, ids): ids in the little-endian type `width` gives; `end` follows each text's ids unless None.
+
+    Null counts as empty."""
+    kind = width(path)
+    tail = b"" if end is None else np.array([end], kind).tobytes()
+    extra = 0 if end is None else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                ids = [np.concatenate([x, tail]) for x in encode_texts(path, part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], [key, "n_ids", "ids"])
+            data, off = flat(b.column(1))
+            for i, j in slices(off, _SLICE):
+                ids, at = encode_flat(path, data[off[i] : off[j]], off[i : j + 1] - off[i])
+                out = [ids[x:y].tobytes() + tail for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at) + extra), pa.array(out, pa.binary())], [key, "n_ids", "ids"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_ids long, ids binary")
 
@@ -162,13 +238,13 @@ def unpack(bits: bytes, at: np.ndarray, n_ids: int, table: tuple[np.ndarray, np.
 # ---------------------------------------------------------------- files
 
 
-def counts(ids: DataFrame) -> DataFrame:
+def counts(ids: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each id occurs. One partial row per id and task, so the shuffle is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for b in batches:
-            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
             if len(c) < len(total):
                 c, total = total, c
             c = c.copy()
@@ -180,23 +256,23 @@ def counts(ids: DataFrame) -> DataFrame:
     return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def lengths_of(ids: DataFrame, limit: int = LIMIT) -> np.ndarray:
+def lengths_of(ids: DataFrame, kind: str, limit: int = LIMIT) -> np.ndarray:
     """Code length per id from the counts over all of `ids`. What reaches the driver is one row per vocabulary entry."""
-    got = counts(ids).collect()
+    got = counts(ids, kind).collect()
     c = np.zeros(max([r.id for r in got], default=0) + 1, np.int64)
     for r in got:
         c[r.id] = r.n
     return code_lengths(c, limit)
 
 
-def write(ids: DataFrame, lengths: np.ndarray, path: str, key: str = "doc_id", block_ids: int = BLOCK_IDS) -> None:
+def write(ids: DataFrame, kind: str, lengths: np.ndarray, path: str, key: str = "doc_id", block_ids: int = BLOCK_IDS) -> None:
     """Write (key, ids) to `path` in ascending key order. A document never spans blocks; ties keep no order."""
     spark = ids.sparkSession
     _, codes = canonical(lengths)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def block(part: int, start: int, keys: list, sizes: list, data: list):
-        all_ids = np.frombuffer(b"".join(data), "<u4")
+        all_ids = np.frombuffer(b"".join(data), kind)
         bits, at = pack(all_ids, lengths, codes)
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.binary())],
@@ -259,6 +335,7 @@ def round_trip(df: DataFrame, path: str, folder: str, end: int | None = 0, text:
     Null and empty texts hold the end id only. Rows that share a key stay separate documents next to each other, in
     no fixed order; a null key sorts first. An empty table gives an empty folder and no rows."""
     ids = durable(tokenize(df, path, end, text, key))
-    lengths = lengths_of(ids)
-    write(ids, lengths, folder, key)
+    kind = width(path)
+    lengths = lengths_of(ids, kind)
+    write(ids, kind, lengths, folder, key)
     return read(df.sparkSession, folder, lengths, key)
