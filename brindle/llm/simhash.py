@@ -2,7 +2,7 @@
 
 Words vote with a weight that grows with their length (long words are rarer) on each bit of their hash: +weight
 where the bit is set, -weight where it isn't. Four bits share a 64-bit sum, one 16-bit lane each; lanes can't
-overflow because sums are kept per stretch of words first and unpacked when stretches are added up.
+overflow (2048 words of weight 15 stay below 2**15) because sums are kept per stretch of words first and unpacked when stretches are added up.
 
 For the search, fingerprints are cut into blocks. Two fingerprints within radius r agree on at least blocks - r
 blocks, so one table per choice of blocks - r blocks, keyed by their bits, holds every such pair. Equal fingerprints
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, BLOCKS, RADIUS = 128, 8, 6
-_STRETCH, _MAX_WEIGHT = 4096, 15
+_STRETCH, _MAX_WEIGHT = 2048, 15
 _LANES = 0x0001000100010001
 
 
