@@ -110,8 +110,7 @@ class Family:
         while not last and self.levels and self.levels[-1][0] == rank:
             _, other = self.levels.pop()
             merged = durable(mine.unionByName(other).groupBy("head", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "key"))
-            drop_durable(mine)
-            drop_durable(other)
+            drop_durable(mine, other)
             rank, mine = rank + 1, merged
         self.levels.append((rank, mine))
         return met
@@ -126,8 +125,7 @@ def repeated(found: DataFrame, batches: int = BATCHES) -> DataFrame:
         hits = family.add(array, last=k == batches - 1)
         met = hits if met is None else met.unionByName(hits)
     out = durable(met.select("key").distinct())
-    for _, level in family.levels:
-        drop_durable(level)
+    drop_durable(*[level for _, level in family.levels])
     return out
 
 
@@ -192,12 +190,15 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     alive = parts.join(twice("core"), "core", "left_semi")
     outer = twice("outer").select(F.col("outer").alias("o"))
     alive = durable(alive.join(outer, alive.outer == outer.o, "left").select("row", "own", "i", "singles", F.col("o").isNotNull().alias("all")))
+    drop_durable(parts)
     together = alive.where("own AND all").select("row", F.col("i").alias("lo"), (F.col("i") + F.size("singles") - 1).alias("hi"))
     # A string may also equal one whose stretch repeats as a whole, so all living stretches give their strings.
     single = alive.select("row", "own", "all", "i", F.posexplode("singles").alias("k", "s"))
     seen = single.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     alone = single.where("own AND NOT all").join(seen, "s", "left_semi").select("row", (F.col("i") + F.col("k")).alias("lo"), (F.col("i") + F.col("k")).alias("hi"))
-    return whole.unionByName(together).unionByName(alone)
+    out = durable(whole.unionByName(together).unionByName(alone))
+    drop_durable(again, cand, groups, listed, alive)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -207,7 +208,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches:
     own, so each of them repeats the other."""
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text", "id"))
     ranges = repeated_ranges(rows.select("row", "text"), length, window, batches)
-    lists = durable(ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    lists = ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = rows.join(lists, "row", "left").select("id", "text", "ranges")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
