@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import doc_sets, durable, fits_broadcast, flat, mix
+from .common import doc_sets, drop_durable, durable, fits_broadcast, flat, mix
 
 PERCENT = 80
 #: Most tokens in the list of frequent ones (it only orders tokens; any list gives the same links), and how often a
@@ -157,6 +157,31 @@ def _sizes_fit(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
+def _class(size):
+    """Size class: sizes within a class differ by less than a tenth."""
+    return F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(1.1))).cast("int")
+
+
+def _most(common, n, percent: int):
+    """The largest partner that a set of n tokens with at most `common` of them in common can have."""
+    return F.floor(common * (100 + percent) / percent).cast("int") - n
+
+
+def _possible(shared: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, sig, c) of `shared` whose set may have a partner that shares the token.
+
+    A set shares at most its shared prefix tokens and all tokens beyond its prefix, which bounds the partner's size from
+    above; the partner's own bound must allow this set as well. Both are looked up per token and size class."""
+    n = F.col("n")
+    held = shared.groupBy("sig").agg(F.count("*").alias("k")).join(ids.groupBy("sig").agg(F.first("n").alias("n")), "sig")
+    held = held.select("sig", "n", _most(F.col("k") + F.ceil(n * percent / 100).cast("int") - 1, n, percent).alias("most"), _class(n).alias("cls"))
+    rows = shared.join(held, "sig")
+    cells = rows.groupBy("token", "cls").agg(F.min("n").alias("g_least"), F.max("most").alias("g_most"), F.min("sig").alias("lo"), F.max("sig").alias("hi"))
+    asks = rows.withColumn("cls", F.explode(F.sequence(_class(n * percent / 100), F.greatest(_class(F.col("most")), _class(n * percent / 100)))))
+    met = asks.join(cells, ["token", "cls"]).where((F.col("g_least") <= F.col("most")) & (n <= F.col("g_most")) & ~((F.col("lo") == F.col("sig")) & (F.col("hi") == F.col("sig"))))
+    return met.select("token", "sig", "c").distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """(a, b): links between distinct sets that together connect all sets that similar pairs connect.
 
@@ -168,13 +193,17 @@ def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT, text: str =
     several = dealt.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", "c")
     shared = durable(dealt.join(several, "token").select("token", "sig", "c"))
     ids = found.where(F.col("prefix").isNotNull()).select("id", "sig", "n")
+    for _ in range(2):
+        before, shared = shared, durable(_possible(shared, ids, percent))
+        drop_durable(before)
     wanted = durable(ids.join(shared.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")))
     sets = durable(whole_sets(docs, wanted.select("id"), text).dropDuplicates(["sig"]))
     size = sets.select("sig", "n")
 
     # 2. stars around central sets
     central = shared.groupBy("sig").agg(F.avg("c").alias("w")).join(size, "sig")
-    shared = durable(shared.select("token", "sig").distinct().join(central, "sig"))
+    before, shared = shared, durable(shared.select("token", "sig").distinct().join(central, "sig"))
+    drop_durable(before)
     hub = shared.groupBy("token").agg(F.max(F.struct("w", "sig", "n")).alias("hub"))
     star = shared.join(hub, "token").where("sig <> hub.sig").select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
     star = star.where(_sizes_fit("na", "nb", percent)).select("a", "b").distinct()
@@ -191,16 +220,15 @@ def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT, text: str =
     order = Window.partitionBy("sig").orderBy("c", "token")
     first_need = F.ceil(F.col("n") * percent / 100)
     pre = ranked.withColumn("pos", F.col("u") + F.row_number().over(order) - 1).where(F.col("pos") <= F.col("n") - first_need)
-    # the largest partner that a match at this position still allows: (100 + t) * overlap >= t * (n + m)
-    pre = pre.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent).cast("int") - F.col("n"))
-    cls = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(1.1))).cast("int")
+    pre = pre.withColumn("most", _most(F.col("n") - F.col("pos"), F.col("n"), percent))
+    cls = lambda c: _class(F.col(c))
     pre = durable(pre.select("token", "sig", "n", "comp", "most", cls("n").alias("cls")))
     matrix = pre.groupBy("token", "comp", "cls").agg(F.min("n").alias("g_least"), F.max("n").alias("g_largest"), F.max("most").alias("g_most"))
     matrix = matrix.select("token", F.col("comp").alias("g_comp"), F.col("cls").alias("g_cls"), "g_least", "g_largest", "g_most")
     many = group.groupBy("comp").agg(F.count("*").alias("members"))
     big = many.select(F.col("comp").alias("g_comp"), F.col("members").alias("g_members"))
     # a set asks groups at least as large as its own, in each class of sizes that it can match
-    asks = pre.join(many, "comp").withColumn("g_cls", F.explode(F.sequence(F.floor(F.log(F.greatest(F.col("n") * percent / 100, F.lit(1.0))) / F.log(F.lit(1.1))).cast("int"), F.floor(F.log(F.greatest("most", F.lit(1))) / F.log(F.lit(1.1))).cast("int"))))
+    asks = pre.join(many, "comp").withColumn("g_cls", F.explode(F.sequence(_class(F.col("n") * percent / 100), F.greatest(_class(F.col("most")), _class(F.col("n") * percent / 100)))))
     asks = asks.where("most >= 1").select("token", "g_cls", "sig", "n", "comp", "most", "members")
     asked = asks.join(matrix.join(big, "g_comp"), ["token", "g_cls"]).where(
         (F.col("comp") != F.col("g_comp")) & (F.col("g_least") <= F.col("most")) & (F.col("n") <= F.col("g_most"))
@@ -224,7 +252,9 @@ def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT, text: str =
         (F.least(F.col("o"), F.col("m") - F.col("u")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent) & _sizes_fit("n", "m", percent)
     )
     rest = _linked(pairs.select(F.col("sig").alias("a"), "b"), sets, percent)
-    return first.unionByName(rest)
+    out = durable(first.unionByName(rest))
+    drop_durable(shared, wanted, sets, first, group, ranked, pre, asked, opened)
+    return out
 
 
 def components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,7 +265,7 @@ def components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     often = frequent_tokens(base)
     found = durable(documents(base, often, percent, "id", "text"))
-    pairs = durable(links(base, found, percent))
+    pairs = links(base, found, percent)
     classes = found.where("n > 0").groupBy("sig").agg(F.min("id").alias("least"))
     part = connected(pairs, "a", "b").withColumnRenamed("node", "sig")
     lead = part.join(classes, "sig").groupBy("component").agg(F.min("least").alias("component_id"))
