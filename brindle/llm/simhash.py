@@ -73,10 +73,13 @@ def within(queries: DataFrame, all_fps: DataFrame, radius: int = RADIUS, blocks:
     tables = list(itertools.combinations(range(blocks), blocks - radius))
     if not tables or blocks <= radius:
         raise ValueError("the radius must be smaller than the number of blocks")
-    cut = lambda fp, t: F.concat(F.lit(f"{tables.index(t)}:"), *[F.substring(fp, width * b + 1, width) for b in t])
-    spread = lambda df, name: df.select(F.col("fp").alias(name)).distinct().select(name, F.explode(F.array(*[F.xxhash64(cut(F.col(name), t)) for t in tables])).alias("k"))
-    pairs = spread(queries, "fp").join(spread(all_fps, "other"), "k").where(F.col("fp") != F.col("other")).where(distance(F.col("fp"), F.col("other")) <= radius)
-    return pairs.select("fp", "other", distance(F.col("fp"), F.col("other")).alias("distance")).distinct()
+    cut = lambda t: F.concat(F.lit(f"{tables.index(t)}:"), *[F.substring("fp", width * b + 1, width) for b in t])
+    half = lambda k: F.conv(F.substring("fp", 16 * k + 1, 16), 16, -10).cast("long")
+    spread = lambda df, n: df.select("fp").distinct().select(half(0).alias(f"{n}0"), half(1).alias(f"{n}1"), F.explode(F.array(*[F.xxhash64(cut(t)) for t in tables])).alias("k"))
+    bits = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    pairs = spread(queries, "a").hint("merge").join(spread(all_fps, "b"), "k").where(bits.between(1, radius)).select("a0", "a1", "b0", "b1", bits.alias("distance")).distinct()
+    text = lambda n: F.lower(F.concat(*[F.lpad(F.hex(f"{n}{k}"), 16, "0") for k in range(2)]))
+    return pairs.select(text("a").alias("fp"), text("b").alias("other"), "distance")
 
 
 def following(ids: DataFrame, key: str = "doc_id") -> DataFrame:
