@@ -25,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable, fits_broadcast, flat, mix, prefix_hash, slices, span_hash
+from .common import drop_durable, durable, flat, mix, prefix_hash, slices, span_hash
 
 LENGTH, GRAM, WINDOW, STRETCH, BATCHES = 400, 16, 200, 16, 4
-#: Most document keys that are broadcast to pick texts; beyond that the join shuffles.
-BROADCAST_DOCS = 500_000
 _U = np.uint64
 
 
@@ -184,8 +182,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     whole = whole.select("row", (F.col("p") - F.col("before")).alias("lo"), (F.col("p") - F.col("before") + F.col("more")).alias("hi"))
     open_keys = groups.groupBy("key").agg(F.count("*").alias("g"), F.min("n").alias("least")).where("g > 1 AND least = 1").select("key")
     listed = durable(groups.join(open_keys, "key").select("x.row", F.struct("x.p", "x.before", "x.more", (F.col("n") == 1).alias("own")).alias("a")).groupBy("row").agg(F.collect_list("a").alias("at")))
-    picked = F.broadcast(listed) if fits_broadcast(listed, BROADCAST_DOCS // 10) else listed
-    parts = durable(_stretches(docs.join(picked, "row"), length))
+    parts = durable(_stretches(docs.join(listed, "row"), length))
     twice = lambda c: parts.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c)
     alive = parts.join(twice("core"), "core", "left_semi")
     outer = twice("outer").select(F.col("outer").alias("o"))
