@@ -8,8 +8,8 @@ Exact: every pair of documents whose sets have a Jaccard similarity of at least
 2. Similar sets. For each shared token the most central set (the one whose prefix tokens are shared most) is compared with the
    others; verified links make groups of similar sets. Each group is cut by set size.
 3. Matrix. A group's row is the union of its members' tokens. For a set of another group, the tokens it shares with
-   the row bound its intersection with every member. Only where the bound allows the threshold is the group opened
-   and its members compared. Which groups are asked at all follows from rarest-first prefixes whose length depends on
+   the row, counted for its rarest ones and granted for the rest, bound its intersection with every member. Only where
+   the bound allows the threshold is the group opened and its members compared. Which groups are asked at all follows from rarest-first prefixes whose length depends on
    both sizes, so tokens that whole groups share cost nothing.
 
 Groups and hot tokens are never gathered: rows are counted before they are shuffled and joins can be split.
@@ -193,9 +193,8 @@ def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT, text: str =
     several = dealt.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", "c")
     shared = durable(dealt.join(several, "token").select("token", "sig", "c"))
     ids = found.where(F.col("prefix").isNotNull()).select("id", "sig", "n")
-    for _ in range(2):
-        before, shared = shared, durable(_possible(shared, ids, percent))
-        drop_durable(before)
+    before, shared = shared, durable(_possible(shared, ids, percent))
+    drop_durable(before)
     wanted = durable(ids.join(shared.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")))
     sets = durable(whole_sets(docs, wanted.select("id"), text).dropDuplicates(["sig"]))
     size = sets.select("sig", "n")
@@ -236,13 +235,14 @@ def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT, text: str =
     )
     asked = durable(asked.select("sig", "n", "g_comp", "g_cls").distinct())
 
-    # bound: tokens of the set in the union of the group's tokens
+    # bound: the set's prefix tokens in the union of the group's tokens, and all tokens beyond its prefix
     groups = asked.select("g_comp", "g_cls").distinct()
-    cells = ranked.select("token", F.col("comp").alias("g_comp"), cls("n").alias("g_cls"), F.col("n").alias("m")).join(groups, ["g_comp", "g_cls"], "left_semi")
-    union = cells.groupBy("g_comp", "g_cls", "token").agg(F.min("m").alias("m"))
+    cells = ranked.select("token", F.col("comp").alias("g_comp"), cls("n").alias("g_cls")).join(groups, ["g_comp", "g_cls"], "left_semi")
+    union = cells.distinct()
     least = ranked.groupBy(F.col("comp").alias("g_comp"), cls("n").alias("g_cls")).agg(F.min("n").alias("least"))
-    mine = asked.join(ranked.select("sig", "token"), "sig")
+    mine = asked.join(pre.select("sig", "token"), "sig")
     bound = mine.join(union, ["g_comp", "g_cls", "token"]).groupBy("sig", "n", "g_comp", "g_cls").agg(F.count("*").alias("o")).join(least, ["g_comp", "g_cls"])
+    bound = bound.withColumn("o", F.col("o") + F.ceil(F.col("n") * percent / 100) - 1)
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     opened = durable(bound.where(F.col("o") * (100 + percent) >= (F.col("n") + smallest) * percent).select("sig", "n", "o", "g_comp", "g_cls"))
 
