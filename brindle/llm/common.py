@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's Arrow batch size to `rows` if it is larger: whole texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """Whether a durable table has at most `rows` rows; the caller broadcasts it only then."""
     return df.limit(rows + 1).count() <= rows

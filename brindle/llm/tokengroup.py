@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import doc_sets, drop_durable, durable, fits_broadcast, flat, mix
+from .common import doc_sets, drop_durable, durable, fits_broadcast, flat, mix, small_batches
 
 PERCENT = 80
 #: Most tokens in the list of frequent ones (it only orders tokens; any list gives the same links), and how often a
@@ -48,26 +48,26 @@ def frequent_tokens(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Up to FREQUENT tokens that occur in OFTEN sets or more, as found from counts within batches of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = flat(b.column(0))
-            seen, sets, held = set(), [], 0
+        seen, sets, held = set(), [], 0
 
-            def out():
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                many = n >= 3
-                return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["h", "n"])
+        def out():
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            many = n >= 3
+            return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["h", "n"])
 
+        for b in batches:
+            data, off = flat(b.column(0))
             for _, s in doc_sets(data, off):
                 sig = _signature(s)
                 if len(s) and sig not in seen:
                     seen.add(sig)
                     sets.append(s)
                     held += len(s)
-                    if held > 4_000_000:
+                    if held > 3_000_000:
                         yield out()
-                        sets, held = [], 0
-            if sets:
-                yield out()
+                        seen, sets, held = set(), [], 0
+        if sets:
+            yield out()
 
     rows = docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     top = rows.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
@@ -92,7 +92,7 @@ def documents(docs: DataFrame, frequent: np.ndarray, percent: int, key: str, tex
         often, seen = shared.value, set()
         for b in batches:
             data, off = flat(b.column(1))
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen = set()
             for lo in range(0, b.num_rows, 500):
                 n, sig, prefix = [], [], []
@@ -262,6 +262,7 @@ def components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
 
     Empty and null texts link with nothing. Repeated rows give repeated rows; rows that share a key share nothing but
     that. Rows with a null key get a component only if another row of it has a key."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     often = frequent_tokens(base)
     found = durable(documents(base, often, percent, "id", "text"))
