@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Base patterns find emails, IP addresses, card and phone numbers. These seed entities induce lexical patterns: the
-words on either side. A graph links patterns with the instances they surround, base finds and other
-identifier-like tokens alike. In each round a pattern's confidence in a kind is the share of its instances that
-are of this kind, as far as known, and an instance's score is what its patterns say together; patterns with
-enough distinct seeds and high confidence thus discover identifiers that no base pattern describes, whose contexts
-then support further patterns.
+words on either side. A graph links patterns with the instances they surround: base finds, identifier-like tokens,
+and whatever else stands in a context that several seeds share, with or without digits (see `candidates`). In each
+round a pattern's confidence in a kind is the share of its instances that are of this kind, as far as known, and an
+instance's score is what its patterns say together; patterns with enough distinct seeds and high confidence thus
+discover identifiers that no base pattern describes, whose contexts then support further patterns. Tokens are found
+wherever they stand, other runs of words only where their own context says so. Contexts reach 48 characters.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fits_broadcast
 from .native import let, running
 
 #: The base patterns, written with possessive loops (same matches, no deep recursion). A local part starts
@@ -24,11 +25,17 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?=[0-9][\x20-]?[0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Other identifier-like tokens: a run of token characters with at least five digits in all.
-TOKEN = r"(?<![A-Za-z0-9_.+@/=-])(?=[A-Za-z_.+@/=-]*+[0-9])[A-Za-z0-9_.+@/=-]{6,}+"
+#: Other identifier-like tokens: a run of token characters, and what a short word in brackets joins to it, with at least
+#: five digits in all.
+TOKEN = r"(?<![A-Za-z0-9_.+@/=-])(?=[A-Za-z_.+@/=-]*+[0-9])[A-Za-z0-9_.+@/=-]{6,}+(?:[(\[{][A-Za-z]{1,8}+[)\]}][A-Za-z0-9_.+@/=-]++)*+"
 
 MIN_SEEDS, CONFIDENCE, ROUNDS, PRIOR = 3, 0.8, 3, 1.0
 _NEAR = 48
+#: Words in a candidate, and in one that is a run of groups of digits; marks that don't belong to a word at its ends.
+MAX_WORDS, MAX_GROUPS = 4, 16
+_OPENING, _CLOSING, _IN_NUMBERS = "([{<\"'", ")]}>\"'.,;:!?", "0123456789()+-./"
+#: Most useful patterns, and patterns with a confidence, that are broadcast; beyond that the joins shuffle.
+BROADCAST_PATTERNS = 1_000_000
 SPANS = "array<struct<kind:string,s:int,e:int,v:string>>"
 
 
@@ -111,31 +118,146 @@ def occurrences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return df.select(*keys, lean.alias("base"), _contexts(F.col(text), F.concat("base", "tokens")).alias("near"))
 
 
-def discover(found: DataFrame, keys: list[str], min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(keys, kind, s, e) of identifiers that no base pattern describes, from the pattern-instance graph of `found`.
+def _sides() -> list[tuple[str, Column]]:
+    """(side, hash) of the patterns of one span with context words l2, l1, r1, r2; the last one may be null."""
+    h = lambda *x: F.xxhash64(*x)
+    return [("l", h(F.lit("L"), "l2", "l1")), ("r", h(F.lit("R"), "r1", "r2")), ("b", h(F.lit("B"), "l1", "r1")), ("l", F.when(F.col("l1").rlike("[:=#]$"), h(F.lit("C"), "l1")))]
+
+
+def _patterns(near: DataFrame, *cols: str) -> DataFrame:
+    """cols, side and p: a row for each pattern of each span of `near`."""
+    each = F.array(*[F.struct(F.lit(side).alias("side"), h.alias("p")) for side, h in _sides()])
+    return near.select(*cols, F.explode(each).alias("x")).select(*cols, "x.*").where(F.col("p").isNotNull())
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits_broadcast(df, BROADCAST_PATTERNS) else df
+
+
+def _bitmap(useful: DataFrame, power: int) -> DataFrame:
+    """One row with 2**power longs in which the bits of the patterns' hashes are set."""
+    at = F.shiftrightunsigned("p", 64 - power)
+    word = useful.groupBy(at.alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b"))
+    every = useful.sparkSession.range(1 << power).join(word, "id", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x.b).alias("bits"))
+
+
+def _runs(pieces: Column, bits: Column, power: int) -> Column:
+    """array<struct<kind, s, e, v, l2, l1, r1, r2>> of the runs of words in `pieces`, a text split at each white space, whose context has its bits set.
+
+    A unit is a word, or a longest run of groups of digits: one side is enough. Other runs of up to MAX_WORDS words need both sides."""
+    none, zero = F.lit(""), F.lit(0)
+    may = lambda *x: let(F.xxhash64(*x), lambda h: F.getbit(F.get(bits, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+    def split(x: Column) -> Column:
+        left = F.ltrim(x.v, F.lit(_OPENING))
+        core = F.rtrim(left, F.lit(_CLOSING))
+        a = F.char_length(x.v) - F.char_length(left)
+        b = a + F.char_length(core)
+        number = core.rlike("^[0-9()+./-]*[0-9][0-9()+./-]*$") & F.substring(core, 1, 1).isin(*_IN_NUMBERS)
+        return F.struct(x.i.alias("i"), F.lower(x.v).alias("v"), a.alias("a"), b.alias("b"), F.lower(F.substring(x.v, F.lit(1), a)).alias("lead"), F.lower(F.substring(x.v, b + 1, F.char_length(x.v))).alias("trail"), number.alias("number"))
+
+    def flagged(words: Column) -> Column:
+        v = lambda i: F.coalesce(F.get(words, i).v, none)
+
+        def one(x: Column, i: Column) -> Column:
+            l1, l2 = F.when(x.lead != "", x.lead).otherwise(v(i - 1)), F.when(x.lead != "", v(i - 1)).otherwise(v(i - 2))
+            r1, r2 = F.when(x.trail != "", x.trail).otherwise(v(i + 1)), F.when(x.trail != "", v(i + 1)).otherwise(v(i + 2))
+            marked = l1.endswith(":") | l1.endswith("=") | l1.endswith("#")
+            return F.struct(i.alias("k"), x.i.alias("i"), x.a.alias("a"), x.b.alias("b"), x.number.alias("number"), may(F.lit("BL"), l1).alias("bl"), may(F.lit("BR"), r1).alias("br"), l2.alias("l2"), l1.alias("l1"), r1.alias("r1"), r2.alias("r2"), (may(F.lit("L"), l2, l1) | (marked & may(F.lit("C"), l1))).alias("l"), may(F.lit("R"), r1, r2).alias("r"))
+
+        return F.transform(words, one)
+
+    def chosen(words: Column) -> Column:
+        def unit(x: Column, i: Column) -> Column:
+            after = lambda g: let(F.array_position(g, F.lit(False)).cast("int"), lambda k: F.when(k > 0, k).otherwise(F.size(g) + 1))
+            inner = F.coalesce(F.get(words, i - 1).number, F.lit(False))
+            return F.when(~x.number, F.lit(1)).when(inner, zero).otherwise(let(F.transform(F.slice(words, i + 2, F.lit(MAX_GROUPS - 1)), lambda y: y.number), after))
+
+        def starts(x: Column, i: Column) -> Column:
+            def of_unit(k: Column) -> Column:
+                sizes = F.sequence(F.lit(1), F.lit(MAX_WORDS))
+                end = lambda m: F.get(words, i + m - 1)
+                good = lambda m: end(m).isNotNull() & ((x.l & end(m).r) | ((m == k) & (x.l | end(m).r)) | (x.bl & end(m).br & may(F.lit("B"), x.l1, end(m).r1))) & ((m > 1) | (x.b > x.a))
+                return F.transform(F.filter(F.when(k > MAX_WORDS, F.concat(sizes, F.array(k))).otherwise(sizes), good), lambda m: F.struct(x.alias("x"), end(m).alias("y"), (m == k).alias("whole")))
+
+            return let(unit(x, i), of_unit)
+
+        return F.flatten(F.transform(F.filter(words, lambda x: x.l | x.r | x.bl | x.number), lambda x: starts(x, x.k)))
+
+    start = lambda k: F.when(k > 0, F.char_length(F.array_join(F.slice(pieces, F.lit(1), k), " ")) + 1).otherwise(zero)
+    words = F.transform(F.filter(F.transform(pieces, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda x: x.v != ""), split)
+
+    def run(z: Column) -> Column:
+        x, y = z.x, z.y
+        own = F.array_join(F.slice(pieces, x.i + 1, y.i - x.i + 1), " ")
+        return let(start(x.i), lambda at: F.struct(F.when(z.whole, "word").otherwise("words").alias("kind"), (at + x.a).alias("s"), (at + F.char_length(own) - F.char_length(F.get(pieces, y.i)) + y.b).alias("e"), own.substr(x.a + 1, F.char_length(own) - F.char_length(F.get(pieces, y.i)) + y.b - x.a).alias("v"), x.l2.alias("l2"), x.l1.alias("l1"), y.r1.alias("r1"), y.r2.alias("r2")))
+
+    return F.transform(let(let(words, flagged), chosen), run)
+
+
+def candidates(rows: DataFrame, found: DataFrame, useful: DataFrame, marks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, kind ('word' for units, else 'words'), s, e, v, l2, l1, r1, r2 of the runs of words of `rows` that may stand in a useful context.
+
+    A bitmap of the useful patterns, and of `marks`, the two words of those that need both sides, tells in each row which contexts to look at, so only these become rows. Runs that
+    overlap a base span or lie in a token of `found` are left out."""
+    power = max(6, min(16, (useful.count() * 8).bit_length()))
+    df = rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text)).crossJoin(F.broadcast(durable(_bitmap(useful.unionByName(marks), power))))
+    # Written before anything else uses it, as filters and generators would each compute it again.
+    runs = durable(df.select(*keys, let(F.split(text, r"\s", -1), lambda p: _runs(p, F.col("bits"), power)).alias("runs")))
+    near = runs.select(*keys, F.explode("runs").alias("x")).select(*keys, "x.*")
+    taken = found.select(*keys, F.filter("near", lambda x: x.kind == "token").alias("tokens"), "base").where((F.size("tokens") > 0) | (F.size("base") > 0)).dropDuplicates(keys)
+    s, e = F.col("s"), F.col("e")
+    held = F.exists("base", lambda b: (b.s < e) & (s < b.e)) | F.exists("tokens", lambda b: (b.s <= s) & (e <= b.e))
+    return near.join(taken, keys, "left").where(~F.coalesce(held, F.lit(False))).drop("base", "tokens")
+
+
+def discover(found: DataFrame, keys: list[str], rows: DataFrame, text: str = "text", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(keys, kind, s, e) of identifiers that no base pattern describes, from the pattern-instance graph of `found` and `rows`.
 
     Edges are counted once per distinct instance, so one value repeated a million times supports a pattern once."""
-    near = found.select(*keys, F.explode("near").alias("x")).select(*keys, "x.*")
-    sides = F.array(
-        F.concat(F.lit("L:"), "l2", F.lit(" "), "l1"),
-        F.concat(F.lit("R:"), "r1", F.lit(" "), "r2"),
-        F.concat(F.lit("B:"), "l1", F.lit(" _ "), "r1"),
-        F.when(F.col("l1").rlike("[:=#]$"), F.concat(F.lit("C:"), "l1")),
-    )
-    near = near.withColumn("instance", F.xxhash64("v"))
-    edges = near.select("instance", F.when(F.col("kind") != "token", F.col("kind")).alias("seed"), F.explode(F.array_compact(sides)).alias("p")).withColumn("p", F.xxhash64("p")).groupBy("instance", "p").agg(F.min("seed").alias("seed"))
+    near = found.select(*keys, F.explode("near").alias("x")).select(*keys, "x.*").withColumn("instance", F.xxhash64("v"))
+    seeded = _patterns(near.where(F.col("kind") != "token"), "instance", "kind").groupBy("instance", "p").agg(F.min("kind").alias("seed"))
     # A pattern matters if it surrounds several seeds.
-    useful = edges.groupBy("p").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p")
-    edges = durable(edges.join(useful, "p"))
-    scores = edges.where(F.col("seed").isNotNull()).select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    useful = durable(seeded.groupBy("p").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p"))
+    both = near.where(F.col("kind") != "token").select("l1", "r1", F.xxhash64(F.lit("B"), "l1", "r1").alias("p")).join(_small(useful), "p")
+    marks = both.select(F.explode(F.array(F.xxhash64(F.lit("BL"), "l1"), F.xxhash64(F.lit("BR"), "r1"))).alias("p")).distinct()
+    words = candidates(rows, found, useful, marks, keys, text).withColumn("instance", F.xxhash64("v"))
+    words = durable(_patterns(words, *keys, "kind", "s", "e", "instance").join(_small(useful), "p"))
+    # Whether a run of several words is one instance depends on both sides, so it speaks for neither side alone.
+    counted = words.where((F.col("kind") == "word") | (F.col("side") == "b")).select("instance", F.lit(None).cast("string").alias("seed"), "p")
+    edges = _patterns(near, "instance", "kind").join(_small(useful), "p").select("instance", F.when(F.col("kind") != "token", F.col("kind")).alias("seed"), "p")
+    edges = durable(edges.unionByName(counted).groupBy("instance", "p").agg(F.min("seed").alias("seed")))
+    size = durable(edges.groupBy("p").agg(F.count("*").alias("n")))
+    seeds = edges.where(F.col("seed").isNotNull()).select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    scores = seeds
+    union = lambda c: 1 - F.exp(F.sum(F.log1p(-F.least(c, F.lit(0.999)))))
     for _ in range(rounds):
-        size = edges.groupBy("p").agg(F.count("*").alias("n"))
         said = edges.join(scores, "instance").groupBy("p", "kind").agg(F.sum("score").alias("mass")).join(size, "p")
-        said = said.select("p", "kind", (F.col("mass") / (F.col("n") + F.lit(PRIOR))).alias("conf")).where(F.col("conf") >= confidence / 2)
-        new = edges.where(F.col("seed").isNull()).join(said, "p").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
-        scores = durable(edges.where(F.col("seed").isNotNull()).select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct().unionByName(new.where(F.col("score") >= confidence / 2)))
+        said = durable(said.select("p", "kind", (F.col("mass") / (F.col("n") + F.lit(PRIOR))).alias("conf")).where(F.col("conf") >= confidence / 2))
+        new = edges.where(F.col("seed").isNull()).join(_small(said), "p").groupBy("instance", "kind").agg(union(F.col("conf")).alias("score"))
+        scores = durable(seeds.unionByName(new.where(F.col("score") >= confidence / 2)))
     good = edges.join(scores, "instance").where(F.col("seed").isNull() & (F.col("score") >= confidence)).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))
-    return near.where(F.col("kind") == "token").join(good, "instance").select(*keys, F.col("found").alias("kind"), "s", "e")
+    tokens = near.where(F.col("kind") == "token").join(good, "instance").select(*keys, F.col("found").alias("kind"), "s", "e")
+    side = lambda x: F.coalesce(F.max(F.when(F.col("side") == x, F.col("conf"))), F.lit(0.0))
+    here = words.distinct().withColumnRenamed("kind", "unit").join(_small(said), "p").groupBy(*keys, "unit", "s", "e", "kind").agg(union(F.col("conf")).alias("score"), side("l").alias("l"), side("r").alias("r"), side("b").alias("b"))
+    sure = (F.col("score") >= confidence) & ((F.col("unit") == "word") | (F.col("b") >= confidence) | ((F.col("l") > 0) & (F.col("r") > 0)))
+    here = here.where(sure).groupBy(*keys, "s", "e").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")).select(*keys, "kind", "s", "e")
+    return tokens.unionByName(here)
+
+
+def _merged(spans: Column) -> Column:
+    """Overlapping spans as one with the kind of the first of the longest."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x.s.alias("s"), (-x.e).alias("back"), x.kind.alias("kind"))))
+    empty = F.array().cast("array<struct<kind:string,s:int,e:int>>")
+    span = lambda kind, s, e: F.array(F.struct(kind.alias("kind"), s.alias("s"), e.alias("e")))
+
+    def add(a: Column, x: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        longer = F.when(-x.back - x.s > last.e - last.s, x.kind).otherwise(last.kind)
+        return F.when((F.size(a) > 0) & (x.s < last.e), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), span(longer, last.s, F.greatest(last.e, -x.back)))).otherwise(F.concat(a, span(x.kind, x.s, -x.back)))
+
+    return F.aggregate(order, empty, add)
 
 
 def _listed(spans: Column) -> Column:
@@ -154,7 +276,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     `row` tells texts of one key apart. Null texts count as empty and have no spans; repeated rows give repeated rows."""
     rows = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(key)).alias("row"), F.col(text))
     found = durable(occurrences(rows, [key, "row"], text))
-    extra = discover(found, [key, "row"]).distinct().groupBy("row").agg(F.collect_list(F.struct("kind", "s", "e")).alias("extra"))
+    extra = discover(found, [key, "row"], rows, text).distinct().groupBy("row").agg(_merged(F.collect_list(F.struct("kind", "s", "e"))).alias("extra"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     return found.select(key, "row", "base").join(extra, "row", "left").select(key, "row", "base", _ordered(F.concat("base", F.coalesce("extra", none))).alias("spans"))
 

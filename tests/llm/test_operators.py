@@ -236,6 +236,24 @@ def test_pii_discovers_and_redacts(spark):
     assert "[email]" in out[0].text and "@" not in out[0].text and out[0].n_chars == len(out[0].text) and out[13].text == prose(30, 3)
 
 
+def card(k):
+    s = f"4539{k:011d}"
+    d = [int(c) * 2 if n % 2 == 0 else int(c) for n, c in enumerate(reversed(s))]
+    return s + str(-sum(v - 9 if v > 9 else v for v in d) % 10)
+
+
+def test_pii_discovers_without_digits_and_in_groups(spark):
+    seen = [f"{prose(8, k)} my email is user{k}@mail{k}.example.org thanks {prose(5, 900 + k)}" for k in range(12)] + [f"{prose(4, k)}  card number {card(k * 77)}, expires soon {prose(5, 700 + k)}" for k in range(12)]
+    planted = {30: ("email", "jane.doe(at)mail.example", "my email is {} thanks"), 31: ("card", "4539 1488 0343 6468", "card number\n{}, expires soon"), 32: ("email", "jane at mail example", "my email is {} thanks"), 33: ("email", "user12345(at)mail.example", "my email is {} thanks"), 34: ("card", "4539 1488 0343 6468", "card number {} " + prose(3, 4))}
+    texts = {k: f"{prose(7, 60 + k)} é😀 {c.format(v)} {prose(4, 80 + k)}" for k, (_, v, c) in planted.items()}
+    d = spark.createDataFrame([*enumerate(seen), *texts.items(), (50, prose(300, 3)), (51, None), (52, "email is"), (53, " ")], "doc_id long, text string")
+    got = rows(pii.report(d))
+    assert {k: got[k].spans for k in planted} == {k: f"{kind}:{texts[k].index(v)}:{texts[k].index(v) + len(v)}" for k, (kind, v, _) in planted.items()}
+    assert all(got[k].n_found == 0 for k in [*range(24), 50, 51, 52, 53])
+    out = rows(pii.stage(spark, d, ""))
+    assert out[30].text == texts[30].replace(planted[30][1], "[email]") and out[31].text == texts[31].replace(planted[31][1], "[card]")
+
+
 def test_language(spark, none):
     langs = {"aa": "the and of with house water", "bb": "der und das haus wasser nicht", "cc": "el la casa agua que no los"}
     data = [(k, " ".join(random.Random(k).choices(langs[c].split(), k=25)), c, "x") for k, c in enumerate("aa bb cc".split() * 60)]
