@@ -348,7 +348,8 @@ def progress_replay(spark, sf_dir):
 
 
 def tokenizer(spark, sf_dir):
-    return _ann(spark, sf_dir).select("image_id", text.tokenize(F.col("caption")).alias("ids"))
+    ids = _ann(spark, sf_dir).select("image_id", text.tokenize(F.col("caption")).alias("ids"))
+    return ids.withColumn("mask", text.attention_mask(F.col("ids")))
 
 
 # ---------------------------------------------------------------- boxes

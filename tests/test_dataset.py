@@ -87,6 +87,18 @@ def test_text_rules(spark):
     assert spark.range(1).select(text.bucket_of_path(F.lit("x\\full\\1.jpg")), text.webp_path(F.lit("train/a/b.c/1.jpg"))).first()[0:2] == ("full", "a/b.c/1.webp")
 
 
+def test_tokenizer_keeps_the_first_98_words_and_gives_a_mask(spark, tmp_path):
+    from brindle.plans import dataset
+
+    texts = [" ".join(f"w{k}" for k in range(200)), "A  dog", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'aa' AS lang", "'s' AS source", "0L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.image_id: r for r in dataset.tokenizer(spark, str(tmp_path)).collect()}
+    assert [sum(got[k].mask) for k in range(3)] == [100, 4, 2] and all(len(got[k].ids) == 100 == len(got[k].mask) for k in range(3))
+    assert got[0].ids[0] == 1 and got[0].ids[99] == 2 and len(set(got[0].ids[1:99])) > 90 and got[1].ids[3:5] == [2, 0]
+    assert all((i != 0) == (m == 1) for k in range(3) for i, m in zip(got[k].ids, got[k].mask, strict=True))
+
+
 def test_boxes(spark):
     b = F.array(*[F.lit(x) for x in (0.2, 0.2, 0.2, 0.6)])
     assert spark.range(1).select(geometry.xyxy_to_xywh(b)).first()[0][2] == 1e-6
