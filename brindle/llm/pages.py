@@ -22,6 +22,8 @@ from .common import durable, fits_broadcast
 
 #: Most winning paths that are broadcast; beyond that the join shuffles by host.
 BROADCAST_HOSTS = 100_000
+#: What text counts in an element whose class, id or role has a word of furniture.
+DOUBT = 0.3
 
 # Element names of HTML, and words of class names and ids that mark page furniture.
 _RAW = "script style noscript template textarea iframe svg math object select title"
@@ -46,42 +48,45 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("furniture", "name", "path")
+    __slots__ = ("doubtful", "furniture", "name", "path", "size")
 
-    def __init__(self, name: str, path: str, furniture: bool):
-        self.name, self.path, self.furniture = name, path, furniture
+    def __init__(self, name: str, path: str, furniture: bool, doubtful: bool = False):
+        self.name, self.path, self.furniture, self.doubtful, self.size = name, path, furniture, doubtful, 0
 
 
 def blocks(page: str) -> list[tuple[str, int, list[_Element]]]:
-    """(text, characters in links, elements around it from the root) of each block of a page outside furniture, in order."""
-    out: list = []
+    """(text, characters in links, elements around it from the root) of each block of a page outside furniture, in order.
+
+    Furniture is told by element names, or by a class, id or role that is a word of _NOISE as a whole; it is hidden
+    unless it holds most of the page's text outside links."""
+    raw: list = []
     stack: list[_Element] = []
-    text: list[str] = []
-    links, in_link, hidden = 0, 0, 0
+    text: list[tuple[str, int, list[_Element]]] = []
+    hiding: list[_Element] = []
+    in_link, whole = 0, 0
 
     def flush():
-        nonlocal links
         if text:
-            t = _SPACES.sub(" ", _html.unescape("".join(text))).strip()
-            if t and not hidden:
-                out.append((t, links, list(stack)))
+            raw.append((list(text), list(stack)))
             text.clear()
-        links = 0
 
     def pop():
-        nonlocal in_link, hidden
+        nonlocal in_link, hiding
         e = stack.pop()
         in_link -= e.name == "a"
-        hidden -= e.furniture
+        if e.furniture:
+            hiding = hiding[:-1]
 
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
-            if not hidden:
-                t = m["text"]
-                text.append(t)
-                if in_link:
-                    links += len(t)
+            t = m["text"]
+            text.append((t, len(t) if in_link else 0, hiding))
+            if not in_link:
+                n = len(t.strip())
+                whole += n
+                for e in hiding:
+                    e.size += n
             continue
         tag = m["tag"]
         if tag is None:
@@ -100,7 +105,7 @@ def blocks(page: str) -> list[tuple[str, int, list[_Element]]]:
             continue
         if tag == "br" or tag in _VOID and tag not in _BLOCK:
             if tag == "br":
-                text.append(" ")
+                text.append((" ", 0, hiding))
             continue
         if tag in _BLOCK:
             flush()
@@ -119,23 +124,32 @@ def blocks(page: str) -> list[tuple[str, int, list[_Element]]]:
                     break
         names = [(a.lower(), b or c or d or "") for a, b, c, d in _NAMES.findall(m["attrs"])] if m["attrs"] else []
         cls = " ".join(v for k, v in names if k == "class")
-        marks = {w.lower() for k, v in names for w in _WORDS.findall(v)}
+        marks = {w.lower() for k, v in names for w in _WORDS.findall(v)} & _NOISE if tag not in ("html", "body", "main", "article") else set()
+        sure = bool(marks) and any(w in marks for _, v in names for w in v.lower().split())
         label = tag + "".join("." + c for c in sorted(_DIGITS.sub("#", cls).split()))
-        e = _Element(tag, (stack[-1].path + "/" if stack else "") + label, tag in _FURNITURE or bool(marks & _NOISE) and tag not in ("html", "body", "main", "article"))
+        e = _Element(tag, (stack[-1].path + "/" if stack else "") + label, tag in _FURNITURE or sure, bool(marks))
         if m["attrs"].endswith("/") and tag not in _BLOCK:
             continue
         stack.append(e)
         in_link += tag == "a"
-        hidden += e.furniture
+        if e.furniture:
+            hiding = [*hiding, e]
     flush()
+    out = []
+    for pieces, around in raw:
+        shown = [(t, n) for t, n, over in pieces if all(e.name != "head" and 2 * e.size > whole for e in over)]
+        t = _SPACES.sub(" ", _html.unescape("".join(t for t, _ in shown))).strip()
+        if t:
+            out.append((t, sum(n for _, n in shown), around))
     return out
 
 
 def scores(found: list[tuple[str, int, list[_Element]]]) -> dict[str, float]:
-    """Score of each container path: text outside links, halved with each element between block and container."""
+    """Score of each container path: text outside links, less with each element between block and container, and less in
+    elements whose names have a word of _NOISE."""
     out: dict[str, float] = {}
     for text, links, around in found:
-        gain = max(0, len(text) - 2 * links)
+        gain = max(0, len(text) - 2 * links) * (DOUBT if any(e.doubtful for e in around) else 1)
         containers = [e for e in around if e.name in _BLOCK and e.name not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dd", "dt", "pre", "figcaption", "summary", "html")]
         for k, e in enumerate(reversed(containers)):
             out[e.path] = out.get(e.path, 0) + gain * 0.7**k * (1.3 if e.name in ("article", "main") else 1)

@@ -291,6 +291,12 @@ def test_pages(spark):
     assert pages.extract(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrap", ['<div class="layout no-sidebar">', '<div id="content" class="post comments-open">', '<div class="widget">', "<form>"])
+def test_pages_keep_wrapped_articles(wrap):
+    page = f'<body>{wrap}<h1 class="header-title">Headline</h1><p>A long article that holds most of the text of this page. <span class="share">Share me</span></p><div class="sidebar">side words</div></div></body>'
+    assert pages.text_of(page, None) == "Headline\nA long article that holds most of the text of this page."
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
