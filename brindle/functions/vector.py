@@ -1,18 +1,17 @@
-"""Vector expressions on array columns, kept inside code generation."""
+"""Vector expressions on array columns."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column, dim: int) -> Column:
-    """Inner product of the first `dim` elements in double precision, added from left to right.
+    """Inner product of the first `dim` elements in double precision, added from left to right; null if one is missing.
 
-    Written out element by element, so it is compiled rather than interpreted as a higher-order function."""
-    return reduce(lambda s, i: s + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double"), range(dim), F.lit(0.0))
+    A fold over products: written out element by element, the generated method would be too large to be compiled."""
+    products = F.zip_with(F.slice(a, 1, dim), F.slice(b, 1, dim), lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(v: Column) -> Column:

@@ -5,27 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import saved
+from .components import drop_saved, saved
 
 
-def stable_match(edges: DataFrame, by: list[str] | None = None, max_rounds: int = 200) -> DataFrame:
+#: Most edges that one task matches by itself.
+FOLD_EDGES = 200_000
+
+
+def _match_rest(edges: DataFrame, by: list[str]) -> DataFrame:
+    """The stable matching of few edges: pairs from the best one down, each whose two sides are still free."""
+    import pandas as pd
+
+    def walk(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["score", "query_id", "gallery_id"], ascending=[False, True, True])
+        queries, galleries, keep = set(), set(), []
+        for q, g in zip(p.query_id, p.gallery_id, strict=True):
+            free = q not in queries and g not in galleries
+            keep.append(free)
+            if free:
+                queries.add(q)
+                galleries.add(g)
+        return p[keep]
+
+    return edges.groupBy(*(by or [F.lit("").alias("all")])).applyInPandas(walk, edges.schema)
+
+
+def stable_match(edges: DataFrame, by: list[str] | None = None, fold: int = FOLD_EDGES) -> DataFrame:
     """(by..., query_id, gallery_id, score): the stable matching of candidate edges (query_id, gallery_id, score).
 
     Both sides rank a pair by its score, so a pair that is best for both is in every stable matching. Each round takes all such
-    pairs at once and drops their rows; ties go to the smaller query, then gallery id. Unmatched queries are left out."""
+    pairs at once and drops their rows; ties go to the smaller query, then gallery id. Unmatched queries are left out.
+    Long chains would take a round for each pair, so what is left is matched in one task once it is at most `fold` edges."""
     by = by or []
     left = saved(edges.select(*by, "query_id", "gallery_id", "score"))
     matched = None
     best = F.struct(F.col("score"), -F.col("query_id"), -F.col("gallery_id"))
-    for _ in range(max_rounds):
+    while left.limit(fold + 1).count() > fold:
         q = left.groupBy(*by, "query_id").agg(F.max(best).alias("bq"))
         g = left.groupBy(*by, "gallery_id").agg(F.max(best).alias("bg"))
         hit = saved(left.join(q, [*by, "query_id"]).join(g, [*by, "gallery_id"]).where((F.col("bq") == best) & (F.col("bg") == best)).select(*by, "query_id", "gallery_id", "score"))
         matched = hit if matched is None else matched.unionByName(hit)
-        left = saved(left.join(hit.select(*by, "query_id"), [*by, "query_id"], "left_anti").join(hit.select(*by, "gallery_id"), [*by, "gallery_id"], "left_anti"))
-        if left.isEmpty():
-            return matched
-    raise RuntimeError("matching did not settle")
+        before, left = left, saved(left.join(hit.select(*by, "query_id"), [*by, "query_id"], "left_anti").join(hit.select(*by, "gallery_id"), [*by, "gallery_id"], "left_anti"))
+        drop_saved(before)
+    rest = _match_rest(left, by)
+    return rest if matched is None else matched.unionByName(rest)
 
 
 def promote(order: DataFrame, match: DataFrame, by: list[str] | None = None) -> DataFrame:

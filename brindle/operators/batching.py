@@ -7,24 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_key
 from ..functions.vector import hash_uniform
+from .components import saved
 from .ordering import numbered
 
 
 def pair_batches(pairs: DataFrame, batch: int, epoch: int, seed: int = 2026) -> DataFrame:
     """(epoch, batch, slot, a, b, grp): batches of batch/2 pairs with distinct groups; every pair at most once.
 
-    A pair's layer is its place within its group in hash order; a layer holds each group once, so batches cut from one
-    layer have distinct groups. A layer's incomplete tail is dropped."""
+    Pairs in the order of their groups are dealt to the batches in turn: a group has no more pairs than there are
+    batches, so they go to different ones. There are as many full batches as any plan could have; what is left is fewer
+    pairs than a batch takes, and of a group with more pairs than batches the rest in hash order."""
     if batch % 2:
         raise ValueError("batch size must be even")
     k = batch // 2
     h = stable_key(seed, epoch, "pair", F.concat_ws("-", "a", "b"))
-    rows = pairs.withColumn("h", h).withColumn("layer", F.row_number().over(Window.partitionBy("grp").orderBy("h")))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("layer").orderBy("h")))
-    size = rows.groupBy("layer").agg(F.floor(F.count("*") / k).alias("full"))
-    first = size.withColumn("before", F.sum("full").over(Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, 0)) - F.col("full"))
-    rows = rows.join(first, "layer").where(F.col("rn") <= F.col("full") * k)
-    return rows.select(F.lit(epoch).alias("epoch"), (F.col("before") + F.floor((F.col("rn") - 1) / k)).alias("batch"), ((F.col("rn") - 1) % k).alias("slot"), "a", "b", "grp")
+    order = ["gh", "grp", "h", "a", "b"]
+    rows = numbered(pairs.select("a", "b", "grp", h.alias("h"), stable_key(seed, epoch, "group", F.col("grp")).alias("gh")), order)
+    groups = saved(rows.groupBy("grp").agg(F.min("rn").alias("first"), F.count("*").alias("size")))
+    kept = rows.join(groups, "grp").crossJoin(F.broadcast(_full_batches(groups, k))).where(F.col("rn") - F.col("first") < F.col("full"))
+    dealt = numbered(kept.select("a", "b", "grp", "full", F.col("rn").alias("at")), "at").where(F.col("rn") <= F.col("full") * k)
+    at = F.col("rn") - 1
+    return dealt.select(F.lit(epoch).alias("epoch"), (at % F.col("full")).alias("batch"), F.floor(at / F.col("full")).alias("slot"), "a", "b", "grp")
+
+
+def _full_batches(groups: DataFrame, k: int) -> DataFrame:
+    """(full): the largest number B of batches of k pairs for which the groups, with at most B pairs each, have B * k.
+
+    Between two sizes that occur, small groups give all they have and each larger one gives B; so few rows decide."""
+    sizes = groups.groupBy("size").agg(F.count("*").alias("c"))
+    upto = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    zero = sizes.sparkSession.createDataFrame([(0, 0)], "size long, c long")
+    steps = sizes.unionByName(zero).withColumn("small", F.sum(F.col("size") * F.col("c")).over(upto)).withColumn("larger", F.sum("c").over(Window.partitionBy()) - F.sum("c").over(upto))
+    steps = steps.withColumn("next", F.lead("size").over(Window.orderBy("size")))
+    most = F.when(F.col("larger") >= k, F.col("next")).otherwise(F.least(F.coalesce("next", F.col("small")), F.floor(F.col("small") / (k - F.col("larger")))))
+    return steps.select(F.when(most >= F.col("size"), most).alias("most")).agg(F.coalesce(F.max("most"), F.lit(0)).alias("full"))
 
 
 def unpaired(plan: DataFrame) -> DataFrame:

@@ -4,26 +4,38 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back, so that a loop's lineage stays short."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local folder in local
+    mode (tests), and an error on a cluster."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.brindle.shared", None)
+    if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-brindle-")
+        spark.conf.set("spark.brindle.shared", path)
+    return path
+
+
+def saved(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """`df` written to the shared folder and read back, so that a loop's lineage stays short.
+
+    tidy: let Spark's cleaner remove the shuffle files behind the written table now, for tables that took large ones."""
     spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.brindle.shared", None)
-    if top is None:
-        top = tempfile.mkdtemp(prefix="spark-brindle-")
-        spark.conf.set("spark.brindle.shared", top)
-    path = os.path.join(top, f"brindle-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"brindle-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files behind the written table
+    if tidy:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

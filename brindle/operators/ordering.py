@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import saved
+
 
 def numbered(df: DataFrame, key: str | list[str], partitions: int | None = None, name: str = "rn") -> DataFrame:
     """`df` with 1-based numbers in key order (ties in no fixed order).
 
     Rows are dealt by range; numbers are local to a range plus the rows of the ranges before it, which are summed over
-    one row per range."""
+    one row per range. The dealt table is saved: range bounds are drawn anew whenever they are computed, and both uses
+    must see the same ones."""
     keys = [key] if isinstance(key, str) else key
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id())
+    dealt = saved(df.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id()))
     size = dealt.groupBy("__p").agg(F.count("*").alias("__c"))
     before = size.select("__p", (F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__b"))
     local = dealt.withColumn("__l", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))

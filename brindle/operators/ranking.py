@@ -16,10 +16,15 @@ BROADCAST_QUERIES = 20_000
 
 
 def scores(queries: DataFrame, gallery: DataFrame, dim: int = 64, blocks: int | None = None) -> DataFrame:
-    """(query_id, gallery_id, score) of all pairs, with the queries' and gallery's columns other than vec."""
+    """(query_id, gallery_id, score) of all pairs, with the queries' and gallery's columns other than vec.
+
+    A gallery in fewer partitions than there are cores is dealt out first, so that all cores score."""
     q = queries.withColumnRenamed("vec", "qv")
     g = gallery.withColumnRenamed("vec", "gv")
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        if g.rdd.getNumPartitions() < cores:
+            g = g.repartition(cores, "gallery_id")
         pairs = g.crossJoin(F.broadcast(q))
     else:
         n = blocks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BUCKETS, hard_score, stable_key, text_key
+from .components import drop_saved, saved
 
 #: Shares of the buckets.
 RATIOS = dict(zip(BUCKETS, (0.37109, 0.34398, 0.28493), strict=True))
@@ -86,8 +87,23 @@ def fill_gallery(rows: DataFrame, queries: DataFrame, quota: dict[str, int], see
 def nested_subsets(ordered: DataFrame, sizes: list[int]) -> DataFrame:
     """(size, image_id): subsets that contain each other, each filling its bucket quotas in order without repeating a text.
 
-    ordered: image_id, bucket, ord, key, hard_key. A choice depends on all texts used before, so the walk is sequential; it
-    sees hashes of eligible rows only, no more than the largest size needs after each text's first rows are kept."""
+    ordered: image_id, bucket, ord, key, hard_key. A choice depends on all texts used before, so the walk is sequential. It
+    sees hashes of the first rows of each bucket only, four times the largest size; where a bucket runs out of them,
+    because many texts repeat, the walk begins anew with twice as many, so it never needs the whole table at once unless
+    the answer depends on it."""
+    lean = saved(ordered.select("image_id", "bucket", "ord", F.xxhash64("key").alias("key"), F.xxhash64("hard_key").alias("hard_key")))
+    most, depth = lean.agg(F.max("ord")).first()[0] or 0, 4 * max(sizes)
+    while True:
+        out = saved(_walk(lean.where(F.col("ord") <= depth), sizes, depth >= most))
+        if out.where("size < 0").isEmpty():
+            drop_saved(lean)
+            return out
+        drop_saved(out)
+        depth *= 2
+
+
+def _walk(rows: DataFrame, sizes: list[int], final: bool) -> DataFrame:
+    """nested_subsets() of few rows; one row of size -1 if a bucket runs out, an error if that is `final`."""
 
     def walk(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["bucket", "ord"])
@@ -99,7 +115,9 @@ def nested_subsets(ordered: DataFrame, sizes: list[int]) -> DataFrame:
                 rows = lists.get(b, [])
                 while have.get(b, 0) < q:
                     if at.get(b, 0) >= len(rows):
-                        raise ValueError(f"bucket {b} is exhausted at size {n}")
+                        if final:
+                            raise ValueError(f"bucket {b} is exhausted at size {n}")
+                        return pd.DataFrame([(-1, 0)], columns=["size", "image_id"])
                     i, key, hard = rows[at[b]]
                     at[b] += 1
                     if key in used or hard in used:
@@ -110,5 +128,4 @@ def nested_subsets(ordered: DataFrame, sizes: list[int]) -> DataFrame:
             out += [(n, i) for i in chosen]
         return pd.DataFrame(out, columns=["size", "image_id"])
 
-    lean = ordered.select("image_id", "bucket", "ord", F.xxhash64("key").alias("key"), F.xxhash64("hard_key").alias("hard_key"))
-    return lean.groupBy(F.lit(1).alias("one")).applyInPandas(walk, "size long, image_id long")
+    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(walk, "size long, image_id long")

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_key
-from .components import connected
+from .components import connected, saved
+from .guards import assert_empty
+from .ordering import numbered
 
 RATIOS = {"train": 0.8, "dev": 0.1, "report": 0.1}
-#: Most components that the fold below takes; it runs over (component, size) records only.
-MAX_COMPONENTS = 5_000_000
 
 
 def video_components(rows: DataFrame) -> DataFrame:
-    """(video_id, component): videos that hard pairs connect; component is the smallest video. Rows: image_id, hard_id, video_id."""
+    """(video_id, component): videos that hard pairs connect; component is the smallest video. Rows: image_id, hard_id, video_id.
+
+    A row whose target isn't there, and an image in two videos, break the contract: a pair could be split unseen."""
+    assert_empty(rows.where(F.col("hard_id").isNotNull()).select("hard_id").distinct().join(rows.select(F.col("image_id").alias("hard_id")), "hard_id", "left_anti"), "hard targets are missing")
+    assert_empty(rows.groupBy("image_id").agg(F.count_distinct("video_id").alias("videos")).where("videos > 1"), "images in several videos")
     target = rows.select(F.col("image_id").alias("hard_id"), F.col("video_id").alias("hard_video"))
     edges = rows.join(target, "hard_id").select(F.col("video_id").alias("src"), F.col("hard_video").alias("dst"))
-    return connected(edges).select(F.col("node").alias("video_id"), "component")
+    own = rows.where(F.col("hard_id").isNull()).select(F.col("video_id").alias("src"), F.col("video_id").alias("dst"))
+    return connected(edges.unionByName(own)).select(F.col("node").alias("video_id"), "component")
 
 
 def component_sizes(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -30,29 +37,48 @@ def ordered(sizes: DataFrame, seed: int = 2026) -> DataFrame:
     return sizes.withColumn("key", stable_key(seed, "split", "component", F.col("component")))
 
 
+def _dealt_counts(sizes: list[tuple[int, int]], ratios: dict[str, float]) -> list[tuple[int, int, int, int, float]]:
+    """(size, split, rows held before, components dealt, target) for each size, larger first: how many components each split gets.
+
+    While components of one size are dealt, a split's need falls by the same amount each time it is chosen, so the
+    choices are the largest needs of all splits. All but a few of them follow from where the needs meet; those are taken
+    one by one, with ties as in deal()."""
+    total = sum(n * c for n, c in sizes)
+    target = [total * r for r in ratios.values()]
+    held, out = [0] * len(target), []
+    for n, c in sorted(sizes, reverse=True):
+        need = [(t - h) / t for t, h in zip(target, held, strict=True)]
+        low, high = min(need) - c * n / min(target) - 1, max(need)
+        count = lambda level: [max(0, math.floor((x - level) * t / n)) for x, t in zip(need, target, strict=True)]  # noqa: E731, B023
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(count(middle)) > c else (low, middle)
+        got = [max(0, x - len(target)) for x in count(high)]
+        while sum(got) < c:
+            now = [h + n * g for h, g in zip(held, got, strict=True)]
+            got[min(range(len(target)), key=lambda k: (-(target[k] - now[k]) / target[k], now[k], k))] += 1  # noqa: B023
+        out += [(n, k, held[k], g, target[k]) for k, g in enumerate(got) if g]
+        held = [h + n * g for h, g in zip(held, got, strict=True)]
+    return out
+
+
 def deal(sizes: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = 2026) -> DataFrame:
     """(component, n_rows, split): each component goes to the split with the largest share of its target still open.
 
-    Ties go to the split with fewer rows, then to the earlier one. Each decision depends on all before it, so this is
-    one fold over compact records; the number of components is checked first."""
-    if sizes.count() > MAX_COMPONENTS:
-        raise ValueError("too many components to deal in one fold")
-    names = list(ratios)
-    rows = ordered(sizes, seed).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_rows")).alias("neg"), "key", "component"))).alias("list"), F.sum("n_rows").alias("total"))
-    target = [F.col("total") * F.lit(r) for r in ratios.values()]
-    start = F.struct(F.array(*[F.lit(0).cast("long")] * len(names)).alias("held"), F.array().cast("array<struct<component:bigint,n_rows:bigint,split:int>>").alias("out"))
-
-    def pick(held: Column) -> Column:
-        need = [(target[k] - F.get(held, F.lit(k))) / target[k] for k in range(len(names))]
-        order = F.array(*[F.struct((-need[k]).alias("d"), F.get(held, F.lit(k)).alias("c"), F.lit(k).alias("k")) for k in range(len(names))])
-        return F.array_min(order).k
-
-    def step(a: Column, x: Column) -> Column:
-        k = pick(a.held)
-        return F.struct(F.transform(a.held, lambda c, i: F.when(i == k, c - x.neg).otherwise(c)).alias("held"), F.concat(a.out, F.array(F.struct(x.component.alias("component"), (-x.neg).alias("n_rows"), k.alias("split")))).alias("out"))
-
-    dealt = rows.select(F.explode(F.aggregate("list", start, step).out).alias("x")).select("x.*")
-    return dealt.select("component", "n_rows", F.get(F.array(*[F.lit(n) for n in names]), F.col("split")).alias("split"))
+    Ties go to the split with fewer rows, then to the earlier one. Each decision depends on all before it, but only
+    through the rows that the splits hold. So the driver folds over the table of sizes (a table of N rows has fewer
+    than sqrt(2 N) different sizes) and finds how many components of each size go where; within a size the splits'
+    needs, in falling order, give the turns, which meet the components by number."""
+    spark = sizes.sparkSession
+    rows = saved(ordered(sizes, seed))
+    counts = _dealt_counts([(r.n_rows, r.c) for r in rows.groupBy("n_rows").agg(F.count("*").alias("c")).collect()], ratios)
+    turns = spark.createDataFrame(counts, "n_rows long, split int, held long, c long, target double").select("n_rows", "split", "held", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("j"))
+    turns = turns.withColumn("now", F.col("held") + F.col("j") * F.col("n_rows"))
+    turns = turns.select((-F.col("n_rows")).alias("neg"), (-(F.col("target") - F.col("now")) / F.col("target")).alias("d"), "now", "split")
+    turns = numbered(turns, ["neg", "d", "now", "split"]).select("rn", "split")
+    names = F.array(*[F.lit(n) for n in ratios])
+    placed = numbered(rows.withColumn("neg", -F.col("n_rows")), ["neg", "key", "component"])
+    return placed.join(turns, "rn").select("component", "n_rows", F.get(names, F.col("split")).alias("split"))
 
 
 def by_video(components: DataFrame, dealt: DataFrame) -> DataFrame:

@@ -87,10 +87,16 @@ def reject_reasons(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("reason", sampling.reject_reason()).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _candidate_order(p):
+    """`p` with ord: within a bucket harder pairs first, then rarer labels, then by stable hash."""
+    p = p.withColumn("of_label", F.count("*").over(Window.partitionBy("bucket", "label")))
+    w = Window.partitionBy("bucket").orderBy(F.desc("hardness"), "of_label", text.stable_key(SEED, "train", "order", F.col("image_id")), "image_id")
+    return p.withColumn("ord", F.row_number().over(w))
+
+
 def hard_score_order(spark, sf_dir):
     p = _pairs(spark, sf_dir).withColumn("hardness", sampling.pair_score())
-    w = Window.partitionBy("bucket").orderBy(F.desc("hardness"), text.stable_key(SEED, "train", "order", F.col("image_id")), "image_id")
-    return p.select("image_id", "bucket", "hardness", F.row_number().over(w).alias("ord"))
+    return _candidate_order(p).select("image_id", "bucket", "hardness", "ord")
 
 
 def rare_label_boost(spark, sf_dir):
@@ -130,14 +136,13 @@ def stable_hash_order(spark, sf_dir):
 
 def nested_subset(spark, sf_dir):
     p = _pairs(spark, sf_dir).where(sampling.reject_reason().isNull()).withColumn("hardness", sampling.pair_score())
-    w = Window.partitionBy("bucket").orderBy(F.desc("hardness"), text.stable_key(SEED, "train", "order", F.col("image_id")), "image_id")
-    o = p.select("image_id", "bucket", F.row_number().over(w).alias("ord"), text.text_key(F.col("caption")).alias("key"), text.text_key(F.col("hard_c")).alias("hard_key"))
+    o = _candidate_order(p).select("image_id", "bucket", "ord", text.text_key(F.col("caption")).alias("key"), text.text_key(F.col("hard_c")).alias("hard_key"))
     return sampling.nested_subsets(o, SIZES)
 
 
 def _selected(spark, sf_dir):
-    """Anchors for the manifest: eligible pairs with an even image number."""
-    return _pairs(spark, sf_dir).where(sampling.reject_reason().isNull() & (F.col("image_id") % 2 == 0))
+    """Anchors for the manifest: all eligible pairs."""
+    return _pairs(spark, sf_dir).where(sampling.reject_reason().isNull())
 
 
 def hard_edges(spark, sf_dir):
@@ -257,7 +262,7 @@ def stride_sample(spark, sf_dir):
 
 
 def asset_union(spark, sf_dir):
-    a = _ann(spark, sf_dir).where("image_id % 2 = 0")
+    a = _ann(spark, sf_dir)
     names = _ann(spark, sf_dir).select(F.col("image_id").alias("hard_id"), F.col("image").alias("hard_image"))
     both = a.select(F.col("image").alias("path"), "image_id", F.lit("anchor").alias("role")).unionByName(a.join(names, "hard_id").select(F.col("hard_image").alias("path"), F.col("hard_id").alias("image_id"), F.lit("target").alias("role")))
     return both.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.min("image_id").alias("image_id"))

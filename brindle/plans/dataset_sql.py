@@ -62,7 +62,7 @@ gal AS (SELECT image_id, bucket, true AS is_query FROM eq UNION ALL SELECT image
 MAN = (
     DEAL
     + """,
-sel AS (SELECT * FROM pr WHERE reason IS NULL AND image_id % 2 = 0),
+sel AS (SELECT * FROM pr WHERE reason IS NULL),
 mt AS (SELECT image_id, hard_id AS pair_image_id, caption, key, video_id, bucket, label, label_type, scene, action, split, false AS is_hard_target, image FROM sel
   UNION ALL SELECT image_id, NULL, caption, key, video_id, bucket, label, label_type, scene, action, split, true, image FROM asp WHERE image_id IN (SELECT hard_id FROM sel) AND image_id NOT IN (SELECT image_id FROM sel)),
 ma AS (FROM mt UNION ALL SELECT image_id, NULL, caption, key, video_id, bucket, label, label_type, scene, action, split, false, image FROM asp WHERE split <> 'train')
@@ -94,13 +94,13 @@ PAIRS = (
     MAN
     + """,
 rp AS (SELECT image_id AS a, hard_id AS b, video_id AS grp FROM sel),
-pb AS (SELECT *, sha256('2026:{e}:pair:' || a || '-' || b) AS h FROM rp),
-pl AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h) AS layer FROM pb),
-pn AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY h) AS rn FROM pl),
-pf AS (SELECT layer, count(*) // 8 AS full_n FROM pn GROUP BY 1),
-ps AS (SELECT layer, full_n, sum(full_n) OVER (ORDER BY layer) - full_n AS before FROM pf),
-plan AS (SELECT {e} AS epoch, CAST(before + (rn - 1) // 8 AS BIGINT) AS batch, CAST((rn - 1) % 8 AS INT) AS slot, a, b, grp FROM pn JOIN ps USING (layer) WHERE rn <= full_n * 8),
-up AS (SELECT epoch, batch, (slot * 2)::INT AS pos, a AS row_id, (slot * 2 + 1)::BIGINT AS partner_pos FROM plan UNION ALL SELECT epoch, batch, (slot * 2 + 1)::INT, b, (slot * 2)::BIGINT FROM plan)
+pb AS (SELECT *, sha256('2026:{e}:pair:' || a || '-' || b) AS h, sha256('2026:{e}:group:' || grp) AS gh FROM rp),
+pl AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h, a, b) AS turn FROM pb),
+pz AS (SELECT grp, count(*) AS size FROM pb GROUP BY 1),
+pf AS (SELECT coalesce(max(n), 0) AS full_n FROM (SELECT n FROM (SELECT unnest(range(0, (SELECT count(*) // 8 + 1 FROM pb))) AS n), pz GROUP BY n HAVING sum(least(size, n)) >= n * 8)),
+pk AS (SELECT *, row_number() OVER (ORDER BY gh, grp, turn) - 1 AS place FROM pl, pf WHERE turn <= full_n),
+plan AS (SELECT {e} AS epoch, place % full_n AS batch, place // full_n AS slot, a, b, grp FROM pk WHERE place < full_n * 8),
+up AS (SELECT epoch, batch, slot * 2 AS pos, a AS row_id, slot * 2 + 1 AS partner_pos FROM plan UNION ALL SELECT epoch, batch, slot * 2 + 1, b, slot * 2 FROM plan)
 """
 )
 P0, P1 = PAIRS.replace("{e}", "0"), PAIRS.replace("{e}", "1")
@@ -128,7 +128,7 @@ SQL = {
     "ordered_components": ANN + COMP + "SELECT component, n_rows, place FROM cord",
     "quota_apportion": "WITH one AS (SELECT 1)" + QUOTA + "SELECT CAST(n AS BIGINT) AS n, bucket, CAST(quota AS BIGINT) AS quota FROM quota WHERE n NOT IN (20, 40)",
     "reject_reasons": ANN + DEAL + "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM pr GROUP BY 1",
-    "hard_score_order": ANN + DEAL + "SELECT image_id, bucket, hardness, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, sha256('2026:train:order:' || image_id), image_id)::INT AS ord FROM pr",
+    "hard_score_order": ANN + DEAL + "SELECT image_id, bucket, hardness, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, of_label, sha256('2026:train:order:' || image_id), image_id)::INT AS ord FROM (SELECT *, count(*) OVER (PARTITION BY bucket, label) AS of_label FROM pr)",
     "rare_label_boost": ANN + "SELECT bucket, label, count(*) AS n, round(pow(count(*), -0.25), 6) AS rarity FROM ann GROUP BY 1, 2",
     "eval_queries": ANN + EVAL + "SELECT image_id, bucket, h FROM eq",
     "eval_gallery": ANN + EVAL + "SELECT image_id, bucket, is_query FROM gal",
@@ -152,7 +152,7 @@ SQL = {
     "chunk_partition": "SELECT CAST(doc_id // 50 AS INT) AS chunk, count(*) AS n FROM documents GROUP BY 1",
     "shard_sizes": "SELECT shard, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS shard FROM documents) GROUP BY 1",
     "stride_sample": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, greatest(1, count(*) OVER () // 64) AS stride FROM documents) SELECT doc_id AS image_id FROM r WHERE k % stride = 0 AND k // stride < 64",
-    "asset_union": ANN + ", u AS (SELECT image AS path, image_id, 'anchor' AS role FROM ann WHERE image_id % 2 = 0 UNION ALL SELECT y.image, y.image_id, 'target' FROM ann x JOIN ann y ON y.image_id = x.hard_id WHERE x.image_id % 2 = 0) SELECT path, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, min(image_id) AS image_id FROM u GROUP BY 1",
+    "asset_union": ANN + ", u AS (SELECT image AS path, image_id, 'anchor' AS role FROM ann UNION ALL SELECT y.image, y.image_id, 'target' FROM ann x JOIN ann y ON y.image_id = x.hard_id) SELECT path, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, min(image_id) AS image_id FROM u GROUP BY 1",
     "text_key": ANN + "SELECT image_id, md5(key) AS key_md5 FROM an",
     "caption_hash": "SELECT doc_id AS image_id, CAST('0x' || substr(sha256(lower(trim(text))), 1, 15) AS BIGINT) AS hash FROM documents",
     "long_caption_rate": ANN + r"SELECT bucket, round(avg((len(list_filter(regexp_split_to_array(caption, '\s+'), lambda w: w <> '')) > 72)::INT), 6) AS rate FROM ann GROUP BY 1",

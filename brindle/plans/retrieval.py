@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import clamp, dot, l2_normalize, norm, temperature
 from ..operators import assignment, experiment, ranking
+from ..operators.components import saved
 from ..operators.ordering import first_rows
 from ..sources import fixtures
 
@@ -21,26 +22,31 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.scores(q, g)
 
 
-def _second_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-K candidates with score and gt_score, scored once and saved for the stages that follow."""
+    return saved(ranking.candidates(_scored(spark, sf_dir).select("query_id", "gallery_id", "score", "gt_score"), K))
+
+
+def _second_stage(spark: SparkSession, sf_dir: str, cand: DataFrame | None = None) -> DataFrame:
     """Top-K candidates with first-stage score, min-max of it, and the pair score of the first 32 dimensions."""
-    cand = ranking.candidates(_scored(spark, sf_dir).select("query_id", "gallery_id", "score"), K)
+    cand = (cand or _candidates(spark, sf_dir)).drop("gt_score")
     q = fixtures.retrieval_queries(spark, sf_dir).select("query_id", F.col("vec").alias("qv"))
     g = fixtures.gallery(spark, sf_dir).select("gallery_id", F.col("vec").alias("gv"))
     pair = cand.join(q, "query_id").join(g, "gallery_id").withColumn("pair_score", dot(F.col("qv"), F.col("gv"), 32)).drop("qv", "gv")
     return pair.withColumn("first_norm", ranking.minmax(F.col("score"), ["query_id"]))
 
 
-def _fused(spark: SparkSession, sf_dir: str, alpha: float = 2.0) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, cand: DataFrame | None = None, alpha: float = 2.0) -> DataFrame:
     """query_id, gallery_id, score (fused), pos."""
-    f = _second_stage(spark, sf_dir).withColumn("score", F.col("pair_score") + F.lit(alpha) * F.col("first_norm"))
+    f = _second_stage(spark, sf_dir, cand).withColumn("score", F.col("pair_score") + F.lit(alpha) * F.col("first_norm"))
     return ranking.rerank(f.select("query_id", "gallery_id", "score"), ["query_id"], "score")
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _truth(spark: SparkSession, sf_dir: str, cand: DataFrame) -> DataFrame:
     """query_id, gt_id, first_rank, above."""
     s = _scored(spark, sf_dir)
     rank = s.groupBy("query_id").agg(F.max("gt_id").alias("gt_id"), F.sum((F.col("score") >= F.col("gt_score")).cast("long")).alias("first_rank"))
-    above = ranking.candidates(s, K).where("score >= gt_score").groupBy("query_id").agg(F.count("*").alias("above"))
+    above = cand.where("score >= gt_score").groupBy("query_id").agg(F.count("*").alias("above"))
     return rank.join(above, "query_id", "left").withColumn("above", F.coalesce("above", F.lit(0)))
 
 
@@ -96,7 +102,8 @@ def _candidate_report(order: DataFrame, truth: DataFrame, by: list[str] | None =
 
 
 def candidate_report(spark, sf_dir):
-    return _candidate_report(_fused(spark, sf_dir), _truth(spark, sf_dir))
+    cand = _candidates(spark, sf_dir)
+    return _candidate_report(_fused(spark, sf_dir, cand), _truth(spark, sf_dir, cand))
 
 
 def top1_conflicts(spark, sf_dir):
@@ -125,18 +132,20 @@ def postprocess_none(spark, sf_dir):
 
 def two_stage_report(spark, sf_dir):
     """Candidates, fusion, stable matching, promotion and the final report."""
-    return _candidate_report(assignment.resolve(_fused(spark, sf_dir), "stable"), _truth(spark, sf_dir))
+    cand = _candidates(spark, sf_dir)
+    return _candidate_report(assignment.resolve(_fused(spark, sf_dir, cand), "stable"), _truth(spark, sf_dir, cand))
 
 
 def alpha_sweep(spark, sf_dir) -> DataFrame:
     """Report of every alpha and method."""
-    base = _second_stage(spark, sf_dir).select("query_id", "gallery_id", "pair_score", "first_norm")
+    cand = _candidates(spark, sf_dir)
+    base = _second_stage(spark, sf_dir, cand).select("query_id", "gallery_id", "pair_score", "first_norm")
     alphas = F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha")
     swept = base.select("*", alphas).withColumn("score", F.col("pair_score") + F.col("alpha") * F.col("first_norm"))
     order = ranking.rerank(swept.select("alpha", "query_id", "gallery_id", "score"), ["alpha", "query_id"], "score")
     stable = assignment.promote(order, assignment.stable_match(order, ["alpha"]), ["alpha"])
     both = order.withColumn("method", F.lit("none")).unionByName(stable.withColumn("method", F.lit("stable")))
-    return _candidate_report(both, _truth(spark, sf_dir), ["alpha", "method"])
+    return _candidate_report(both, _truth(spark, sf_dir, cand), ["alpha", "method"])
 
 
 def alpha_sweep_select(spark, sf_dir):

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,54 @@ def test_sources_and_sinks(spark, tmp_path):
     s = tables.shards(spark.range(10), "id", 4).groupBy("shard").count().orderBy("shard").collect()
     assert [r["count"] for r in s] == [4, 4, 2]
     assert tables.fingerprint(m).first() == tables.fingerprint(m.repartition(3)).first()
+
+
+def test_contracts_break_the_build(spark):
+    rows = "image_id long, hard_id long, video_id long"
+    with pytest.raises(ContractError, match="hard targets"):
+        splits.video_components(spark.createDataFrame([(1, 9, 1)], rows))
+    with pytest.raises(ContractError, match="several videos"):
+        splits.video_components(spark.createDataFrame([(1, 2, 1), (1, 2, 2), (2, 1, 1)], rows))
+    alone = splits.video_components(spark.createDataFrame([(1, None, 7), (2, 3, 8), (3, 2, 8)], rows))
+    assert {(r.video_id, r.component) for r in alone.collect()} == {(7, 7), (8, 8)}
+
+
+def one_by_one(sizes, ratios):
+    total = sum(n for _, n in sizes)
+    target, held, out = {k: total * r for k, r in ratios.items()}, dict.fromkeys(ratios, 0), {}
+    for c, n in sizes:
+        k = min(ratios, key=lambda k: (-((target[k] - held[k]) / target[k]), held[k], list(ratios).index(k)))
+        held[k] += n
+        out[c] = k
+    return out
+
+
+@pytest.mark.parametrize("ratios", [splits.RATIOS, {"a": 0.5, "b": 0.5}, {"a": 0.7, "b": 0.2, "c": 0.06, "d": 0.04}])
+def test_deal_equals_one_decision_after_the_other(spark, ratios):
+    rng = random.Random(3)
+    sizes = spark.createDataFrame([(k, rng.choice([1, 1, 1, 2, 3, 5, 8, 40])) for k in range(700)], "component long, n_rows long")
+    order = splits.ordered(sizes, 2026).orderBy(F.desc("n_rows"), "key", "component").collect()
+    got = {r.component: r.split for r in splits.deal(sizes, ratios).collect()}
+    assert got == one_by_one([(r.component, r.n_rows) for r in order], ratios)
+
+
+@pytest.mark.parametrize("sizes, k", [([30, 1, 1], 2), ([5, 5, 5, 1], 4), ([1] * 23, 5), ([7, 6, 2, 2, 1, 1, 1], 3), ([4], 2), ([1, 1], 3)])
+def test_pair_batches_lose_only_the_tail(spark, sizes, k):
+    pairs = [(g * 1000 + j, -(g * 1000 + j), g) for g, n in enumerate(sizes) for j in range(n)]
+    got = batching.pair_batches(spark.createDataFrame(pairs, "a long, b long, grp long"), 2 * k, 1).collect()
+    full = max(n for n in range(sum(sizes) // k + 1) if sum(min(s, n) for s in sizes) >= n * k)
+    by = {}
+    for r in got:
+        by.setdefault(r.batch, []).append((r.slot, r.grp))
+    assert sorted(by) == list(range(full)) and len({r.a for r in got}) == len(got)
+    assert all(sorted(s for s, _ in v) == list(range(k)) and len({g for _, g in v}) == k for v in by.values())
+
+
+def test_nested_subsets_look_further_when_texts_repeat(spark):
+    rows = [(100 * b + k, name, k + 1, f"same{b}" if k < 60 else f"t{b}-{k}", f"h{b}-{k}") for b, name in enumerate(text.BUCKETS) for k in range(90)]
+    d = spark.createDataFrame(rows, "image_id long, bucket string, ord int, key string, hard_key string")
+    got = sampling.nested_subsets(d, [3, 9]).collect()
+    small, large = ({r.image_id for r in got if r.size == n} for n in (3, 9))
+    assert small < large and len(small) == 3 and len(large) == 9 and all(i % 100 == 0 or i % 100 >= 60 for i in large)
+    with pytest.raises(Exception, match="exhausted"):
+        sampling.nested_subsets(d, [300])

@@ -92,6 +92,12 @@ def test_matching_has_no_blocking_pair(spark):
             assert not (s[a, b] > (s[a, q[a]] if a in q else -1) and s[a, b] > s[g[b], b])
 
 
+def test_matching_in_rounds_equals_matching_in_one_task(spark):
+    chain = spark.createDataFrame([(q, q + d, float(100 - 2 * q - d)) for q in range(30) for d in (0, 1)] + [(50, 50, 1.0)], "query_id long, gallery_id long, score double")
+    a, b = ({(r.query_id, r.gallery_id) for r in assignment.stable_match(chain, fold=n).collect()} for n in (0, 1000))
+    assert a == b == {(q, q) for q in range(30)} | {(50, 50)}
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         assignment.resolve(order(spark, [[0]], [[1]]), "other")
