@@ -6,7 +6,6 @@ short strings. Word hashes and shingle hashes depend on the words only, never on
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import drop_saved as drop_durable  # noqa: F401
-from ..operators.components import saved as durable  # noqa: F401
+from ..operators.components import saved, shared_dir  # noqa: F401
 
 _U = np.uint64
 _MAX_SLICE = 1 << 20
@@ -26,13 +25,9 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.brindle.shared", None)
-    if path is None:
-        path = tempfile.mkdtemp(prefix="spark-brindle-")
-        spark.conf.set("spark.brindle.shared", path)
-    return path
+def durable(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder; the shuffle files behind it go."""
+    return saved(df, tidy=True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -47,6 +42,14 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- flat buffers
 
 
