@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .common import durable, fits_broadcast
 BROADCAST_HOSTS = 100_000
 #: What text counts in an element whose class, id or role has a word of furniture.
 DOUBT = 0.3
+#: Block elements that a path names, and levels above a block that it votes for.
+DEPTH = 30
 
 # Element names of HTML, and words of class names and ids that mark page furniture.
 _RAW = "script style noscript template textarea iframe svg math object select title"
@@ -35,12 +38,14 @@ _FURNITURE = frozenset("nav header footer aside form button menu dialog head".sp
 _NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header menu nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    rf"|<(?P<raw>{'|'.join(_RAW.split())})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
+    rf"|<(?P<raw>{'|'.join(_RAW.split())})(?=[\s/>])(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
+_NO_CONTAINER = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dd dt pre figcaption summary html".split())
+_NEVER = frozenset("html body main article".split())
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -48,121 +53,164 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("doubtful", "furniture", "name", "path", "size")
+    """An open element; path names the block elements from the root to it, down to DEPTH of them."""
 
-    def __init__(self, name: str, path: str, furniture: bool, doubtful: bool = False):
-        self.name, self.path, self.furniture, self.doubtful, self.size = name, path, furniture, doubtful, 0
+    __slots__ = ("block", "container", "depth", "doubtful", "furniture", "name", "parent", "path", "size")
 
+    def __init__(self, name: str, label: str, parent: _Element | None, furniture: bool = False, doubtful: bool = False):
+        above = parent.path if parent else ""
+        self.name, self.parent, self.furniture, self.size = name, parent, furniture, 0
+        self.block = name in _BLOCK
+        self.depth = (parent.depth if parent else 0) + self.block
+        self.path = (f"{above}/{label}" if above else label) if self.block and self.depth <= DEPTH else above
+        self.doubtful = doubtful or bool(parent and parent.doubtful)
+        self.container = self.block and name not in _NO_CONTAINER
 
-def blocks(page: str) -> list[tuple[str, int, list[_Element]]]:
-    """(text, characters in links, elements around it from the root) of each block of a page outside furniture, in order.
 
-    Furniture is told by element names, or by a class, id or role that is a word of _NOISE as a whole; it is hidden
-    unless it holds most of the page's text outside links."""
+def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
+    """(text, characters in links, innermost element around it) of each block of a page outside furniture, in order.
+
+    Furniture is told by element names, or by a class, id or role of a block element that is a word of _NOISE as a
+    whole; it is hidden unless it holds most of the page's text outside links. Time is linear in the page's length,
+    however deep elements nest and however many are left open."""
     raw: list = []
     stack: list[_Element] = []
-    text: list[tuple[str, int, list[_Element]]] = []
-    hiding: list[_Element] = []
-    in_link, whole = 0, 0
+    opened: Counter[str] = Counter()
+    text: list[tuple[str, int, tuple]] = []
+    hiding: tuple[_Element, ...] = ()
+    whole = 0
 
     def flush():
         if text:
-            raw.append((list(text), list(stack)))
+            raw.append((list(text), stack[-1] if stack else None))
             text.clear()
 
     def pop():
-        nonlocal in_link, hiding
+        nonlocal hiding
         e = stack.pop()
-        in_link -= e.name == "a"
-        if e.furniture:
+        opened[e.name] -= 1
+        if hiding and e is hiding[-1]:
             hiding = hiding[:-1]
 
+    def close(names: set[str], within: set[str] = frozenset()) -> None:
+        """Close the innermost open element of `names` and all in it, if no element of `within` is open inside it."""
+        if not any(opened[n] for n in names):
+            return
+        at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name in names or stack[i].name in within)
+        if stack[at].name in names:
+            if any(e.block for e in stack[at:]):
+                flush()
+            while len(stack) > at:
+                pop()
+
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
             t = m["text"]
-            text.append((t, len(t) if in_link else 0, hiding))
-            if not in_link:
+            link = opened["a"] > 0
+            text.append((t, len(t) if link else 0, hiding))
+            if not link:
                 n = len(t.strip())
                 whole += n
-                for e in hiding:
-                    e.size += n
+                if hiding:
+                    hiding[-1].size += n
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == tag), None)
-            if at is None:
+            if not opened[tag]:
                 if tag in _BLOCK:
                     flush()
-                continue
-            if any(e.name in _BLOCK for e in stack[at:]):
-                flush()
-            while len(stack) > at:
-                pop()
-            continue
-        if tag == "br" or tag in _VOID and tag not in _BLOCK:
-            if tag == "br":
-                text.append((" ", 0, hiding))
+            else:
+                close({tag})
             continue
+        if tag == "br":
+            text.append((" ", 0, hiding))
         if tag in _BLOCK:
             flush()
         if tag in _VOID:
             continue
-        if tag in _ENDS_P and (at := next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == "p"), None)) is not None:
-            while len(stack) > at:
+        if tag in _BLOCK:
+            while stack and not stack[-1].block and stack[-1].name != "a":  # inline elements end where a block begins
                 pop()
+        if tag in _ENDS_P:
+            close({"p"})
         if tag in _SELF_CLOSING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name in _SELF_CLOSING[tag]:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i].name in ("ul", "ol", "dl", "table", "select"):
-                    break
-        names = [(a.lower(), b or c or d or "") for a, b, c, d in _NAMES.findall(m["attrs"])] if m["attrs"] else []
-        cls = " ".join(v for k, v in names if k == "class")
-        marks = {w.lower() for k, v in names for w in _WORDS.findall(v)} & _NOISE if tag not in ("html", "body", "main", "article") else set()
-        sure = bool(marks) and any(w in marks for _, v in names for w in v.lower().split())
-        label = tag + "".join("." + c for c in sorted(_DIGITS.sub("#", cls).split()))
-        e = _Element(tag, (stack[-1].path + "/" if stack else "") + label, tag in _FURNITURE or sure, bool(marks))
+            close(_SELF_CLOSING[tag], {"ul", "ol", "dl", "table", "select"})
         if m["attrs"].endswith("/") and tag not in _BLOCK:
             continue
+        parent = stack[-1] if stack else None
+        if tag in _BLOCK:
+            names = [(a.lower(), b or c or d or "") for a, b, c, d in _NAMES.findall(m["attrs"])] if m["attrs"] else []
+            cls = " ".join(v for k, v in names if k == "class")
+            marks = {w.lower() for k, v in names for w in _WORDS.findall(v)} & _NOISE if tag not in _NEVER else set()
+            sure = bool(marks) and any(w in marks for _, v in names for w in v.lower().split())
+            e = _Element(tag, tag + "".join("." + c for c in sorted(_DIGITS.sub("#", cls).split())), parent, tag in _FURNITURE or sure, bool(marks))
+        else:
+            e = _Element(tag, tag, parent, tag in _FURNITURE)
         stack.append(e)
-        in_link += tag == "a"
-        if e.furniture:
-            hiding = [*hiding, e]
+        opened[tag] += 1
+        if e.furniture and len(hiding) < DEPTH:
+            hiding = (*hiding, e)
     flush()
     out = []
+    total: dict[int, int] = {}  # text within each piece of furniture and those inside it
+    for over in dict.fromkeys(h for pieces, _ in raw for _, _, h in pieces):
+        for e in over:
+            total.setdefault(id(e), 0)
+    seen: set[int] = set()
+    for pieces, _ in raw:
+        for _, _, over in pieces:
+            if over and id(over[-1]) not in seen:
+                seen.add(id(over[-1]))
+                for e in over:
+                    total[id(e)] += over[-1].size
     for pieces, around in raw:
-        shown = [(t, n) for t, n, over in pieces if all(e.name != "head" and 2 * e.size > whole for e in over)]
+        shown = [(t, n) for t, n, over in pieces if all(e.name != "head" and 2 * total[id(e)] > whole for e in over)]
         t = _SPACES.sub(" ", _html.unescape("".join(t for t, _ in shown))).strip()
         if t:
             out.append((t, sum(n for _, n in shown), around))
     return out
 
 
-def scores(found: list[tuple[str, int, list[_Element]]]) -> dict[str, float]:
+def scores(found: list[tuple[str, int, _Element | None]]) -> dict[str, float]:
     """Score of each container path: text outside links, less with each element between block and container, and less in
-    elements whose names have a word of _NOISE."""
+    elements whose names have a word of _NOISE. Containers more than DEPTH levels above a block get nothing from it."""
     out: dict[str, float] = {}
-    for text, links, around in found:
-        gain = max(0, len(text) - 2 * links) * (DOUBT if any(e.doubtful for e in around) else 1)
-        containers = [e for e in around if e.name in _BLOCK and e.name not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dd", "dt", "pre", "figcaption", "summary", "html")]
-        for k, e in enumerate(reversed(containers)):
-            out[e.path] = out.get(e.path, 0) + gain * 0.7**k * (1.3 if e.name in ("article", "main") else 1)
+    for text, links, e in found:
+        gain = max(0, len(text) - 2 * links) * (DOUBT if e is not None and e.doubtful else 1)
+        k = 0
+        while e is not None and k < DEPTH:
+            if e.container:
+                out[e.path] = out.get(e.path, 0) + gain * 0.7**k * (1.3 if e.name in ("article", "main") else 1)
+                k += 1
+            e = e.parent
     return out
 
 
 def best(found: list) -> str | None:
+    """The container path with the highest score; ties go to the smaller path."""
     s = scores(found)
     return max(sorted(s), key=s.get) if s else None
 
 
 def under(found: list, path: str) -> list[str]:
-    return [t for t, _, around in found if any(e.path == path for e in around)]
+    """Texts of the blocks inside an element on `path`."""
+    known: dict[int, bool] = {}
+
+    def inside(e: _Element | None) -> bool:
+        way = []
+        while e is not None and id(e) not in known and e.path != path:
+            way.append(e)
+            e = e.parent
+        got = e is not None and known.get(id(e), True)
+        for x in way:
+            known[id(x)] = got
+        return got
+
+    return [t for t, _, e in found if inside(e)]
 
 
 def text_of(page: str | None, path: str | None) -> str:
@@ -208,7 +256,7 @@ def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 def winners(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, path): the path with the highest score on each host; ties go to the smaller path."""
     v = votes(pages, url, html).withColumn("score", F.round("score", 6))
-    return v.groupBy("host").agg(F.max_by("path", F.struct("score", F.col("pages"), "path")).alias("path"))
+    return v.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), -F.col("pages"), "path")).alias("path"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
