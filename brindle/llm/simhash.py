@@ -16,6 +16,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop_durable, durable
+
 BITS, BLOCKS, RADIUS = 128, 8, 6
 _STRETCH, _MAX_WEIGHT = 2048, 15
 _LANES = 0x0001000100010001
@@ -111,19 +113,21 @@ def compare(docs: DataFrame, radius: int = RADIUS, query_every: int = 20) -> Dat
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within.
 
     n_within: for documents whose doc_id is divisible by `query_every`, how many other documents have a fingerprint
-    within `radius`; null for the others. Null texts count as empty; rows without doc_id are left out; rows that
-    repeat a doc_id and text give one row."""
-    from .common import durable
-
-    both = edited(docs.where(F.col("doc_id").isNotNull()))
+    within `radius`; null for the others. Null texts count as empty. A row without doc_id has no next document: its
+    edited text ends early and near_next is 1. Repeated rows give repeated rows; of several texts with one doc_id the
+    next document is the one whose head, or for near_next whose fingerprint, is smallest."""
+    both = edited(docs.select("doc_id", "text"))
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id"))
+    times = docs.groupBy(own.alias("row")).agg(F.count("*").alias("times")).where("times > 1")
     digest = F.sha2(F.col("edited").cast("binary"), 256)
     quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"d{k}") for k in range(4)]
-    tall = both.select("doc_id", F.xxhash64("text").alias("row"), F.char_length("text").cast("long").alias("n_chars"), *quarters, F.explode(F.array(F.struct(F.lit(0).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(1).alias("is_edited"), F.col("edited").alias("t")))).alias("x"))
+    tall = both.select("doc_id", F.xxhash64("text", "doc_id").alias("row"), F.char_length("text").cast("long").alias("n_chars"), *quarters, F.explode(F.array(F.struct(F.lit(0).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(1).alias("is_edited"), F.col("edited").alias("t")))).alias("x"))
     tall = tall.select("doc_id", "row", "n_chars", "d0", "d1", "d2", "d3", "x.is_edited", "x.t")
     fp = fingerprints(tall, ["doc_id", "row", "is_edited"], "t", ["n_chars", "d0", "d1", "d2", "d3"])
     pick = lambda k, name: F.max(F.when(F.col("is_edited") == k, F.col("fp"))).alias(name)
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
     one = fp.groupBy("doc_id", "row", "n_chars", "d0", "d1", "d2", "d3").agg(pick(0, "fingerprint"), pick(1, "edited_fingerprint"))
+    one = one.join(times, "row", "left").withColumn("each", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("times").cast("int"), F.lit(1)))))
     one = durable(one.select("doc_id", "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint"))
     after = following(one).join(one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fp")), "next_id").select("doc_id", "next_fp")
     copies = one.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n"))
