@@ -4,28 +4,33 @@ A string of `length` bytes is found by one suffix: the one that starts at its an
 hashed 16-gram in the first part of the string. The anchor depends on the string alone, so equal strings have
 equal anchors, and only suffixes at anchors (about one in a hundred) enter the arrays.
 
-A suffix array is a table of suffixes ordered by their first eight bytes, then by a hash of the bytes that all
-strings with this anchor share. Each new batch of documents gets a suffix array, is merge-scanned (a sort-merge join)
-against the existing levels for equal suffixes, and becomes a level itself; levels of equal size merge, so there
-are as many levels as the number of batches has binary ones. Suffixes that meet again are compared in full: first the
-bytes of all strings of an anchor at once, then of stretches of 16 strings, and single strings only where a
-stretch neither repeats as a whole nor is ruled out by what its strings share.
-
-Text bytes stay with their documents: what moves is hashes and positions. Copies, however many, are counted before
-they are shuffled.
+A suffix array is a table of suffixes in the order of their first eight bytes, and among equal ones in the order of a
+hash of the bytes that all strings with this anchor hold: beyond eight bytes the order is not that of the text, but
+suffixes with a long common beginning, the only ones that matter, are neighbours all the same. Each new batch of
+documents gets a suffix array, is merge-scanned (a sort-merge join) against the existing levels for such neighbours,
+and becomes a level itself; levels of equal size merge, so there are as many levels as the number of batches has
+binary ones. `Family` keeps its levels in a folder, so batches can be added by later runs. Suffixes that meet again
+are compared in full: first the bytes of all strings of an anchor at once, then of stretches of 16 strings, and single
+strings only where a stretch neither repeats as a whole nor is ruled out by what its strings share.
+
+What the search shuffles is hashes and positions; whole texts move only for documents with an open stretch and, once,
+with the ranges to remove. Copies, however many, are counted before they are shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable, flat, mix, prefix_hash, slices, span_hash
+from .common import drop_durable, durable, flat, mix, prefix_hash, shared_dir, slices, span_hash
 
 LENGTH, GRAM, WINDOW, STRETCH, BATCHES = 400, 16, 200, 16, 4
 _U = np.uint64
@@ -91,39 +96,84 @@ def suffixes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Dat
 
 
 class Family:
-    """Suffix arrays whose sizes double: level r holds 2**r batches."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+    """Suffix arrays whose sizes double: a level of rank r holds 2**r batches.
+
+    The levels are tables in the folder `path`. The last of its files `levels-NUMBER` names the current ones; a new one
+    appears in one step after its tables are written, so a run that breaks off leaves the family as it was."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop
+        self._path = hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.levels: list[tuple[int, str]] = []
+        self._fs.mkdirs(self._path(path))
+        self.number = max([int(n.split("-")[1]) for n in self._names() if re.fullmatch("levels-[0-9]+", n)], default=0)
+        if self.number:
+            lines = [r.value for r in spark.read.text(f"{path}/levels-{self.number}").collect()]
+            self.levels = sorted(((int(r), name) for r, name in (x.split(" ") for x in lines)), reverse=True)
+
+    def _names(self) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._path(self.path))]
+
+    def level(self, name: str) -> DataFrame:
+        return self.spark.read.schema("head long, key long, n long").parquet(f"{self.path}/{name}")
+
+    def _keep(self, levels: list[tuple[int, str]]) -> None:
+        out = self._fs.create(self._path(f"{self.path}/new"), True)
+        out.write("\n".join(f"{r} {name}" for r, name in levels).encode())
+        out.close()
+        self._fs.rename(self._path(f"{self.path}/new"), self._path(f"{self.path}/levels-{self.number + 1}"))
+        self._fs.delete(self._path(f"{self.path}/levels-{self.number}"), False)
+        self.number += 1
+        gone = {name for _, name in self.levels} - {name for _, name in levels}
+        self.levels = levels
+        for name in gone:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
+    def _written(self, array: DataFrame) -> str:
+        name = f"level-{uuid.uuid4().hex}"
+        array.groupBy("head", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "key").write.parquet(f"{self.path}/{name}")
+        return name
 
     def add(self, array: DataFrame, last: bool = False) -> DataFrame:
-        """Merge-scan a batch's suffix array against all levels, insert it, and return the suffixes met (head, key).
-
-        After the `last` batch nothing is merged, as nothing will be scanned against the levels."""
-        met = array.where("n > 1").select("head", "key")
-        for _, level in self.levels:
-            met = met.unionByName(array.hint("merge").join(level.select("head", "key"), ["head", "key"]).select("head", "key"))
+        """Merge-scan a batch (head, key, n) against all levels, insert it, and return the suffixes met (head, key).
+
+        The `last` batch of a family that is thrown away afterwards isn't merged."""
+        rank, name = 0, self._written(array)
+        mine = self.level(name)
+        met = mine.where("n > 1").select("head", "key")
+        for _, other in self.levels:
+            met = met.unionByName(mine.hint("merge").join(self.level(other).select("head", "key"), ["head", "key"]).select("head", "key"))
         met = durable(met.distinct())
-        rank, mine = 0, array
-        while not last and self.levels and self.levels[-1][0] == rank:
-            _, other = self.levels.pop()
-            merged = durable(mine.unionByName(other).groupBy("head", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "key"))
-            drop_durable(mine, other)
-            rank, mine = rank + 1, merged
-        self.levels.append((rank, mine))
+        levels, own = list(self.levels), [name]
+        while not last and levels and levels[-1][0] == rank:
+            _, other = levels.pop()
+            rank, name = rank + 1, self._written(self.level(name).unionByName(self.level(other)))
+            own.append(name)
+        self._keep([*levels, (rank, name)])
+        for x in own[:-1]:
+            self._fs.delete(self._path(f"{self.path}/{x}"), True)
         return met
 
+    def drop(self) -> None:
+        self._fs.delete(self._path(self.path), True)
+
+
+def array_of(found: DataFrame) -> DataFrame:
+    """(head, key, n): the suffix array of the anchors of suffixes()."""
+    return found.groupBy("head", "key").agg(F.count("*").alias("n"))
+
 
 def repeated(found: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(key) of suffixes that occur at two places or more, by adding `found` to a family in `batches` batches."""
-    family, met = Family(), None
+    family, met = Family(found.sparkSession, f"{shared_dir(found.sparkSession)}/family-{uuid.uuid4().hex}"), []
     for k in range(batches):
         batch = found.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == k)
-        array = durable(batch.groupBy("head", "key").agg(F.count("*").alias("n")).sortWithinPartitions("head", "key"))
-        hits = family.add(array, last=k == batches - 1)
-        met = hits if met is None else met.unionByName(hits)
-    out = durable(met.select("key").distinct())
-    drop_durable(*[level for _, level in family.levels])
+        met.append(family.add(array_of(batch), last=k == batches - 1))
+    out = durable(functools.reduce(DataFrame.unionByName, met).select("key").distinct())
+    drop_durable(*met)
+    family.drop()
     return out
 
 
@@ -171,7 +221,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """(row, lo, hi): ranges of starts of strings that occur elsewhere. `docs` has row (a key) and text."""
+    """(row, lo, hi): ranges of starts of strings that occur elsewhere, as many as repeated stretches at most. `docs` has row (a key) and text."""
     found = durable(suffixes(docs, length, window))
     again = repeated(found, batches)
     cand = durable(found.select("row", "p", "before", "more", "key", "full").join(again, "key"))
@@ -192,7 +242,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     # A string may also equal one whose stretch repeats as a whole, so all living stretches give their strings.
     single = alive.select("row", "own", "all", "i", F.posexplode("singles").alias("k", "s"))
     seen = single.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    alone = single.where("own AND NOT all").join(seen, "s", "left_semi").select("row", (F.col("i") + F.col("k")).alias("lo"), (F.col("i") + F.col("k")).alias("hi"))
+    alone = single.where("own AND NOT all").join(seen, "s", "left_semi").groupBy("row", "i").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    # neighbouring strings of a stretch become one range; a stretch has 16 at most
+    first = F.filter("ks", lambda k: ~F.array_contains("ks", k - 1))
+    last = F.filter("ks", lambda k: ~F.array_contains("ks", k + 1))
+    alone = alone.select("row", "i", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("x")).select("row", (F.col("i") + F.col("x.a")).alias("lo"), (F.col("i") + F.col("x.b")).alias("hi"))
     out = durable(whole.unionByName(together).unionByName(alone))
     drop_durable(again, cand, groups, listed, alive)
     return out
