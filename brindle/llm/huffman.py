@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import durable, flat, mix, prefix_hash, slices, span_hash
+from .common import drop_durable, durable, flat, mix, prefix_hash, slices, span_hash
 
 #: Longest code in bits; a table of 2**LIMIT entries decodes any code in one step.
 LIMIT = 16
@@ -45,9 +45,7 @@ def tokenizer(path: str) -> Tokenizer:
     """The tokenizer of a file, once per process; one thread each, as Spark runs a process per core."""
     if path not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _state[path] = t
+        _state[path] = Tokenizer.from_file(path)
     return _state[path]
 
 
@@ -79,8 +77,20 @@ def _odd(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-def _pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges of the pieces of all texts of a flat buffer."""
+def _added(data: np.ndarray, path: str) -> list[int]:
+    """Positions of the vocabulary's added tokens, which the library recognises in texts as well."""
+    raw, out = data.tobytes(), []
+    for token in tokenizer(path).get_added_tokens_decoder().values():
+        name = token.content.encode()
+        at = raw.find(name)
+        while at >= 0:
+            out.append(at)
+            at = raw.find(name, at + 1)
+    return out
+
+
+def _pieces(data: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the pieces of all texts of a flat buffer; a text with an added token isn't cut."""
     n = len(data)
     cut = np.zeros(n, bool)
     if n:
@@ -89,7 +99,7 @@ def _pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         letter = _ALNUM[data]
         letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
         cut[1:] |= _SIGN[data[1:]] & letter[:-1]
-        for d in np.unique(np.searchsorted(off, _odd(data), "right") - 1):
+        for d in np.unique(np.searchsorted(off, np.concatenate([_odd(data), np.array(_added(data, path), np.int64)]), "right") - 1):
             cut[off[d] : off[d + 1]] = False
         cut[off[:-1][np.diff(off) > 0]] = True
     s = np.flatnonzero(cut)
@@ -97,12 +107,13 @@ def _pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_flat(path: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts of a flat buffer in their stored type, offsets of each text's ids), without special tokens.
+    """(ids of all texts of a flat buffer in their stored type, offsets of each text's ids), as the library gives them with
+    add_special_tokens=False: nothing is put around a text, and an added token that stands in it gets its own id.
 
     Each text is cut where pre-splitting always cuts as well; the library encodes each distinct piece once, and a
     bounded memo keeps the ids of pieces seen. Pieces are told apart by a hash and checked by a second one."""
     tok, kind = tokenizer(path), width(path)
-    s, e = _pieces(data, off)
+    s, e = _pieces(data, off, path)
     if not len(s):
         return np.zeros(0, kind), np.zeros(len(off), np.int64)
     h, check = span_hash(prefix_hash(data), s, e), span_hash(prefix_hash(data, _OTHER_BYTE), s, e)
@@ -338,4 +349,5 @@ def round_trip(df: DataFrame, path: str, folder: str, end: int | None = 0, text:
     kind = width(path)
     lengths = lengths_of(ids, kind)
     write(ids, kind, lengths, folder, key)
+    drop_durable(ids)
     return read(df.sparkSession, folder, lengths, key)
