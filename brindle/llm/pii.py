@@ -6,7 +6,12 @@ and whatever else stands in a context that several seeds share, with or without
 round a pattern's confidence in a kind is the share of its instances that are of this kind, as far as known, and an
 instance's score is what its patterns say together; patterns with enough distinct seeds and high confidence thus
 discover identifiers that no base pattern describes, whose contexts then support further patterns. Tokens are found
-wherever they stand, other runs of words only where their own context says so. Contexts reach 48 characters.
+wherever they stand, other runs of words only where their own context says so. Contexts reach 48 characters; quotes
+around a value don't count as words, so `token = "x"` and `token = x` give one context.
+
+Besides the base finds, long tokens of letters and digits (`_secret_like`) are seeds of a fifth kind, `secret`. Their
+shape alone reports nothing: such a token becomes a span where a pattern that several of them share vouches for it, and
+so does any other value in that context.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fits_broadcast
+from .common import drop_durable, durable, fits_broadcast, fresh
 from .native import let, running
 
 #: The base patterns, written with possessive loops (same matches, no deep recursion). A local part starts
@@ -25,10 +30,15 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?=[0-9][\x20-]?[0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order of spans; and those whose spans come from the graph alone.
+ALL_KINDS, HIDDEN = (*KINDS, "secret"), ("token", "secret")
 #: Other identifier-like tokens: a run of token characters, and what a short word in brackets joins to it, with at least
 #: five digits in all.
 TOKEN = r"(?<![A-Za-z0-9_.+@/=-])(?=[A-Za-z_.+@/=-]*+[0-9])[A-Za-z0-9_.+@/=-]{6,}+(?:[(\[{][A-Za-z]{1,8}+[)\]}][A-Za-z0-9_.+@/=-]++)*+"
 
+#: A token of the kind `secret` has this many characters, and letters and digits in it, at least.
+SECRET_SIZE, SECRET_LETTERS = 32, 5
+_QUOTES = "[\"'`]"
 MIN_SEEDS, CONFIDENCE, ROUNDS, PRIOR = 3, 0.8, 3, 1.0
 _NEAR = 48
 #: Words in a candidate, and in one that is a run of groups of digits; marks that don't belong to a word at its ends.
@@ -83,9 +93,13 @@ def _checked(found: Column, kind: str) -> Column:
     return F.filter(found, lambda x: _valid(kind, x))
 
 
+def _secret_like(v: Column) -> Column:
+    return (F.char_length(v) >= SECRET_SIZE) & (F.char_length(F.regexp_replace(v, "[^A-Za-z]", "")) >= SECRET_LETTERS) & ~v.rlike(r"[.@()\[\]{}]")
+
+
 def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
     """`df` with the base spans as array<struct<kind, s, e, v>>, by kind as listed, then start, and column `tokens`:
-    other identifier-like tokens. Only texts that hold a character that a kind needs are searched for it."""
+    other identifier-like tokens, of kind token or secret. Only texts that hold a character that a kind needs are searched for it."""
     t = F.col(text)
     df = df.withColumn(text, F.coalesce(t, F.lit(""))).withColumn("__digit", t.rlike("[0-9]"))
     digit = F.col("__digit")
@@ -93,14 +107,16 @@ def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFram
         df = df.withColumn(f"__{name}", F.when(needed, matches(t, pattern, name)).otherwise(F.array().cast(SPANS)))
     df = df.withColumn(out, F.concat(*[_checked(F.col(f"__{k}"), k) for k in KINDS]))
     clear = lambda x, base: (F.length(_digits(x.v)) >= 5) & ~F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e))
-    df = df.withColumn("tokens", let(F.col(out), lambda base: F.filter("__token", lambda x: clear(x, base))))
+    named = lambda x: F.struct(F.when(_secret_like(x.v), "secret").otherwise("token").alias("kind"), x.s.alias("s"), x.e.alias("e"), x.v.alias("v"))
+    df = df.withColumn("tokens", let(F.col(out), lambda base: F.transform(F.filter("__token", lambda x: clear(x, base)), named)))
     return df.drop("__digit", "__token", *[f"__{k}" for k in KINDS])
 
 
 def _contexts(text: Column, spans: Column) -> Column:
-    """Each span with the two words before and after it, lower-cased; missing ones are empty."""
-    tail = lambda x: F.regexp_extract_all(F.lower(F.substring(text, F.greatest(x.s - _NEAR, F.lit(0)) + 1, F.least(x.s, F.lit(_NEAR)))), F.lit(r"[^\s]+"), F.lit(0))
-    head = lambda x: F.regexp_extract_all(F.lower(F.substring(text, x.e + 1, F.lit(_NEAR))), F.lit(r"[^\s]+"), F.lit(0))
+    """Each span with the two words before and after it, lower-cased and without quotes; missing ones are empty."""
+    bare = lambda x: F.regexp_replace(F.lower(x), _QUOTES, "")
+    tail = lambda x: F.regexp_extract_all(bare(F.substring(text, F.greatest(x.s - _NEAR, F.lit(0)) + 1, F.least(x.s, F.lit(_NEAR)))), F.lit(r"[^\s]+"), F.lit(0))
+    head = lambda x: F.regexp_extract_all(bare(F.substring(text, x.e + 1, F.lit(_NEAR))), F.lit(r"[^\s]+"), F.lit(0))
     word = lambda words, i: F.coalesce(F.get(words, i), F.lit(""))
 
     def one(x: Column) -> Column:
@@ -149,13 +165,15 @@ def _runs(pieces: Column, bits: Column, power: int) -> Column:
     none, zero = F.lit(""), F.lit(0)
     may = lambda *x: let(F.xxhash64(*x), lambda h: F.getbit(F.get(bits, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
+    bare = lambda x: F.regexp_replace(F.lower(x), _QUOTES, "")
+
     def split(x: Column) -> Column:
         left = F.ltrim(x.v, F.lit(_OPENING))
         core = F.rtrim(left, F.lit(_CLOSING))
         a = F.char_length(x.v) - F.char_length(left)
         b = a + F.char_length(core)
         number = core.rlike("^[0-9()+./-]*[0-9][0-9()+./-]*$") & F.substring(core, 1, 1).isin(*_IN_NUMBERS)
-        return F.struct(x.i.alias("i"), F.lower(x.v).alias("v"), a.alias("a"), b.alias("b"), F.lower(F.substring(x.v, F.lit(1), a)).alias("lead"), F.lower(F.substring(x.v, b + 1, F.char_length(x.v))).alias("trail"), number.alias("number"))
+        return F.struct(x.i.alias("i"), bare(x.v).alias("v"), a.alias("a"), b.alias("b"), bare(F.substring(x.v, F.lit(1), a)).alias("lead"), bare(F.substring(x.v, b + 1, F.char_length(x.v))).alias("trail"), number.alias("number"))
 
     def flagged(words: Column) -> Column:
         v = lambda i: F.coalesce(F.get(words, i).v, none)
@@ -196,20 +214,21 @@ def _runs(pieces: Column, bits: Column, power: int) -> Column:
     return F.transform(let(let(words, flagged), chosen), run)
 
 
-def candidates(rows: DataFrame, found: DataFrame, useful: DataFrame, marks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, kind ('word' for units, else 'words'), s, e, v, l2, l1, r1, r2 of the runs of words of `rows` that may stand in a useful context.
+def candidates(rows: DataFrame, found: DataFrame, useful: DataFrame, marks: DataFrame, keys: list[str], text: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """The saved tables to drop after use, and before them keys, kind ('word' for units, else 'words'), s, e, v, l2, l1, r1, r2 of the runs of words of `rows` that may stand in a useful context.
 
     A bitmap of the useful patterns, and of `marks`, the two words of those that need both sides, tells in each row which contexts to look at, so only these become rows. Runs that
     overlap a base span or lie in a token of `found` are left out."""
     power = max(6, min(16, (useful.count() * 8).bit_length()))
-    df = rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text)).crossJoin(F.broadcast(durable(_bitmap(useful.unionByName(marks), power))))
+    bitmap = durable(_bitmap(useful.unionByName(marks), power))
+    df = rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text)).crossJoin(F.broadcast(bitmap))
     # Written before anything else uses it, as filters and generators would each compute it again.
     runs = durable(df.select(*keys, let(F.split(text, r"\s", -1), lambda p: _runs(p, F.col("bits"), power)).alias("runs")))
     near = runs.select(*keys, F.explode("runs").alias("x")).select(*keys, "x.*")
-    taken = found.select(*keys, F.filter("near", lambda x: x.kind == "token").alias("tokens"), "base").where((F.size("tokens") > 0) | (F.size("base") > 0)).dropDuplicates(keys)
+    taken = found.select(*keys, F.filter("near", lambda x: x.kind.isin(*HIDDEN)).alias("tokens"), "base").where((F.size("tokens") > 0) | (F.size("base") > 0)).dropDuplicates(keys)
     s, e = F.col("s"), F.col("e")
     held = F.exists("base", lambda b: (b.s < e) & (s < b.e)) | F.exists("tokens", lambda b: (b.s <= s) & (e <= b.e))
-    return near.join(taken, keys, "left").where(~F.coalesce(held, F.lit(False))).drop("base", "tokens")
+    return near.join(taken, keys, "left").where(~F.coalesce(held, F.lit(False))).drop("base", "tokens"), [bitmap, runs]
 
 
 def discover(found: DataFrame, keys: list[str], rows: DataFrame, text: str = "text", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -222,8 +241,9 @@ def discover(found: DataFrame, keys: list[str], rows: DataFrame, text: str = "te
     useful = durable(seeded.groupBy("p").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p"))
     both = near.where(F.col("kind") != "token").select("l1", "r1", F.xxhash64(F.lit("B"), "l1", "r1").alias("p")).join(_small(useful), "p")
     marks = both.select(F.explode(F.array(F.xxhash64(F.lit("BL"), "l1"), F.xxhash64(F.lit("BR"), "r1"))).alias("p")).distinct()
-    words = candidates(rows, found, useful, marks, keys, text).withColumn("instance", F.xxhash64("v"))
-    words = durable(_patterns(words, *keys, "kind", "s", "e", "instance").join(_small(useful), "p"))
+    words, runs = candidates(rows, found, useful, marks, keys, text)
+    words, before = durable(_patterns(words.withColumn("instance", F.xxhash64("v")), *keys, "kind", "s", "e", "instance").join(_small(useful), "p")), runs
+    drop_durable(*before)
     # Whether a run of several words is one instance depends on both sides, so it speaks for neither side alone.
     counted = words.where((F.col("kind") == "word") | (F.col("side") == "b")).select("instance", F.lit(None).cast("string").alias("seed"), "p")
     edges = _patterns(near, "instance", "kind").join(_small(useful), "p").select("instance", F.when(F.col("kind") != "token", F.col("kind")).alias("seed"), "p")
@@ -232,18 +252,24 @@ def discover(found: DataFrame, keys: list[str], rows: DataFrame, text: str = "te
     seeds = edges.where(F.col("seed").isNotNull()).select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     scores = seeds
     union = lambda c: 1 - F.exp(F.sum(F.log1p(-F.least(c, F.lit(0.999)))))
+    steps = []
     for _ in range(rounds):
         said = edges.join(scores, "instance").groupBy("p", "kind").agg(F.sum("score").alias("mass")).join(size, "p")
         said = durable(said.select("p", "kind", (F.col("mass") / (F.col("n") + F.lit(PRIOR))).alias("conf")).where(F.col("conf") >= confidence / 2))
         new = edges.where(F.col("seed").isNull()).join(_small(said), "p").groupBy("instance", "kind").agg(union(F.col("conf")).alias("score"))
         scores = durable(seeds.unionByName(new.where(F.col("score") >= confidence / 2)))
-    good = edges.join(scores, "instance").where(F.col("seed").isNull() & (F.col("score") >= confidence)).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))
-    tokens = near.where(F.col("kind") == "token").join(good, "instance").select(*keys, F.col("found").alias("kind"), "s", "e")
+        steps += [said, scores]
+    good = edges.join(scores, "instance").where(F.col("seed").isNull() & (F.col("score") >= confidence)).select("instance", "kind", "score")
+    vouched = edges.where(F.col("seed") == "secret").join(_small(said.where((F.col("kind") == "secret") & (F.col("conf") >= confidence))), "p").select("instance", "kind", F.col("conf").alias("score"))
+    good = good.unionByName(vouched).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))
+    tokens = near.where(F.col("kind").isin(*HIDDEN)).join(good, "instance").select(*keys, F.col("found").alias("kind"), "s", "e")
     side = lambda x: F.coalesce(F.max(F.when(F.col("side") == x, F.col("conf"))), F.lit(0.0))
     here = words.distinct().withColumnRenamed("kind", "unit").join(_small(said), "p").groupBy(*keys, "unit", "s", "e", "kind").agg(union(F.col("conf")).alias("score"), side("l").alias("l"), side("r").alias("r"), side("b").alias("b"))
     sure = (F.col("score") >= confidence) & ((F.col("unit") == "word") | (F.col("b") >= confidence) | ((F.col("l") > 0) & (F.col("r") > 0)))
     here = here.where(sure).groupBy(*keys, "s", "e").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")).select(*keys, "kind", "s", "e")
-    return tokens.unionByName(here)
+    out = durable(tokens.unionByName(here).distinct())
+    drop_durable(useful, words, edges, size, *steps)
+    return out
 
 
 def _merged(spans: Column) -> Column:
@@ -265,7 +291,7 @@ def _listed(spans: Column) -> Column:
 
 
 def _ordered(spans: Column) -> Column:
-    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
+    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in ALL_KINDS]), k)
     tagged = F.array_sort(F.transform(spans, lambda x: F.struct(rank(x.kind).alias("r"), x.s.alias("s"), x.e.alias("e"), x.kind.alias("kind"))))
     return F.transform(tagged, lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e")))
 
@@ -276,36 +302,41 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     `row` tells texts of one key apart. Null texts count as empty and have no spans; repeated rows give repeated rows."""
     rows = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(key)).alias("row"), F.col(text))
     found = durable(occurrences(rows, [key, "row"], text))
-    extra = discover(found, [key, "row"], rows, text).distinct().groupBy("row").agg(_merged(F.collect_list(F.struct("kind", "s", "e"))).alias("extra"))
+    more = discover(found, [key, "row"], rows, text)
+    extra = more.groupBy("row").agg(_merged(F.collect_list(F.struct("kind", "s", "e"))).alias("extra"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    return found.select(key, "row", "base").join(extra, "row", "left").select(key, "row", "base", _ordered(F.concat("base", F.coalesce("extra", none))).alias("spans"))
+    out = durable(found.select(key, "row", "base").join(extra, "row", "left").select(key, "row", "base", _ordered(F.concat("base", F.coalesce("extra", none))).alias("spans")))
+    drop_durable(found, more)
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base finds), base_sha256, spans (all), n_found (discovered)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base finds), base_sha256, spans (all), n_found (discovered), n_spans (all)."""
     got = find(docs)
     count = lambda k: F.size(F.filter("base", lambda x: x.kind == k)).cast("long").alias(f"n_{k}")
-    return got.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"))
+    return got.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """`text` with each span replaced by its kind in brackets; of overlapping spans the first one counts."""
-    order = F.array_sort(F.transform(spans, lambda x: F.struct(x.s.alias("s"), (-x.e).alias("back"), x.kind.alias("kind"))))
-    empty = F.array().cast("array<struct<s:int,e:int,kind:string>>")
-    kept = F.aggregate(
-        order, empty, lambda a, x: F.when((F.size(a) == 0) | (x.s >= F.get(a, F.size(a) - 1).e), F.concat(a, F.array(F.struct(x.s.alias("s"), (-x.back).alias("e"), x.kind.alias("kind"))))).otherwise(a)
-    )
-    parts = F.transform(kept, lambda x, i: F.concat(text.substr(F.coalesce(F.get(kept, i - 1).e, F.lit(0)) + 1, x.s - F.coalesce(F.get(kept, i - 1).e, F.lit(0))), F.lit("["), x.kind, F.lit("]")))
-    last = F.coalesce(F.get(kept, F.size(kept) - 1).e, F.lit(0))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), text.substr(last + 1, F.char_length(text)))).otherwise(text)
+    """`text` with each span replaced by its kind in brackets; overlapping spans are replaced as one."""
+
+    def parts(kept: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(kept, i).e, F.lit(0))
+        pieces = F.transform(kept, lambda x, i: F.concat(text.substr(end(i - 1) + 1, x.s - end(i - 1)), F.lit("["), x.kind, F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), text.substr(end(F.size(kept) - 1) + 1, F.char_length(text)))
+
+    return F.when(F.size(spans) > 0, let(_merged(spans), parts)).otherwise(text)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind; n_chars follows the text."""
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans")).dropDuplicates(["__row"])
+    """All documents, with personal data and secrets in their texts replaced by their kind; n_chars follows the text.
+
+    Null texts stay null. Only rows with spans are joined by more than their key; repeated rows stay repeated."""
+    row, found = fresh(docs, "row"), fresh(docs, "spans")
+    spans = find(docs).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(found)).dropDuplicates([row])
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    out = docs.withColumn("__row", own).join(spans, "__row", "left").withColumn("text", redact(F.col("text"), F.coalesce("__spans", none)))
+    out = docs.withColumn(row, own).join(spans, row, "left").withColumn("text", redact(F.col("text"), F.coalesce(found, none)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
