@@ -108,8 +108,10 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", key:
 
 
 def tokens(df: DataFrame, ranks: str, pattern: str, text: str = "text", piece: int = _PIECE) -> DataFrame:
-    """`df` without `text`, with ids (array<int>), n_tokens and whole (the ids decode to the text's bytes). Null counts as empty."""
-    keep = [c for c in df.columns if c != text]
+    """`df` without `text`, with ids (array<int>), n_tokens and whole (the ids decode to the text's bytes). Null counts as empty.
+
+    Columns of `df` with one of these names, in any case, give way to the new ones."""
+    keep = [c for c in df.columns if c != text and c.lower() not in ("ids", "n_tokens", "whole")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(ranks, pattern)

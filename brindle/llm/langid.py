@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,14 +135,19 @@ def predict(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
     return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
-def identified(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """The rows of `df` whose text has a language; all columns stay."""
-    at = df.columns.index(text)
+def identified(df: DataFrame, model: dict, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of `df` in a language that the model tells: texts without a letter go, and those whose nearest codeword
+    is ambiguous. A null in column `lang`, if there is one, gets the prediction; all else stays as it is."""
+    at, to = df.columns.index(text), df.columns.index(lang) if lang in df.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, _ = labels(b.column(at), model)
-            yield b.filter(pa.array([x != UND for x in lang], pa.bool_()))
+            found, score = labels(b.column(at), model)
+            cols = list(b.columns)
+            if to >= 0:
+                cols[to] = pc.coalesce(cols[to], pa.array(found, cols[to].type))
+            keep = pa.array([x != UND and s >= AMBIGUOUS for x, s in zip(found, score, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(keep)
 
     return df.mapInArrow(run, df.schema)
 
@@ -176,5 +182,9 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows: those identified as und (no text, or no letter in it) go."""
-    return identified(docs, learn(docs, F.lit(True)))
+    """Documents in a language that the fitted model tells: those without text or letters go, and those whose decoding is
+    ambiguous (score below AMBIGUOUS). A null lang becomes the predicted one.
+
+    Where no row has a language and a text, there is no model and each text with a letter stays."""
+    model = learn(docs, F.lit(True))
+    return identified(docs, model) if model["langs"] else docs.where(F.col("text").rlike(r"\p{L}"))
