@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def detections(found: Column, kind: int = 0, confidence: float = 0.2) -> Column:
+    """Of array<struct<cls, conf, ...>> the ones of class `kind` with at least this confidence."""
+    return F.filter(found, lambda x: (x.cls == kind) & (x.conf >= confidence))
+
+
 def _clip(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(x, F.lit(1.0)))
 

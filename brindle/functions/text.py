@@ -40,6 +40,34 @@ def webp_path(path: Column, root: str = "") -> Column:
     return F.concat(F.lit(root), F.regexp_replace(p, r"\.[^./]+$", ".webp"))
 
 
+def source_path(path: Column, data_root: str, image_root: str) -> Column:
+    """Where an image named in the annotations lies: below the data folder's parent, the data folder or the image folder,
+    by how its name begins; an absolute path stays."""
+    p = F.translate(path, "\\", "/")
+    parent = data_root.rstrip("/").rpartition("/")[0]
+    return (
+        F.when(p.startswith("data/train_webp/"), F.concat(F.lit(f"{parent}/"), p))
+        .when(p.startswith("train_webp/"), F.concat(F.lit(f"{data_root}/"), p))
+        .when(p.startswith("imgs_"), F.concat(F.lit(f"{image_root}/"), p))
+        .when(p.startswith("train/"), webp_path(p, f"{image_root}/"))
+        .when(p.startswith("/"), p)
+        .otherwise(F.concat(F.lit(f"{data_root}/"), p))
+    )
+
+
+def output_path(path: Column) -> Column:
+    """An image's place in a subset, below train_webp, whatever form its name in the annotations has."""
+    p = F.regexp_replace(F.translate(path, "\\", "/"), "^data/", "")
+    inner = F.regexp_extract(p, "(?:^|/)(train_webp/.*)$", 1)
+    return (
+        F.when(p.startswith("train_webp/"), p)
+        .when(p.startswith("imgs_"), F.concat(F.lit("train_webp/"), p))
+        .when(p.startswith("train/"), webp_path(p, "train_webp/"))
+        .when(inner != "", inner)
+        .otherwise(F.concat(F.lit("train_webp/"), F.regexp_extract(p, "([^/]*)$", 1)))
+    )
+
+
 def label_info(anomaly: Column, normal: Column, otherwise: str = "unknown") -> Column:
     """struct(label_type, label): anomaly wins over normal, then `otherwise` with an empty label."""
     return (

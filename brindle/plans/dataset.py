@@ -290,6 +290,14 @@ def label_bucket_path(spark, sf_dir):
     return a.select("image_id", info.label_type.alias("label_type"), info.label.alias("label"), text.bucket_of_path(F.col("image")).alias("bucket"), text.webp_path(F.regexp_replace("image", "/", "\\\\"), "root/").alias("path"), F.concat(F.lit("v"), F.col("video_id").cast("string"), F.lit("_"), "bucket").alias("sequence_id"))
 
 
+def path_rules(spark, sf_dir):
+    """Source and output places of image names in each of the forms that annotations use."""
+    name = F.col("image_id").cast("string")
+    forms = ["data/train_webp/a/", "train_webp/b\\", "imgs_3/full/", "train/imgs_1/goal/", "/abs/x/train_webp/c/", "other/d/"]
+    path = F.coalesce(*[F.when(F.col("image_id") % len(forms) == k, F.concat(F.lit(f), name, F.lit(".jpg"))) for k, f in enumerate(forms)])
+    return _ann(spark, sf_dir).select("image_id", text.source_path(path, "/root/data", "/img").alias("source"), text.output_path(path).alias("output"))
+
+
 def caption_coalesce(spark, sf_dir):
     enhanced = F.when(F.col("image_id") % 3 == 0, "  ").when(F.col("image_id") % 3 == 1, F.concat(F.lit(" x"), F.col("image_id").cast("string")))
     return _ann(spark, sf_dir).select("image_id", F.md5(text.caption(enhanced, F.col("caption")).cast("binary")).alias("caption_md5"))
@@ -473,7 +481,7 @@ QUERIES = [
     components, component_sizes, split_assign, split_summary, split_leakage, ordered_components, quota_apportion, reject_reasons, hard_score_order, rare_label_boost,
     eval_queries, eval_gallery, gallery_pool, suite_sorted, stable_hash_order, nested_subset, hard_edges, edge_degree, manifest_train, manifest_all, eval_caption_demote,
     manifest_joins, pair_index, label_counts, label_counts_topn, caption_distinct, dup_id_guard, missing_id_guard, instance_codes, first_occurrence_dedupe, chunk_partition,
-    table_fingerprint, shard_sizes, stride_sample, asset_union, text_key, caption_hash, long_caption_rate, label_bucket_path, caption_coalesce, split_filter, query_filter,
+    table_fingerprint, shard_sizes, stride_sample, asset_union, text_key, caption_hash, long_caption_rate, label_bucket_path, path_rules, caption_coalesce, split_filter, query_filter,
     cache_and_task_keys, caption_tasks, selected_tasks, limited_tasks, prompt_render, caption_gate, progress_replay, tokenizer, box_primary_union, box_coverage,
     pending_assets, fallback_assets, bbox_xywh, bbox_expand, box_normalise, parse_list_cell, keypoints_flat, pair_batches, partner_index, itm_pairs_explicit,
     epoch_reshuffle, mixed_batches, grouped_batches, augment_spec,

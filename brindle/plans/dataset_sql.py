@@ -157,6 +157,11 @@ SQL = {
     "caption_hash": "SELECT doc_id AS image_id, CAST('0x' || substr(sha256(lower(trim(text))), 1, 15) AS BIGINT) AS hash FROM documents",
     "long_caption_rate": ANN + r"SELECT bucket, round(avg((len(list_filter(regexp_split_to_array(caption, '\s+'), lambda w: w <> '')) > 72)::INT), 6) AS rate FROM ann GROUP BY 1",
     "label_bucket_path": ANN + r"SELECT image_id, CASE WHEN label_type = 'anomaly' THEN 'anomaly' WHEN image_id % 3 <> 0 THEN 'normal' ELSE 'unknown' END AS label_type, CASE WHEN label_type = 'anomaly' OR image_id % 3 <> 0 THEN label ELSE '' END AS label, bucket, 'root/imgs_' || (image_id // 50) || '/' || bucket || '/' || image_id || '.webp' AS path, 'v' || video_id || '_' || bucket AS sequence_id FROM ann",
+    "path_rules": r"""SELECT doc_id AS image_id,
+  CASE doc_id % 6 WHEN 0 THEN '/root/data/train_webp/a/' || doc_id || '.jpg' WHEN 1 THEN '/root/data/train_webp/b/' || doc_id || '.jpg' WHEN 2 THEN '/img/imgs_3/full/' || doc_id || '.jpg'
+    WHEN 3 THEN '/img/imgs_1/goal/' || doc_id || '.webp' WHEN 4 THEN '/abs/x/train_webp/c/' || doc_id || '.jpg' ELSE '/root/data/other/d/' || doc_id || '.jpg' END AS source,
+  'train_webp/' || CASE doc_id % 6 WHEN 0 THEN 'a/' || doc_id || '.jpg' WHEN 1 THEN 'b/' || doc_id || '.jpg' WHEN 2 THEN 'imgs_3/full/' || doc_id || '.jpg'
+    WHEN 3 THEN 'imgs_1/goal/' || doc_id || '.webp' WHEN 4 THEN 'c/' || doc_id || '.jpg' ELSE doc_id || '.jpg' END AS output FROM documents""",
     "caption_coalesce": "SELECT doc_id AS image_id, md5(CASE WHEN doc_id % 3 = 1 THEN 'x' || doc_id ELSE coalesce(nullif(trim(text), ''), '') END) AS caption_md5 FROM documents",
     "split_filter": ANN + DEAL + "SELECT image_id, video_id, split FROM asp WHERE split = 'report'",
     "query_filter": "SELECT doc_id AS image_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND trim(coalesce(text, '')) <> ''",

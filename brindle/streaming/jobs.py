@@ -50,6 +50,26 @@ def ring_memory(rows: DataFrame, capacity: int) -> DataFrame:
     return rows.groupBy("epoch").applyInPandasWithState(step, "epoch long, batch long, filled long, clock long", "seen long, clock long", "append", GroupStateTimeout.NoTimeout)
 
 
+def ring_contents(rows: DataFrame, capacity: int) -> DataFrame:
+    """(epoch, batch, row_id, age): the rows that a FIFO memory holds when each batch arrives; one state per epoch.
+
+    rows: epoch, batch, pos, row_id, batches of an epoch in order. age counts batches; the state is the last `capacity`
+    rows with their batches. A capacity of 0 holds nothing, and of a batch larger than it the last rows stay."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, born, clock = state.get if state.exists else ([], [], 0)
+        ids, born, out = list(ids), list(born), []
+        for batch, f in pd.concat(frames).sort_values(["batch", "pos"]).groupby("batch", sort=True):
+            out += [(key[0], batch, i, clock - b) for i, b in zip(ids, born, strict=True)]
+            ids += f.row_id.tolist()
+            born += [clock] * len(f)
+            ids, born, clock = ids[len(ids) - min(capacity, len(ids)) :], born[len(born) - min(capacity, len(born)) :], clock + 1
+        state.update((ids, born, clock))
+        yield pd.DataFrame(out, columns=["epoch", "batch", "row_id", "age"])
+
+    return rows.groupBy("epoch").applyInPandasWithState(step, "epoch long, batch long, row_id long, age long", "ids array<long>, born array<long>, clock long", "append", GroupStateTimeout.NoTimeout)
+
+
 def best_so_far(log: DataFrame, floor: float, patience: int) -> DataFrame:
     """(run, step, best, bad, stopped) after each evaluation of each run's metric log (run, step, map, r10), in order of step."""
 
