@@ -40,6 +40,8 @@ TOKEN = r"(?<![A-Za-z0-9_.+@/=-])(?=[A-Za-z_.+@/=-]*+[0-9])[A-Za-z0-9_.+@/=-]{6,
 SECRET_SIZE, SECRET_LETTERS = 32, 5
 _QUOTES = "[\"'`]"
 MIN_SEEDS, CONFIDENCE, ROUNDS, PRIOR = 3, 0.8, 3, 1.0
+#: Least share of a pattern's contexts in the whole corpus that have a seed.
+PRECISION = 0.2
 _NEAR = 48
 #: Words in a candidate, and in one that is a run of groups of digits; marks that don't belong to a word at its ends.
 MAX_WORDS, MAX_GROUPS = 4, 16
@@ -146,6 +148,35 @@ def _patterns(near: DataFrame, *cols: str) -> DataFrame:
     return near.select(*cols, F.explode(each).alias("x")).select(*cols, "x.*").where(F.col("p").isNotNull())
 
 
+def _context_hashes(text: Column) -> Column:
+    """Hashes of the patterns whose context stands at each word of a text: what a value next to it would have as `_sides`."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), _QUOTES, ""), r"\s+"), lambda x: x != "")
+    at = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
+
+    def each(w: Column) -> Column:
+        one = lambda x, i: F.array(F.xxhash64(F.lit("L"), at(w, i - 1), x), F.xxhash64(F.lit("R"), x, at(w, i + 1)), F.xxhash64(F.lit("B"), x, at(w, i + 2)), F.when(F.substring(x, -1, 1).isin(":", "=", "#"), F.xxhash64(F.lit("C"), x)))
+        return F.flatten(F.transform(w, one))
+
+    return let(words, each)
+
+
+def _precise(seeded: DataFrame, found: DataFrame, rows: DataFrame, text: str, min_seeds: int) -> tuple[DataFrame, DataFrame]:
+    """(p), and (row) of the texts that hold their contexts: patterns around `min_seeds` different seeds or more whose contexts, wherever they stand in the corpus, have a
+    seed in a PRECISION of all cases. Common word pairs that happen to stand beside some seeds fall out here, before
+    what else stands in their contexts is looked at.
+
+    Contexts next to brackets or stops, which aren't words of their own, count where they stand beside seeds only."""
+    useful = durable(seeded.groupBy("p").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p"))
+    beside = found.groupBy("p").agg(F.count("*").alias("beside")).join(_small(useful), "p", "left_semi")
+    contexts = rows.select("row", F.explode(_context_hashes(F.col(text))).alias("p")).where(F.col("p").isNotNull())
+    held = durable(contexts.join(_small(useful), "p", "left_semi").groupBy("p", "row").agg(F.count("*").alias("n")))
+    everywhere = held.groupBy("p").agg(F.sum("n").alias("everywhere"))
+    out = durable(beside.join(everywhere, "p", "left").where(F.col("beside") >= PRECISION * F.coalesce("everywhere", "beside")).select("p"))
+    holding = durable(held.join(_small(out), "p", "left_semi").select("row").distinct())
+    drop_durable(useful, held)
+    return out, holding
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, BROADCAST_PATTERNS) else df
 
@@ -237,8 +268,9 @@ def discover(found: DataFrame, keys: list[str], rows: DataFrame, text: str = "te
     Edges are counted once per distinct instance, so one value repeated a million times supports a pattern once."""
     near = found.select(*keys, F.explode("near").alias("x")).select(*keys, "x.*").withColumn("instance", F.xxhash64("v"))
     seeded = _patterns(near.where(F.col("kind") != "token"), "instance", "kind").groupBy("instance", "p").agg(F.min("kind").alias("seed"))
-    # A pattern matters if it surrounds several seeds.
-    useful = durable(seeded.groupBy("p").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p"))
+    useful, holding = _precise(seeded, _patterns(near.where(F.col("kind") != "token"), "kind"), rows, text, min_seeds)
+    # Only documents with such a context have more candidates.
+    rows = rows.join(_small(holding), "row", "left_semi")
     both = near.where(F.col("kind") != "token").select("l1", "r1", F.xxhash64(F.lit("B"), "l1", "r1").alias("p")).join(_small(useful), "p")
     marks = both.select(F.explode(F.array(F.xxhash64(F.lit("BL"), "l1"), F.xxhash64(F.lit("BR"), "r1"))).alias("p")).distinct()
     words, runs = candidates(rows, found, useful, marks, keys, text)
@@ -268,7 +300,7 @@ def discover(found: DataFrame, keys: list[str], rows: DataFrame, text: str = "te
     sure = (F.col("score") >= confidence) & ((F.col("unit") == "word") | (F.col("b") >= confidence) | ((F.col("l") > 0) & (F.col("r") > 0)))
     here = here.where(sure).groupBy(*keys, "s", "e").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")).select(*keys, "kind", "s", "e")
     out = durable(tokens.unionByName(here).distinct())
-    drop_durable(useful, words, edges, size, *steps)
+    drop_durable(useful, holding, words, edges, size, *steps)
     return out
 
 
