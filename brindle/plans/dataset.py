@@ -125,7 +125,7 @@ def gallery_pool(spark, sf_dir):
 
 
 def suite_sorted(spark, sf_dir):
-    return numbered(saved(eval_gallery(spark, sf_dir)), "image_id", 8).select(F.col("rn").alias("place"), "image_id", "is_query")
+    return numbered(eval_gallery(spark, sf_dir), "image_id").select(F.col("rn").alias("place"), "image_id", "is_query")
 
 
 def stable_hash_order(spark, sf_dir):
@@ -201,7 +201,7 @@ def manifest_joins(spark, sf_dir):
 
 
 def pair_index(spark, sf_dir):
-    m = numbered(saved(_manifest_train(spark, sf_dir).select("image_id", "pair_image_id", "video_id")), "image_id").withColumn("row", F.col("rn") - 1)
+    m = numbered(_manifest_train(spark, sf_dir).select("image_id", "pair_image_id", "video_id"), "image_id").withColumn("row", F.col("rn") - 1)
     p = m.select(F.col("image_id").alias("pair_image_id"), F.col("row").alias("partner"))
     return m.join(p, "pair_image_id").where("row <> partner").select("row", "partner", "video_id")
 
@@ -233,7 +233,7 @@ def missing_id_guard(spark, sf_dir):
 
 def instance_codes(spark, sf_dir):
     a = _ann(spark, sf_dir).select("image_id", "label")
-    codes = a.select("label").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("label")) - 1)
+    codes = numbered(a.select("label").distinct(), "label").select("label", (F.col("rn") - 1).cast("int").alias("code"))
     return a.join(codes, "label").select("image_id", "label", "code")
 
 
@@ -252,11 +252,11 @@ def table_fingerprint(spark, sf_dir):
 
 
 def shard_sizes(spark, sf_dir):
-    return tables.shards(_ann(spark, sf_dir).select("image_id"), "image_id", 128, 8).groupBy("shard").agg(F.count("*").alias("n"), F.min("image_id").alias("first_id"), F.max("image_id").alias("last_id"))
+    return tables.shards(_ann(spark, sf_dir).select("image_id"), "image_id", 128).groupBy("shard").agg(F.count("*").alias("n"), F.min("image_id").alias("first_id"), F.max("image_id").alias("last_id"))
 
 
 def stride_sample(spark, sf_dir):
-    a = numbered(_ann(spark, sf_dir).select("image_id"), "image_id", 8)
+    a = numbered(_ann(spark, sf_dir).select("image_id"), "image_id")
     n = a.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 64)).alias("stride"))
     return a.crossJoin(F.broadcast(n)).where(((F.col("rn") - 1) % F.col("stride") == 0) & ((F.col("rn") - 1) / F.col("stride") < 64)).select("image_id")
 

@@ -57,7 +57,7 @@ def latex(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.concat_ws(" & ", *df.columns), F.lit(r" \\")).alias("line"))
 
 
-def shards(df: DataFrame, key: str, size: int, partitions: int = 64) -> DataFrame:
+def shards(df: DataFrame, key: str, size: int, partitions: int | None = None) -> DataFrame:
     """`df` with shard = position // size in key order.
 
     Positions come from ranges of the key: a count per range, then numbers within it, so no task sees all rows."""
