@@ -70,8 +70,7 @@ class _Element:
 def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
     """(text, characters in links, innermost element around it) of each block of a page outside furniture, in order.
 
-    Furniture is told by element names, or by a class, id or role of a block element that is a word of _NOISE as a
-    whole; it is hidden unless it holds most of the page's text outside links. Time is linear in the page's length,
+    Furniture is told by element names, or by a class, id or role that is a word of _NOISE as a whole; it is hidden unless it holds most of the page's text outside links. Time is linear in the page's length,
     however deep elements nest and however many are left open."""
     raw: list = []
     stack: list[_Element] = []
@@ -142,14 +141,14 @@ def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
         if m["attrs"].endswith("/") and tag not in _BLOCK:
             continue
         parent = stack[-1] if stack else None
+        names = [(a.lower(), b or c or d or "") for a, b, c, d in _NAMES.findall(m["attrs"])] if m["attrs"] else []
+        marks = {w.lower() for k, v in names for w in _WORDS.findall(v)} & _NOISE if names and tag not in _NEVER else set()
+        sure = bool(marks) and any(w in marks for _, v in names for w in v.lower().split())
         if tag in _BLOCK:
-            names = [(a.lower(), b or c or d or "") for a, b, c, d in _NAMES.findall(m["attrs"])] if m["attrs"] else []
             cls = " ".join(v for k, v in names if k == "class")
-            marks = {w.lower() for k, v in names for w in _WORDS.findall(v)} & _NOISE if tag not in _NEVER else set()
-            sure = bool(marks) and any(w in marks for _, v in names for w in v.lower().split())
             e = _Element(tag, tag + "".join("." + c for c in sorted(_DIGITS.sub("#", cls).split())), parent, tag in _FURNITURE or sure, bool(marks))
         else:
-            e = _Element(tag, tag, parent, tag in _FURNITURE)
+            e = _Element(tag, tag, parent, tag in _FURNITURE or sure)
         stack.append(e)
         opened[tag] += 1
         if e.furniture and len(hiding) < DEPTH:

@@ -200,7 +200,7 @@ def test_special_tokens_get_their_ids():
 
 
 def article(k, r):
-    kinds = ["<p>{}</p>", "<div class='text-{n}'><p>{}</p></div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<p><b>{}<br><p>", "<h2 id=part{n}>{}</h2>", "<p>{} <span class='notice-period share'>inline words</span></p>"]
+    kinds = ["<p>{}</p>", "<div class='text-{n}'><p>{}</p></div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<p><b>{}<br><p>", "<h2 id=part{n}>{}</h2>", "<p>{} <span class='notice-period sharing-rules'>inline words</span></p>"]
     texts, html = [], []
     for j in range(r.randint(4, 9)):
         t, kind = prose(r.randint(12, 50), 10_000 + 31 * k + j), r.choice(kinds)
