@@ -6,6 +6,8 @@ short strings. Word hashes and shingle hashes depend on the words only, never on
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from ..operators.components import drop_saved as drop_durable  # noqa: F401
 from ..operators.components import saved, shared_dir  # noqa: F401
 
 _U = np.uint64
-_MAX_SLICE = 1 << 20
+_MAX_SLICE = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -50,6 +52,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def trimmed(run):
+    """`run` (a function of Arrow batches) that gives back what allocators hold when a task ends: Spark keeps Python
+    workers for later tasks, and their memory counts while those of other stages run."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- flat buffers
 
 

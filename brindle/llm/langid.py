@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, flat, slices
+from .common import _LOWER, flat, slices, trimmed
 
 #: Most labelled documents per language that the classifiers are fitted on.
 PER_LANG = 350
@@ -132,7 +132,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double, {names[2]} boolean")
+    return df.select(F.col(text).alias("__text"), *keep).mapInArrow(trimmed(run), f"{fields}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
 def identified(df: DataFrame, model: dict, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -149,7 +149,7 @@ def identified(df: DataFrame, model: dict, text: str = "text", lang: str = "lang
             keep = pa.array([x != UND and s >= AMBIGUOUS for x, s in zip(found, score, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def learn(df: DataFrame, usable, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG) -> dict:

@@ -42,6 +42,8 @@ _QUOTES = "[\"'`]"
 MIN_SEEDS, CONFIDENCE, ROUNDS, PRIOR = 3, 0.8, 3, 1.0
 #: Least share of a pattern's contexts in the whole corpus that have a seed.
 PRECISION = 0.2
+#: Contexts are counted in one of so many rows first, then in more, at last in all.
+PARTS = (32, 4, 1)
 _NEAR = 48
 #: Words in a candidate, and in one that is a run of groups of digits; marks that don't belong to a word at its ends.
 MAX_WORDS, MAX_GROUPS = 4, 16
@@ -167,13 +169,19 @@ def _precise(seeded: DataFrame, found: DataFrame, rows: DataFrame, text: str, mi
 
     Contexts next to brackets or stops, which aren't words of their own, count where they stand beside seeds only."""
     useful = durable(seeded.groupBy("p").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p"))
-    beside = found.groupBy("p").agg(F.count("*").alias("beside")).join(_small(useful), "p", "left_semi")
-    contexts = rows.select("row", F.explode(_context_hashes(F.col(text))).alias("p")).where(F.col("p").isNotNull())
-    held = durable(contexts.join(_small(useful), "p", "left_semi").groupBy("p", "row").agg(F.count("*").alias("n")))
-    everywhere = held.groupBy("p").agg(F.sum("n").alias("everywhere"))
-    out = durable(beside.join(everywhere, "p", "left").where(F.col("beside") >= PRECISION * F.coalesce("everywhere", "beside")).select("p"))
+    left = durable(found.groupBy("p").agg(F.count("*").alias("beside")).join(_small(useful), "p", "left_semi"))
+    drop_durable(useful)
+    for part in PARTS:
+        # What a part of the rows holds is a lower bound: common contexts show there already, and only the others are counted in more.
+        some = rows if part == 1 else rows.where(F.pmod("row", F.lit(part)) == 0)
+        contexts = some.select("row", F.explode(_context_hashes(F.col(text))).alias("p")).where(F.col("p").isNotNull())
+        held = durable(contexts.join(_small(left.select("p")), "p", "left_semi").groupBy("p", "row").agg(F.count("*").alias("n")))
+        everywhere = held.groupBy("p").agg(F.sum("n").alias("everywhere"))
+        before, left = left, durable(left.join(everywhere, "p", "left").where(F.col("beside") >= PRECISION * F.coalesce("everywhere", "beside")).select("p", "beside"))
+        drop_durable(before, *([held] if part > 1 else []))
+    out = durable(left.select("p"))
     holding = durable(held.join(_small(out), "p", "left_semi").select("row").distinct())
-    drop_durable(useful, held)
+    drop_durable(left, held)
     return out, holding
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import doc_sets, drop_durable, durable, fits_broadcast, flat, fresh, mix, small_batches
+from .common import doc_sets, drop_durable, durable, fits_broadcast, flat, fresh, mix, small_batches, trimmed
 
 PERCENT = 80
 #: Most tokens in the list of frequent ones (it only orders tokens; any list gives the same links), and how often a
@@ -60,7 +60,7 @@ def frequent_tokens(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
 
         def out():
             h, n = np.unique(np.concatenate(sets), return_counts=True)
-            many = n >= 3
+            many = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["h", "n"])
 
         for b in batches:
@@ -71,13 +71,13 @@ def frequent_tokens(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
                     seen.add(sig)
                     sets.append(s)
                     held += len(s)
-                    if held > 3_000_000:
+                    if held > 2_000_000:
                         yield out()
                         seen, sets, held = set(), [], 0
         if sets:
             yield out()
 
-    rows = docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    rows = docs.select(text).mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     top = rows.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top)
     return top[order], (len(top) - 1 - order).astype(np.int32)
@@ -122,7 +122,7 @@ def documents(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
                 cols = [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "row", "n", "sig", "prefix", "rare"])
 
-    return docs.select("id", "row", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, n int, sig long, prefix array<long>, rare int")
+    return docs.select("id", "row", "text").mapInArrow(trimmed(run), f"id {docs.schema['id'].dataType.simpleString()}, row long, n int, sig long, prefix array<long>, rare int")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     if fits_broadcast(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
-    return docs.join(wanted, "row", "left_semi").select("text").mapInArrow(run, "sig long, n int, tokens array<long>")
+    return docs.join(wanted, "row", "left_semi").select("text").mapInArrow(trimmed(run), "sig long, n int, tokens array<long>")
 
 
 def flat_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +253,7 @@ def _by_pair(rows: DataFrame, body, percent: int, schema: str, keep_pair: bool)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("pair", "side", "sig", "n", "comp", "tokens").repartition(parts, "pair").sortWithinPartitions("pair", "side", "sig")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(trimmed(run), schema)
 
 
 def _verified(tests: DataFrame, docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
