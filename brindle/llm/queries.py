@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, huffman, langid, pages, pii, quality, simhash, suffix, tokengroup
+from . import bpe, decontam, huffman, langid, pages, pii, quality, simhash, spelling, suffix, tokengroup
 from .common import read, shared_dir
 
 
@@ -54,8 +54,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_bpe, op3_main_text, op4_simhash, op5_repeats, op6_quality, op7_jaccard, op8_token_files, op9_language, op10_pii]
+    found = [op1_decontamination, op2_bpe, op3_main_text, op4_simhash, op5_repeats, op6_quality, op7_jaccard, op8_token_files, op9_language, op10_pii, op13_spelling]
     return {f.__name__: f for f in found}
 
 
