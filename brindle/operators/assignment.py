@@ -8,47 +8,34 @@ from pyspark.sql import functions as F
 from .components import drop_saved, saved
 
 
-#: Most edges that one task matches by itself.
-FOLD_EDGES = 200_000
+def settle(wishes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., query_id, gallery_id): each query gets the best gallery that no other query with a better claim on it keeps.
 
-
-def _match_rest(edges: DataFrame, by: list[str]) -> DataFrame:
-    """The stable matching of few edges: pairs from the best one down, each whose two sides are still free."""
-    import pandas as pd
-
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "query_id", "gallery_id"], ascending=[False, True, True])
-        queries, galleries, keep = set(), set(), []
-        for q, g in zip(p.query_id, p.gallery_id, strict=True):
-            free = q not in queries and g not in galleries
-            keep.append(free)
-            if free:
-                queries.add(q)
-                galleries.add(g)
-        return p[keep]
-
-    return edges.groupBy(*(by or [F.lit("").alias("all")])).applyInPandas(walk, edges.schema)
+    wishes: by..., query_id, gallery_id, place (the smaller, the dearer to the query) and bid (the smaller, the better the
+    claim on the gallery). In each round every query asks for its dearest gallery left, and wishes that lose against the
+    best asker of their gallery go; a gallery's best asker only ever improves, so they would lose later as well. When
+    no wish goes, all askers keep what they ask for. Rounds work on all chains of displacement at once."""
+    by = by or []
+    left = saved(wishes.select(*by, "query_id", "gallery_id", "place", "bid"))
+    n = left.count()
+    while True:
+        asked = left.groupBy(*by, "query_id").agg(F.min(F.struct("place", "gallery_id", "bid")).alias("x")).select(*by, "query_id", "x.gallery_id", "x.bid")
+        held = asked.groupBy(*by, "gallery_id").agg(F.min("bid").alias("best"))
+        after = saved(left.join(held, [*by, "gallery_id"], "left").where(F.col("best").isNull() | (F.col("bid") <= F.col("best"))).select(*left.columns))
+        m = after.count()
+        if m == n:
+            out = saved(asked.select(*by, "query_id", "gallery_id"))
+            drop_saved(left, after)
+            return out
+        drop_saved(left)
+        left, n = after, m
 
 
-def stable_match(edges: DataFrame, by: list[str] | None = None, fold: int = FOLD_EDGES) -> DataFrame:
-    """(by..., query_id, gallery_id, score): the stable matching of candidate edges (query_id, gallery_id, score).
+def stable_match(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., query_id, gallery_id): the stable matching of candidate edges (query_id, gallery_id, score).
 
-    Both sides rank a pair by its score, so a pair that is best for both is in every stable matching. Each round takes all such
-    pairs at once and drops their rows; ties go to the smaller query, then gallery id. Unmatched queries are left out.
-    Long chains would take a round for each pair, so what is left is matched in one task once it is at most `fold` edges."""
-    by = by or []
-    left = saved(edges.select(*by, "query_id", "gallery_id", "score"))
-    matched = None
-    best = F.struct(F.col("score"), -F.col("query_id"), -F.col("gallery_id"))
-    while left.limit(fold + 1).count() > fold:
-        q = left.groupBy(*by, "query_id").agg(F.max(best).alias("bq"))
-        g = left.groupBy(*by, "gallery_id").agg(F.max(best).alias("bg"))
-        hit = saved(left.join(q, [*by, "query_id"]).join(g, [*by, "gallery_id"]).where((F.col("bq") == best) & (F.col("bg") == best)).select(*by, "query_id", "gallery_id", "score"))
-        matched = hit if matched is None else matched.unionByName(hit)
-        before, left = left, saved(left.join(hit.select(*by, "query_id"), [*by, "query_id"], "left_anti").join(hit.select(*by, "gallery_id"), [*by, "gallery_id"], "left_anti"))
-        drop_saved(before)
-    rest = _match_rest(left, by)
-    return rest if matched is None else matched.unionByName(rest)
+    Both sides rank a pair by its score; ties go to the smaller query, then gallery id. Unmatched queries are left out."""
+    return settle(edges.withColumn("place", F.struct(-F.col("score"), F.col("gallery_id"))).withColumn("bid", F.struct(-F.col("score"), F.col("query_id"))), by)
 
 
 def promote(order: DataFrame, match: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -67,44 +54,14 @@ def greedy_resolve(order: DataFrame) -> DataFrame:
     """Conflict groups in the order of their first query: the best first score keeps the gallery, each loser takes its first
     candidate that nobody holds, or keeps its own.
 
-    A loser's choice depends on those before it, but only through galleries that are held or listed by losers; queries
-    that share none of these, even indirectly, are resolved apart, in groups found as connected components."""
-    import pandas as pd
-
-    from .components import connected
-
-    top = order.where("pos = 1").select("query_id", F.col("gallery_id").alias("top"))
-    held = top.groupBy("top").agg(F.count("*").alias("claims"))
-    contested = top.join(held.where("claims > 1"), "top").select("query_id")
-    mine = order.join(contested, "query_id")
-    # queries are nodes 2q, galleries 2g + 1
-    comp = connected(mine.select((F.col("query_id") * 2).alias("src"), (F.col("gallery_id") * 2 + 1).alias("dst"))).where("node % 2 = 0").select(F.floor(F.col("node") / 2).alias("query_id"), "component")
-    rows = mine.join(comp, "query_id").join(held.select(F.col("top").alias("gallery_id"), "claims"), "gallery_id", "left").select("component", "query_id", "gallery_id", "score", "pos", F.coalesce("claims", F.lit(0)).alias("claims"))
-
-    def resolve(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["query_id", "pos"])
-        lists = {q: list(zip(x.gallery_id, x.score, strict=True)) for q, x in p.groupby("query_id")}
-        use = dict(zip(p.gallery_id, p.claims, strict=True))
-        tops = {q: x[0] for q, x in lists.items()}
-        groups: dict[int, list[int]] = {}
-        for q, (g, _) in tops.items():
-            groups.setdefault(g, []).append(q)
-        out = {q: g for q, (g, _) in tops.items()}
-        for g, qs in groups.items():
-            keep = max(qs, key=lambda q: (tops[q][1], -q))
-            for q in qs:
-                if q == keep:
-                    continue
-                new = next((x for x, _ in lists[q] if not use.get(x, 0)), None)
-                if new is not None:
-                    use[g] -= 1
-                    use[new] = use.get(new, 0) + 1
-                    out[q] = new
-        return pd.DataFrame({"query_id": list(out), "gallery_id": list(out.values())})
-
-    solved = rows.groupBy("component").applyInPandas(resolve, "query_id long, gallery_id long")
-    match = top.join(contested, "query_id", "left_anti").select("query_id", F.col("top").alias("gallery_id")).unionByName(solved)
-    return promote(order, match)
+    A gallery that is somebody's first choice always keeps a holder, so losers choose among the others, each with a better
+    claim than all losers after it; see settle()."""
+    top = order.where("pos = 1").select("query_id", F.col("gallery_id").alias("top"), "score")
+    groups = top.groupBy("top").agg(F.count("*").alias("claims"), F.min("query_id").alias("first"), F.min(F.struct(-F.col("score"), F.col("query_id").alias("q"))).alias("keep"))
+    losers = top.join(groups.where("claims > 1"), "top").where(F.col("query_id") != F.col("keep.q")).select("query_id", F.struct("first", "query_id").alias("bid"))
+    wishes = order.join(losers, "query_id").join(groups.select(F.col("top").alias("gallery_id")), "gallery_id", "left_anti")
+    moved = settle(wishes.select("query_id", "gallery_id", F.col("pos").alias("place"), "bid"))
+    return promote(order, moved)
 
 
 def resolve(order: DataFrame, method: str) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import clamp, dot, l2_normalize, norm, temperature
-from ..operators import assignment, experiment, ranking
-from ..operators.components import saved
+from ..operators import assignment, blocks, experiment, ranking
+from ..operators.components import drop_saved, saved
 from ..operators.ordering import first_rows
 from ..sources import fixtures
 
@@ -22,14 +22,38 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.scores(q, g)
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries with gt_score, and the gallery."""
+    g = fixtures.gallery(spark, sf_dir)
+    return ranking.with_truth(fixtures.retrieval_queries(spark, sf_dir), g), g
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    """One pass over all pairs: the k best, the target's rank and statistics, by query and block."""
+    return blocks.scan(*_asked(spark, sf_dir), k)
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-K candidates with score and gt_score, scored once and saved for the stages that follow."""
-    return saved(ranking.candidates(_scored(spark, sf_dir).select("query_id", "gallery_id", "score", "gt_score"), K))
+    """Top-K candidates."""
+    return blocks.candidates(_hits(spark, sf_dir), K)
+
+
+def _first_stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Saved top-K candidates, and query_id, gt_id, first_rank, above: both from one pass over the pairs."""
+    q, g = _asked(spark, sf_dir)
+    q = saved(q)
+    hits = blocks.scan(q, g, K)
+    cand = saved(blocks.candidates(hits, K).join(q.select("query_id", "gt_score"), "query_id"))
+    above = cand.groupBy("query_id").agg(F.sum((F.col("score") >= F.col("gt_score")).cast("long")).alias("above"))
+    rank = blocks.ranks(hits).select("query_id", F.col("rank").alias("first_rank"), "largest")
+    truth = saved(q.select("query_id", "gt_id").join(rank, "query_id").join(above, "query_id", "left").withColumn("above", F.coalesce("above", F.lit(0))))
+    drop_saved(q, hits)
+    return cand.drop("gt_score"), truth
 
 
 def _second_stage(spark: SparkSession, sf_dir: str, cand: DataFrame | None = None) -> DataFrame:
     """Top-K candidates with first-stage score, min-max of it, and the pair score of the first 32 dimensions."""
-    cand = (cand or _candidates(spark, sf_dir)).drop("gt_score")
+    cand = cand or _candidates(spark, sf_dir)
     q = fixtures.retrieval_queries(spark, sf_dir).select("query_id", F.col("vec").alias("qv"))
     g = fixtures.gallery(spark, sf_dir).select("gallery_id", F.col("vec").alias("gv"))
     pair = cand.join(q, "query_id").join(g, "gallery_id").withColumn("pair_score", dot(F.col("qv"), F.col("gv"), 32)).drop("qv", "gv")
@@ -42,24 +66,16 @@ def _fused(spark: SparkSession, sf_dir: str, cand: DataFrame | None = None, alph
     return ranking.rerank(f.select("query_id", "gallery_id", "score"), ["query_id"], "score")
 
 
-def _truth(spark: SparkSession, sf_dir: str, cand: DataFrame) -> DataFrame:
-    """query_id, gt_id, first_rank, above."""
-    s = _scored(spark, sf_dir)
-    rank = s.groupBy("query_id").agg(F.max("gt_id").alias("gt_id"), F.sum((F.col("score") >= F.col("gt_score")).cast("long")).alias("first_rank"))
-    above = cand.where("score >= gt_score").groupBy("query_id").agg(F.count("*").alias("above"))
-    return rank.join(above, "query_id", "left").withColumn("above", F.coalesce("above", F.lit(0)))
-
-
 def retrieval_report(spark, sf_dir):
-    return ranking.report(ranking.rank_of_truth(_scored(spark, sf_dir)))
+    return ranking.report(blocks.ranks(_hits(spark, sf_dir, 0)))
 
 
 def rank_of_gt(spark, sf_dir):
-    return ranking.rank_of_truth(_scored(spark, sf_dir))
+    return blocks.ranks(_hits(spark, sf_dir, 0)).select("query_id", "rank")
 
 
 def recall_at_k(spark, sf_dir):
-    r = ranking.rank_of_truth(_scored(spark, sf_dir))
+    r = blocks.ranks(_hits(spark, sf_dir, 0))
     k = F.explode(F.array(*[F.lit(x) for x in (1, 5, 10, 50)])).alias("k")
     return r.select("rank", k).groupBy("k").agg(F.round(F.avg((F.col("rank") <= F.col("k")).cast("double")), 6).alias("recall"))
 
@@ -70,9 +86,8 @@ def rank_ties(spark, sf_dir):
 
 
 def map_multi(spark, sf_dir):
-    s = _scored(spark, sf_dir).withColumn("relevant", (F.col("label") == F.col("q_label")).cast("int"))
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "gallery_id")))
-    return ranking.average_precision(s).agg(F.round(F.coalesce(F.avg("ap"), F.lit(0.0)), 6).alias("map_multi"), F.count("*").alias("queries"))
+    ap = blocks.average_precision(fixtures.retrieval_queries(spark, sf_dir), fixtures.gallery(spark, sf_dir))
+    return ap.agg(F.round(F.coalesce(F.avg("ap"), F.lit(0.0)), 6).alias("map_multi"), F.count("*").alias("queries"))
 
 
 def gallery_dedupe(spark, sf_dir):
@@ -82,7 +97,7 @@ def gallery_dedupe(spark, sf_dir):
 
 
 def candidate_topk(spark, sf_dir):
-    return ranking.candidates(_scored(spark, sf_dir).select("query_id", "gallery_id", "score"), K).select("query_id", "pos", "gallery_id", F.round("score", 6).alias("score"))
+    return _candidates(spark, sf_dir).select("query_id", "pos", "gallery_id", F.round("score", 6).alias("score"))
 
 
 def minmax_fuse_rank(spark, sf_dir):
@@ -102,16 +117,16 @@ def _candidate_report(order: DataFrame, truth: DataFrame, by: list[str] | None =
 
 
 def candidate_report(spark, sf_dir):
-    cand = _candidates(spark, sf_dir)
-    return _candidate_report(_fused(spark, sf_dir, cand), _truth(spark, sf_dir, cand))
+    cand, truth = _first_stage(spark, sf_dir)
+    return _candidate_report(_fused(spark, sf_dir, cand), truth)
 
 
 def top1_conflicts(spark, sf_dir):
-    return ranking.top1_conflicts(ranking.candidates(_scored(spark, sf_dir), 1)).select("queries", "distinct_top1", "conflicts")
+    return ranking.top1_conflicts(blocks.candidates(_hits(spark, sf_dir, 1), 1)).select("queries", "distinct_top1", "conflicts")
 
 
 def _first_order(spark, sf_dir):
-    return ranking.candidates(_scored(spark, sf_dir).select("query_id", "gallery_id", "score"), K)
+    return _candidates(spark, sf_dir)
 
 
 def stable_matching(spark, sf_dir):
@@ -132,30 +147,31 @@ def postprocess_none(spark, sf_dir):
 
 def two_stage_report(spark, sf_dir):
     """Candidates, fusion, stable matching, promotion and the final report."""
-    cand = _candidates(spark, sf_dir)
-    return _candidate_report(assignment.resolve(_fused(spark, sf_dir, cand), "stable"), _truth(spark, sf_dir, cand))
+    cand, truth = _first_stage(spark, sf_dir)
+    return _candidate_report(assignment.resolve(saved(_fused(spark, sf_dir, cand)), "stable"), truth)
 
 
-def alpha_sweep(spark, sf_dir) -> DataFrame:
-    """Report of every alpha and method."""
-    cand = _candidates(spark, sf_dir)
+def _sweep(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Report of every alpha and method, and the truth of the first stage."""
+    cand, truth = _first_stage(spark, sf_dir)
     base = _second_stage(spark, sf_dir, cand).select("query_id", "gallery_id", "pair_score", "first_norm")
     alphas = F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha")
     swept = base.select("*", alphas).withColumn("score", F.col("pair_score") + F.col("alpha") * F.col("first_norm"))
     order = ranking.rerank(swept.select("alpha", "query_id", "gallery_id", "score"), ["alpha", "query_id"], "score")
     stable = assignment.promote(order, assignment.stable_match(order, ["alpha"]), ["alpha"])
     both = order.withColumn("method", F.lit("none")).unionByName(stable.withColumn("method", F.lit("stable")))
-    return _candidate_report(both, _truth(spark, sf_dir, cand), ["alpha", "method"])
+    return _candidate_report(both, truth, ["alpha", "method"]), truth
 
 
 def alpha_sweep_select(spark, sf_dir):
-    baseline = ranking.report(ranking.rank_of_truth(_scored(spark, sf_dir))).select(F.col("r10").alias("floor"))
-    return experiment.select_best(alpha_sweep(spark, sf_dir).crossJoin(baseline)).select("alpha", "method", "map", "r1", "r5", "r10", "conflicts")
+    sweep, truth = _sweep(spark, sf_dir)
+    baseline = ranking.report(truth.select(F.col("first_rank").alias("rank"))).select(F.col("r10").alias("floor"))
+    return experiment.select_best(sweep.crossJoin(baseline)).select("alpha", "method", "map", "r1", "r5", "r10", "conflicts")
 
 
 def similarity_pairs(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("largest"), F.round(F.min("score"), 6).alias("smallest"), F.round(F.avg("score"), 5).alias("mean"))
+    r = blocks.ranks(_hits(spark, sf_dir, 0))
+    return r.select("query_id", "n", F.round("largest", 6).alias("largest"), F.round("smallest", 6).alias("smallest"), F.round(F.col("total") / F.col("n"), 5).alias("mean"))
 
 
 def l2_norm(spark, sf_dir):
@@ -169,14 +185,13 @@ def temperature_clamp(spark, sf_dir):
 
 
 def rank_band_scores(spark, sf_dir):
-    """Dense scores with the listed candidates above all others, and the ranks they give."""
-    s = _scored(spark, sf_dir)
-    order = _fused(spark, sf_dir).select("query_id", "gallery_id", "pos")
-    w = Window.partitionBy("query_id")
-    d = s.join(order, ["query_id", "gallery_id"], "left").withColumn("largest", F.max("score").over(w))
-    d = d.withColumn("band", F.when(F.col("pos").isNotNull(), F.col("largest") + (K - F.col("pos") + 1) / F.lit(K + 1.0)).otherwise(F.col("score")))
-    d = d.withColumn("gt_band", F.max(F.when(F.col("gallery_id") == F.col("gt_id"), F.col("band"))).over(w))
-    return d.groupBy("query_id").agg(F.sum((F.col("band") >= F.col("gt_band")).cast("long")).alias("rank"), F.round(F.max("band"), 6).alias("top"))
+    """Ranks and top scores when the listed candidates stand in a band above all other scores.
+
+    The band begins at the query's largest score; position 1 is K / (K + 1) above it. Ranks follow by counting."""
+    cand, truth = _first_stage(spark, sf_dir)
+    order = _fused(spark, sf_dir, cand).select("query_id", "gallery_id", "pos")
+    r = ranking.rank_after_rerank(order, truth, K)
+    return r.select("query_id", "rank", F.round(F.col("largest") + K / F.lit(K + 1.0), 6).alias("top"))
 
 
 def candidate_gather(spark, sf_dir):
@@ -222,6 +237,17 @@ m AS (SELECT unnest(uq) AS query_id, unnest(ug) AS gallery_id FROM fin)
 """
 
 
+_GREEDY = """,
+tp AS (SELECT query_id, gallery_id, score, row_number() OVER (PARTITION BY gallery_id ORDER BY score DESC, query_id) AS place, min(query_id) OVER (PARTITION BY gallery_id) AS first FROM c WHERE pos = 1),
+lo AS (SELECT query_id, wish, row_number() OVER (ORDER BY first, query_id) AS i FROM tp JOIN (SELECT query_id, list(gallery_id ORDER BY pos) AS wish FROM c GROUP BY 1) USING (query_id) WHERE place > 1),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(DISTINCT gallery_id) FROM tp) AS used, CAST([] AS BIGINT[]) AS uq, CAST([] AS BIGINT[]) AS ug
+  UNION ALL SELECT i, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, CASE WHEN got IS NULL THEN uq ELSE list_append(uq, query_id) END, CASE WHEN got IS NULL THEN ug ELSE list_append(ug, got) END
+  FROM (SELECT lo.i, used, uq, ug, query_id, list_filter(wish, lambda x: NOT list_contains(used, x))[1] AS got FROM walk JOIN lo ON lo.i = walk.i + 1) x),
+fin AS (SELECT uq, ug FROM walk ORDER BY i DESC LIMIT 1),
+m AS (SELECT unnest(uq) AS query_id, unnest(ug) AS gallery_id FROM fin)
+"""
+
+
 def _promoted(order: str) -> str:
     return f""",
 pr AS (SELECT o.query_id, o.gallery_id, o.score, CASE WHEN o.gallery_id = m.gallery_id THEN 1 WHEN o.pos < mp.pos THEN o.pos + 1 ELSE o.pos END AS pos
@@ -279,6 +305,7 @@ SELECT round(coalesce(avg(ap), 0), 6) AS map_multi, count(*) AS queries FROM ap"
     "top1_conflicts": FXE + "SELECT count(*) AS queries, count(DISTINCT gallery_id) AS distinct_top1, count(*) - count(DISTINCT gallery_id) AS conflicts FROM c WHERE pos = 1",
     "stable_matching": FXE + _matching("c") + "SELECT query_id, gallery_id FROM m",
     "promoted_order": FXE + _matching("c") + _promoted("c") + "SELECT query_id, gallery_id, pos::INT AS pos FROM pr",
+    "greedy_resolve": FXE + _GREEDY + _promoted("c") + "SELECT query_id, gallery_id, pos::INT AS pos FROM pr",
     "postprocess_none": FXE + "SELECT query_id, gallery_id, pos::INT AS pos FROM c",
     "two_stage_report": FXE + FUSED + _matching("f") + _promoted("f") + _report("pr"),
     "alpha_sweep_select": _SWEEP,
