@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import stable_key
 from ..functions.vector import hash_uniform
 from .components import saved
-from .ordering import numbered
+from .ordering import numbered, segmented
 
 
 def pair_batches(pairs: DataFrame, batch: int, epoch: int, seed: int = 2026) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,13 @@ def saved(df: DataFrame, tidy: bool = False) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """`df` saved, and aggregates over it that the same job computes."""
+    seen = Observation()
+    out = saved(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return out, seen.get
+
+
 def drop_saved(*tables: DataFrame) -> None:
     """Delete the files of saved tables that nothing reads any more."""
     for df in tables:
@@ -55,18 +62,18 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     halve, so the rounds grow with the logarithm of the longest one. Neighbour minima are aggregated before they are
     shuffled, and no task holds a node's neighbours together. Self loops keep single nodes."""
     nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
-    e = saved(edges.where(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct())
+    size = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("a", "b"))}
+    e, was = measured(edges.where(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct(), **size)
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         low2 = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low2, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
-        new = saved(small.select("a", "b"))
-        sums = [x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first() for x in (e, new)]
-        changed = sums[0] != sums[1]
+        new, now = measured(small.select("a", "b"), **size)
+        changed = now != was
         drop_saved(e)
-        e = new
+        e, was = new, now
         if not changed:
             break
     else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BUCKETS, hard_score, stable_key, text_key
 from .components import drop_saved, saved
+from .ordering import segmented
 
 #: Shares of the buckets.
 RATIOS = dict(zip(BUCKETS, (0.37109, 0.34398, 0.28493), strict=True))
@@ -80,7 +81,7 @@ def fill_gallery(rows: DataFrame, queries: DataFrame, quota: dict[str, int], see
     """Non-query rows that fill each bucket of the gallery to its quota, queries included, in hash order."""
     have = queries.groupBy("bucket").agg(F.count("*").alias("have"))
     rest = rows.join(queries.select("image_id"), "image_id", "left_anti").withColumn("h", stable_key(seed, split, "gallery", F.col("image_id")))
-    rest = rest.withColumn("__r", F.row_number().over(Window.partitionBy("bucket").orderBy("h", "image_id"))).join(have, "bucket", "left")
+    rest = segmented(rest, ["bucket"], ["h", "image_id"], "__r").join(have, "bucket", "left")
     return rest.where(F.col("__r") <= of_bucket(quota) - F.coalesce("have", F.lit(0))).drop("__r", "have", "h")
 
 

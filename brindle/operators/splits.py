@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_key
 from .components import connected, saved
-from .guards import assert_empty
+from .guards import ContractError
 from .ordering import numbered
 
 RATIOS = {"train": 0.8, "dev": 0.1, "report": 0.1}
@@ -19,12 +19,17 @@ def video_components(rows: DataFrame) -> DataFrame:
     """(video_id, component): videos that hard pairs connect; component is the smallest video. Rows: image_id, hard_id, video_id.
 
     A row whose target isn't there, and an image in two videos, break the contract: a pair could be split unseen."""
-    assert_empty(rows.where(F.col("hard_id").isNotNull()).select("hard_id").distinct().join(rows.select(F.col("image_id").alias("hard_id")), "hard_id", "left_anti"), "hard targets are missing")
-    assert_empty(rows.groupBy("image_id").agg(F.count_distinct("video_id").alias("videos")).where("videos > 1"), "images in several videos")
-    target = rows.select(F.col("image_id").alias("hard_id"), F.col("video_id").alias("hard_video"))
-    edges = rows.join(target, "hard_id").select(F.col("video_id").alias("src"), F.col("hard_video").alias("dst"))
-    own = rows.where(F.col("hard_id").isNull()).select(F.col("video_id").alias("src"), F.col("video_id").alias("dst"))
-    return connected(edges.unionByName(own)).select(F.col("node").alias("video_id"), "component")
+    twice, lost = Observation(), Observation()
+    video = rows.groupBy("image_id").agg(F.min("video_id").alias("hard_video"), F.max("video_id").alias("__last"))
+    video = video.observe(twice, F.max(F.when(F.col("hard_video") != F.col("__last"), F.col("image_id"))).alias("image"))
+    both = rows.select("hard_id", "video_id").join(video.select(F.col("image_id").alias("hard_id"), "hard_video"), "hard_id", "left")
+    both = both.observe(lost, F.max(F.when(F.col("hard_video").isNull(), F.col("hard_id"))).alias("target"))
+    edges = saved(both.select(F.col("video_id").alias("src"), F.coalesce("hard_video", "video_id").alias("dst")))
+    # Both contracts are checked by the job that writes the edges.
+    for seen, name, message in ((lost, "target", "hard targets are missing"), (twice, "image", "images in several videos")):
+        if seen.get[name] is not None:
+            raise ContractError(f"{message}: {seen.get[name]}")
+    return connected(edges).select(F.col("node").alias("video_id"), "component")
 
 
 def component_sizes(rows: DataFrame, components: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import geometry, text
 from ..operators import batching, sampling, splits
 from ..operators.components import saved
 from ..operators.guards import duplicates, missing
-from ..operators.ordering import first_rows, numbered
+from ..operators.ordering import first_rows, numbered, segmented
 from ..sources import fixtures, tables
 
 SEED = 2026
@@ -27,13 +27,14 @@ def _split_of(spark, sf_dir):
     return saved(splits.by_video(c, dealt))
 
 
-def _with_split(spark, sf_dir):
-    return _ann(spark, sf_dir).join(_split_of(spark, sf_dir), "video_id")
+def _with_split(spark, sf_dir, split=None):
+    """Annotations with their split; `split` is the saved table of _split_of(), where a query needs it more than once."""
+    return _ann(spark, sf_dir).join(split or _split_of(spark, sf_dir), "video_id")
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, split=None):
     """Annotations with their hard target's columns."""
-    a = _with_split(spark, sf_dir)
+    a = _with_split(spark, sf_dir, split)
     t = a.select(F.col("image_id").alias("hard_id"), F.col("split").alias("hard_split"), F.col("bucket").alias("hard_bucket"), F.col("video_id").alias("hard_video"), F.col("action").alias("hard_action"), F.col("scene").alias("hard_scene"))
     return a.join(t, "hard_id", "left")
 
@@ -89,14 +90,14 @@ def reject_reasons(spark, sf_dir):
 
 def _candidate_order(p):
     """`p` with ord: within a bucket harder pairs first, then rarer labels, then by stable hash."""
-    p = p.withColumn("of_label", F.count("*").over(Window.partitionBy("bucket", "label")))
-    w = Window.partitionBy("bucket").orderBy(F.desc("hardness"), "of_label", text.stable_key(SEED, "train", "order", F.col("image_id")), "image_id")
-    return p.withColumn("ord", F.row_number().over(w))
+    labels = p.groupBy("bucket", "label").agg(F.count("*").alias("of_label"))
+    p = p.join(labels, ["bucket", "label"]).withColumn("less", -F.col("hardness")).withColumn("h", text.stable_key(SEED, "train", "order", F.col("image_id")))
+    return segmented(p, ["bucket"], ["less", "of_label", "h", "image_id"], "ord").drop("less", "h", "of_label")
 
 
 def hard_score_order(spark, sf_dir):
-    p = _pairs(spark, sf_dir).withColumn("hardness", sampling.pair_score())
-    return _candidate_order(p).select("image_id", "bucket", "hardness", "ord")
+    p = _pairs(spark, sf_dir).withColumn("hardness", sampling.pair_score()).select("image_id", "bucket", "label", "hardness")
+    return _candidate_order(p).select("image_id", "bucket", "hardness", F.col("ord").cast("int").alias("ord"))
 
 
 def rare_label_boost(spark, sf_dir):
@@ -140,9 +141,9 @@ def nested_subset(spark, sf_dir):
     return sampling.nested_subsets(o, SIZES)
 
 
-def _selected(spark, sf_dir):
+def _selected(spark, sf_dir, split=None):
     """Anchors for the manifest: all eligible pairs."""
-    return _pairs(spark, sf_dir).where(sampling.reject_reason().isNull())
+    return _pairs(spark, sf_dir, split).where(sampling.reject_reason().isNull())
 
 
 def hard_edges(spark, sf_dir):
@@ -162,9 +163,10 @@ def edge_degree(spark, sf_dir):
 # ---------------------------------------------------------------- manifest
 
 
-def _manifest_train(spark, sf_dir):
-    anchors = _selected(spark, sf_dir)
-    every = _with_split(spark, sf_dir)
+def _manifest_train(spark, sf_dir, split=None):
+    split = split or _split_of(spark, sf_dir)
+    anchors = _selected(spark, sf_dir, split)
+    every = _with_split(spark, sf_dir, split)
     targets = every.join(anchors.select(F.col("hard_id").alias("image_id")).distinct(), "image_id", "left_semi").join(anchors.select("image_id"), "image_id", "left_anti")
     a = anchors.select("image_id", F.col("hard_id").alias("pair_image_id"), "caption", "video_id", "bucket", "label", "label_type", "scene", "action", "split", F.lit(False).alias("is_hard_target"), "image")
     t = targets.select("image_id", F.lit(None).cast("long").alias("pair_image_id"), "caption", "video_id", "bucket", "label", "label_type", "scene", "action", "split", F.lit(True).alias("is_hard_target"), "image")
@@ -180,8 +182,9 @@ def manifest_train(spark, sf_dir):
 
 
 def _manifest_all(spark, sf_dir):
-    held = _with_split(spark, sf_dir).where("split <> 'train'").select("image_id", F.lit(None).cast("long").alias("pair_image_id"), "caption", "video_id", "bucket", "label", "label_type", "scene", "action", "split", F.lit(False).alias("is_hard_target"), "image")
-    return _manifest_train(spark, sf_dir).unionByName(held, allowMissingColumns=True)
+    split = _split_of(spark, sf_dir)
+    held = _with_split(spark, sf_dir, split).where("split <> 'train'").select("image_id", F.lit(None).cast("long").alias("pair_image_id"), "caption", "video_id", "bucket", "label", "label_type", "scene", "action", "split", F.lit(False).alias("is_hard_target"), "image")
+    return _manifest_train(spark, sf_dir, split).unionByName(held, allowMissingColumns=True)
 
 
 def manifest_all(spark, sf_dir):
