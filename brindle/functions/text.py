@@ -151,7 +151,7 @@ def prompt(label_type: Column, action: Column, source: Column, original: Column)
 
 def tokenize(x: Column, vocabulary: int = 30522, length: int = 100) -> Column:
     """Hash ids between a start (1) and an end (2) mark, padded with 0 to `length`."""
-    ids = F.transform(F.slice(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), 1, length - 2), lambda w: (F.pmod(F.xxhash64(w), F.lit(vocabulary - 5)) + 5).cast("int"))
+    ids = F.transform(F.slice(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), 1, length - 2), lambda w: (F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 8), 16, 10).cast("long") % (vocabulary - 5) + 5).cast("int"))
     body = F.concat(F.array(F.lit(1)), ids, F.array(F.lit(2)))
     return F.concat(body, F.array_repeat(F.lit(0), F.lit(length) - F.size(body)))
 

@@ -79,21 +79,28 @@ def mixed_batches(pairs: DataFrame, rows: DataFrame, batch: int, hard: int, epoc
 
 
 def grouped_batches(rows: DataFrame, batch: int, share: float, epoch: int, seed: int = 2026) -> DataFrame:
-    """(epoch, batch, pos, row_id): round(share * batch) rows of one group, then rows of the whole table in hash order.
-
-    Chunks of a group's rows in hash order make the group parts; incomplete chunks are dropped."""
-    g = round(share * batch)
-    h = stable_key(seed, epoch, "group", F.col("row_id"))
-    own = rows.withColumn("h", h).withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("h")))
-    own = own.withColumn("chunk", F.floor((F.col("r") - 1) / g)).withColumn("size", F.count("*").over(Window.partitionBy("grp", "chunk"))).where(F.col("size") == g)
-    chunks = numbered(own.groupBy("grp", "chunk").agg(F.min("h").alias("ch")), "ch").select("grp", "chunk", (F.col("rn") - 1).alias("batch"))
-    part = own.join(chunks, ["grp", "chunk"]).select("batch", ((F.col("r") - 1) % g).alias("pos"), "row_id")
-    pairs = part.groupBy("batch").agg(F.count("*").alias("c")).select("batch")
-    n, wide = rows.count(), batch
-    order = numbered(rows.select("row_id", stable_key(seed, epoch, "fill", F.col("row_id")).alias("h")), "h").select("row_id", (F.col("rn") - 1).alias("at"))
-    spare = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))).withColumn("at", (F.col("batch") * wide + F.col("k")) % n).join(order, "at").join(part.select("batch", "row_id"), ["batch", "row_id"], "left_anti")
-    fill = spare.withColumn("r", F.row_number().over(Window.partitionBy("batch").orderBy("k"))).where(F.col("r") <= batch - g)
-    return part.unionByName(fill.select("batch", (F.col("r") - 1 + g).alias("pos"), "row_id")).select(F.lit(epoch).alias("epoch"), "batch", "pos", "row_id")
+    """(epoch, batch, pos, row_id): for each whole batch that the rows (row_id, grp) make, up to round(share * batch) rows of a
+    group drawn for it, then rows of the whole table in hash order.
+
+    The visits to a group walk through permutations of it: a lap has as many visits as find new rows, the next lap is
+    another permutation, by the hash of (epoch, group, lap), so no row is left out for good and none twice in a visit. A row
+    of the fill may also be in the group part. Rows without a group only fill."""
+    g, n = round(share * batch), rows.count()
+    total = n // batch
+    size = rows.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.count("*").alias("size")).withColumn("m", F.least("size", F.lit(g)))
+    groups = saved(numbered(size.where("m > 0"), "grp", name="gi"))
+    kinds = groups.count()
+    every = rows.sparkSession.range(total).withColumnRenamed("id", "batch")
+    drawn = F.conv(F.substring(stable_key(seed, epoch, "pick", F.col("batch")), 1, 12), 16, 10).cast("long") % max(1, kinds) + 1
+    visits = saved(segmented(every.withColumn("gi", drawn).join(groups, "gi"), ["gi"], ["batch"], "v").withColumn("per_lap", F.floor(F.col("size") / F.col("m"))))
+    visits = visits.withColumn("lap", F.floor((F.col("v") - 1) / F.col("per_lap"))).withColumn("turn", (F.col("v") - 1) % F.col("per_lap"))
+    laps = visits.select("grp", "lap", "m").distinct().join(rows, "grp").withColumn("h", stable_key(seed, epoch, "lap", F.concat_ws("-", "grp", "lap", "row_id")))
+    laps = segmented(laps, ["grp", "lap"], ["h", "row_id"], "p").withColumn("turn", F.floor((F.col("p") - 1) / F.col("m")))
+    part = laps.join(visits.select("grp", "lap", "turn", "batch"), ["grp", "lap", "turn"]).select("batch", ((F.col("p") - 1) % F.col("m")).alias("pos"), "row_id")
+    order = numbered(rows.select("row_id", stable_key(seed, epoch, "fill", F.col("row_id")).alias("h")), ["h", "row_id"]).where(F.col("rn") <= total * batch)
+    fill = order.select(F.floor((F.col("rn") - 1) / batch).alias("batch"), ((F.col("rn") - 1) % batch).alias("k"), "row_id")
+    fill = fill.join(visits.select("batch", "m"), "batch", "left").withColumn("m", F.coalesce("m", F.lit(0))).where(F.col("k") < batch - F.col("m"))
+    return part.unionByName(fill.select("batch", (F.col("k") + F.col("m")).alias("pos"), "row_id")).select(F.lit(epoch).alias("epoch"), "batch", "pos", "row_id")
 
 
 def sampled_negatives(pairs: DataFrame, by: list[str], temperature: float, seed: int = 2026) -> DataFrame:

@@ -12,27 +12,29 @@ def select_best(variants: DataFrame, eps: float = 1e-9) -> DataFrame:
     return variants.orderBy(F.desc(safe), F.desc("map"), F.desc("r1"), F.desc("r5"), "conflicts", "alpha", "method").limit(1)
 
 
-def lr_schedule(step: Column, warm_up: int, total: int) -> Column:
+def lr_schedule(step: Column, warm_up: int, total: int | Column) -> Column:
     """Linear warm-up, then half a cosine."""
-    progress = F.least(F.lit(1.0), (step - warm_up) / F.lit(float(max(1, total - warm_up))))
+    total = total if isinstance(total, Column) else F.lit(total)
+    progress = F.least(F.lit(1.0), (step - warm_up) / F.greatest(F.lit(1), total - warm_up).cast("double"))
     return F.when(step < warm_up, (step + 1) / F.lit(float(max(1, warm_up)))).otherwise(0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress)))
 
 
-def dynamic_weights(losses: DataFrame, names: list[str], order: str, temperature: float = 2.0) -> DataFrame:
-    """Weights K softmax((L[-1] / max(L[-2], 1e-8)) / T) from the two rows before; 1 where there are none."""
-    w = Window.orderBy(order)
+def dynamic_weights(losses: DataFrame, names: list[str], order: str, temperature: float = 2.0, by: str | None = None) -> DataFrame:
+    """Weights K softmax((L[-1] / max(L[-2], 1e-8)) / T) from the two rows before (of the run, if `by` names it); 1 where there are none."""
+    w = Window.partitionBy(*([by] if by else [])).orderBy(order)
     ratio = {n: F.lag(n, 1).over(w) / F.greatest(F.lag(n, 2).over(w), F.lit(1e-8)) / temperature for n in names}
     df = losses.select("*", *[ratio[n].alias(f"__r_{n}") for n in names])
     total = sum((F.exp(F.col(f"__r_{n}")) for n in names[1:]), F.exp(F.col(f"__r_{names[0]}")))
-    return df.select(order, *[F.coalesce(len(names) * F.exp(F.col(f"__r_{n}")) / total, F.lit(1.0)).alias(f"w_{n}") for n in names])
+    return df.select(*([by] if by else []), order, *[F.coalesce(len(names) * F.exp(F.col(f"__r_{n}")) / total, F.lit(1.0)).alias(f"w_{n}") for n in names])
 
 
-def early_stop(log: DataFrame, patience: int, floor: float) -> DataFrame:
-    """One row: best evaluation, its value, and where training stops.
+def early_stop(log: DataFrame, patience: int, floor: float, by: list[str] | None = None) -> DataFrame:
+    """One row (per run, given by `by`): best evaluation, its value, and where training stops.
 
     An evaluation is accepted if its r10 is at least `floor` and its map beats the best so far; `patience` rejections in a row
     stop. The log of one run is a few hundred rows, folded in order inside one row."""
-    rows = log.groupBy().agg(F.array_sort(F.collect_list(F.struct("step", "map", "r10"))).alias("log"))
+    by = by or []
+    rows = log.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "map", "r10"))).alias("log"))
     start = F.struct(F.lit(-1.0).alias("best"), F.lit(-1).cast("long").alias("best_step"), F.lit(0).alias("bad"), F.lit(-1).cast("long").alias("stop_step"))
 
     def step(a: Column, x: Column) -> Column:
@@ -44,8 +46,8 @@ def early_stop(log: DataFrame, patience: int, floor: float) -> DataFrame:
         )
         return F.when(a.stop_step >= 0, a).otherwise(after)
 
-    return rows.select(F.aggregate("log", start, step).alias("x")).select("x.best_step", "x.best", "x.bad", "x.stop_step")
+    return rows.select(*by, F.aggregate("log", start, step).alias("x")).select(*by, "x.best_step", "x.best", "x.bad", "x.stop_step")
 
 
 def percent(x: Column) -> Column:
-    return F.format_string("%.2f", x * 100)
+    return F.format_string("%.2f", F.round(x * 100, 2))

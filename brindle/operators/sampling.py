@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BUCKETS, hard_score, stable_key, text_key
@@ -26,13 +24,17 @@ def quotas(n: int, ratios: dict[str, float] = RATIOS) -> dict[str, int]:
     return out
 
 
-def quota_table(spark: SparkSession, sizes: Iterable[int]) -> DataFrame:
-    """(n, bucket, quota) as a query over the sizes."""
-    rows = spark.createDataFrame([(n,) for n in sizes], "n long").crossJoin(spark.createDataFrame([(b, k, r) for k, (b, r) in enumerate(RATIOS.items())], "bucket string, ord int, ratio double"))
-    rows = rows.withColumn("exact", F.col("n") * F.col("ratio")).withColumn("whole", F.floor("exact"))
-    rows = rows.withColumn("left", F.col("n") - F.sum("whole").over(Window.partitionBy("n")))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy(F.desc(F.col("exact") - F.col("whole")), "ord")))
-    return rows.select("n", "bucket", (F.col("whole") + (F.col("place") <= F.col("left")).cast("long")).alias("quota"))
+def quota_table(sizes: DataFrame) -> DataFrame:
+    """`sizes` (n and any other columns) with a row for each bucket and its quota of n, by largest remainders."""
+    shares = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(k).alias("ord"), F.lit(r).alias("ratio")) for k, (b, r) in enumerate(RATIOS.items())])
+
+    def quota(n: Column) -> Column:
+        parts = F.transform(shares, lambda x: F.struct(x.bucket.alias("bucket"), x.ord.alias("ord"), F.floor(n * x.ratio).alias("whole"), (n * x.ratio - F.floor(n * x.ratio)).alias("rest")))
+        left = n - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x.whole)
+        before = lambda x: F.size(F.filter(parts, lambda y: (y.rest > x.rest) | ((y.rest == x.rest) & (y.ord < x.ord))))
+        return F.transform(parts, lambda x: F.struct(x.bucket.alias("bucket"), (x.whole + (before(x) < left).cast("long")).alias("quota")))
+
+    return sizes.select("*", F.explode(quota(F.col("n"))).alias("x")).select(*sizes.columns, "x.bucket", "x.quota")
 
 
 def of_bucket(quota: dict[str, int]) -> Column:

@@ -81,7 +81,11 @@ def ordered_components(spark, sf_dir):
 
 
 def quota_apportion(spark, sf_dir):
-    return sampling.quota_table(spark, [7, 100, 1000, 2000, 5000, 10000, 30000, 50000])
+    """Quotas of subsets as large as each label, and of sizes that each chunk of 97 rows gives."""
+    a = _ann(spark, sf_dir)
+    labels = a.groupBy("label").agg(F.count("*").alias("n")).select(F.coalesce("label", F.lit("")).alias("of"), "n")
+    chunks = a.groupBy(F.floor(F.col("image_id") / 97).cast("string").alias("of")).agg((F.count("*") * 7 + F.min("image_id") % 11).alias("n"))
+    return sampling.quota_table(labels.unionByName(chunks))
 
 
 def reject_reasons(spark, sf_dir):
@@ -365,7 +369,7 @@ def progress_replay(spark, sf_dir):
 
 def tokenizer(spark, sf_dir):
     ids = _ann(spark, sf_dir).select("image_id", text.tokenize(F.col("caption")).alias("ids"))
-    return ids.withColumn("mask", text.attention_mask(F.col("ids")))
+    return ids.select("image_id", F.array_join("ids", " ").alias("ids"), F.array_join(text.attention_mask(F.col("ids")), "").alias("mask"))
 
 
 # ---------------------------------------------------------------- boxes
@@ -431,15 +435,22 @@ def box_normalise(spark, sf_dir):
 
 
 def parse_list_cell(spark, sf_dir):
-    cells = spark.createDataFrame([(1, "[0.1, 0.2, 0.3, 0.4]"), (2, "[1, 2]"), (3, None), (4, "[0, 0, 1, 1]"), (5, "")], "id int, cell string")
-    b = geometry.parse_list(F.col("cell"), 4)
-    return cells.select("id", b[0].alias("a"), b[3].alias("d"))
+    """Boxes from cells of text: of four numbers, of two, absent and blank ones."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    k = [F.floor(F.get("embedding", F.lit(i)).cast("double") * 1000).cast("string") for i in range(4)]
+    four = F.concat(F.lit("["), F.concat_ws(", ", k[0], F.concat(k[1], F.lit(".5")), k[2], k[3]), F.lit("]"))
+    cell = F.when(F.col("vec_id") % 5 == 1, F.concat(F.lit("["), F.concat_ws(", ", *k[:2]), F.lit("]"))).when(F.col("vec_id") % 5 == 2, F.lit(None)).when(F.col("vec_id") % 5 == 3, "").otherwise(four)
+    b = geometry.parse_list(cell, 4)
+    return e.select("vec_id", b[0].alias("a"), b[3].alias("d"))
 
 
 def keypoints_flat(spark, sf_dir):
-    rows = spark.range(6).withColumn("points", F.expr("transform(sequence(0, if(id = 5, 15, 16)), k -> array(cast(k * 10 + id as double), cast(k * 5 as double), 0.5D))"))
-    flat = geometry.flat_keypoints(F.when(F.col("id") == 4, "bad").otherwise("ok"), F.col("points"), F.when(F.col("id") == 3, F.lit(0)).otherwise(F.lit(100)), F.lit(50))
-    return rows.select("id", F.coalesce(F.size(flat), F.lit(-1)).alias("n"), F.round(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """Seventeen points (x, y, c) of each vector, flattened; rows without a good status or with too few points have none."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    points = F.transform(F.sequence(F.lit(0), F.when(F.col("vec_id") % 7 == 5, 15).otherwise(16)), lambda k: F.array(*[F.get("embedding", 3 * k + i).cast("double") for i in range(3)]))
+    flat = geometry.flat_keypoints(F.when(F.col("vec_id") % 5 == 4, "bad").otherwise("ok"), points, F.when(F.col("vec_id") % 3 == 0, F.lit(0)).otherwise(F.lit(100)), F.lit(50))
+    rows = e.select("vec_id", flat.alias("flat"))
+    return rows.select("vec_id", F.coalesce(F.size("flat"), F.lit(-1)).alias("n"), F.round(F.aggregate("flat", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 # ---------------------------------------------------------------- batches

@@ -90,20 +90,21 @@ bw AS (SELECT *, score * greatest(greatest(0, x2 - x1) * greatest(0, y2 - y1), 1
 st AS (SELECT o_orderkey AS image_id, CASE WHEN o_orderkey IN (SELECT image_id FROM bw) THEN 'ok' ELSE 'no_person' END AS status FROM orders)
 """
 _H = "sha256('2026:{s}:{p}:' || {k})"
-PAIRS = (
-    MAN
-    + """,
+def _pairs_sql(k: int) -> str:
+    """Plans of batches of k pairs; {e} stands for the epoch."""
+    return MAN + """,
 rp AS (SELECT image_id AS a, hard_id AS b, video_id AS grp FROM sel),
 pb AS (SELECT *, sha256('2026:{e}:pair:' || a || '-' || b) AS h, sha256('2026:{e}:group:' || grp) AS gh FROM rp),
 pl AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h, a, b) AS turn FROM pb),
 pz AS (SELECT grp, count(*) AS size FROM pb GROUP BY 1),
-pf AS (SELECT coalesce(max(n), 0) AS full_n FROM (SELECT n FROM (SELECT unnest(range(0, (SELECT count(*) // 8 + 1 FROM pb))) AS n), pz GROUP BY n HAVING sum(least(size, n)) >= n * 8)),
+pf AS (SELECT coalesce(max(n), 0) AS full_n FROM (SELECT n FROM (SELECT unnest(range(0, (SELECT count(*) // {k} + 1 FROM pb))) AS n), pz GROUP BY n HAVING sum(least(size, n)) >= n * {k})),
 pk AS (SELECT *, row_number() OVER (ORDER BY gh, grp, turn) - 1 AS place FROM pl, pf WHERE turn <= full_n),
-plan AS (SELECT {e} AS epoch, place % full_n AS batch, place // full_n AS slot, a, b, grp FROM pk WHERE place < full_n * 8),
+plan AS (SELECT {e} AS epoch, place % full_n AS batch, place // full_n AS slot, a, b, grp FROM pk WHERE place < full_n * {k}),
 up AS (SELECT epoch, batch, slot * 2 AS pos, a AS row_id, slot * 2 + 1 AS partner_pos FROM plan UNION ALL SELECT epoch, batch, slot * 2 + 1, b, slot * 2 FROM plan)
-"""
-)
-P0, P1 = PAIRS.replace("{e}", "0"), PAIRS.replace("{e}", "1")
+""".replace("{k}", str(k))
+
+
+P0, P1 = (_pairs_sql(8).replace("{e}", e) for e in "01")
 
 
 def _u(*parts: str) -> str:
@@ -126,7 +127,9 @@ SQL = {
     "split_summary": ANN + DEAL + "SELECT split, sum(d.n_rows)::BIGINT AS n_rows, sum(n_videos)::BIGINT AS n_videos, count(*) AS n_components, max(d.n_rows) AS largest, round(sum(d.n_rows) / sum(sum(d.n_rows)) OVER (), 6) AS share FROM dealt d JOIN csize USING (component) GROUP BY split",
     "split_leakage": ANN + DEAL + "SELECT count(*) AS leaks FROM asp x JOIN asp y ON y.image_id = x.hard_id WHERE x.split <> y.split",
     "ordered_components": ANN + COMP + "SELECT component, n_rows, place FROM cord",
-    "quota_apportion": "WITH one AS (SELECT 1)" + QUOTA + "SELECT CAST(n AS BIGINT) AS n, bucket, CAST(quota AS BIGINT) AS quota FROM quota WHERE n NOT IN (20, 40)",
+    "quota_apportion": """WITH one AS (SELECT coalesce(source, '') AS "of", count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT CAST(doc_id // 97 AS VARCHAR), count(*) * 7 + min(doc_id) % 11 FROM documents GROUP BY 1),
+x AS (SELECT one.*, bucket, ord, n * ratio AS exact, CAST(floor(n * ratio) AS BIGINT) AS whole FROM one, (VALUES ('goal', 0, CAST(0.37109 AS DOUBLE)), ('full', 1, CAST(0.34398 AS DOUBLE)), ('wentwrong', 2, CAST(0.28493 AS DOUBLE))) b(bucket, ord, ratio))
+SELECT "of", n, bucket, CAST(whole + CASE WHEN row_number() OVER (PARTITION BY "of" ORDER BY exact - whole DESC, ord) <= n - sum(whole) OVER (PARTITION BY "of") THEN 1 ELSE 0 END AS BIGINT) AS quota FROM x""",
     "reject_reasons": ANN + DEAL + "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM pr GROUP BY 1",
     "hard_score_order": ANN + DEAL + "SELECT image_id, bucket, hardness, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, of_label, sha256('2026:train:order:' || image_id), image_id)::INT AS ord FROM (SELECT *, count(*) OVER (PARTITION BY bucket, label) AS of_label FROM pr)",
     "rare_label_boost": ANN + "SELECT bucket, label, count(*) AS n, round(pow(count(*), -0.25), 6) AS rarity FROM ann GROUP BY 1, 2",
@@ -187,8 +190,25 @@ SELECT image_id, n, round(x1, 6) AS p_x1, round(y1, 6) AS p_y1, round(x2, 6) AS
     "box_normalise": """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 1.0 ELSE 200.0 END::DOUBLE AS hh FROM lineitem),
 b AS (SELECT *, greatest(0, least(1, (l_quantity - 10) / 100)) AS x1, greatest(0, least(1, l_quantity / hh)) AS y1, greatest(0, least(1, l_quantity * 3 / 100)) AS x2, greatest(0, least(1, l_quantity * 5 / hh)) AS y2 FROM d)
 SELECT l_orderkey, l_linenumber, l_quantity, l_suppkey, round(x1, 6) AS b0, round(y1, 6) AS b1, round(x2, 6) AS b2, round(y2, 6) AS b3, round(greatest(0, x2 - x1) * greatest(0, y2 - y1), 6) AS area FROM b""",
-    "parse_list_cell": "SELECT * FROM (VALUES (1, CAST(0.1 AS DOUBLE), CAST(0.4 AS DOUBLE)), (2, NULL, NULL), (3, NULL, NULL), (4, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)), (5, NULL, NULL)) v(id, a, d)",
-    "keypoints_flat": "SELECT id, CASE WHEN id IN (4, 5) THEN -1 ELSE 51 END AS n, CASE WHEN id IN (4, 5) THEN NULL ELSE round((SELECT sum((k * 10 + id) / CASE WHEN id = 3 THEN 1.0 ELSE 100.0 END + k * 5 / 50.0 + 0.5) FROM range(17) r(k)), 6) END::DOUBLE AS total FROM (SELECT unnest(range(6)) AS id)",
+    "parse_list_cell": "SELECT vec_id, CASE WHEN vec_id % 5 IN (0, 4) THEN floor(CAST(embedding[1] AS DOUBLE) * 1000) END AS a, CASE WHEN vec_id % 5 IN (0, 4) THEN floor(CAST(embedding[4] AS DOUBLE) * 1000) END AS d FROM embeddings",
+    "keypoints_flat": """WITH k AS (SELECT vec_id, vec_id % 5 <> 4 AND vec_id % 7 <> 5 AS ok, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CASE WHEN vec_id % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE 100 END AS w FROM embeddings)
+SELECT vec_id, CASE WHEN ok THEN 51 ELSE -1 END AS n, CASE WHEN ok THEN round(list_sum(list_transform(range(17), lambda i: e[3 * i + 1] / w + e[3 * i + 2] / 50 + e[3 * i + 3])), 6) END AS total FROM k""",
+    "tokenizer": r"""WITH t AS (SELECT doc_id AS image_id, list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')[1:98], lambda w: CAST('0x' || substr(sha256(w), 1, 8) AS BIGINT) % 30517 + 5) AS ids FROM documents),
+p AS (SELECT image_id, list_concat([1], ids, [2]) AS ids FROM t)
+SELECT image_id, array_to_string(list_concat(ids, list_transform(range(100 - len(ids)), lambda x: 0)), ' ') AS ids, repeat('1', len(ids)) || repeat('0', 100 - len(ids)) AS mask FROM p""",
+    "table_fingerprint": ANN + """, r AS (SELECT sha256(concat_ws(chr(31), coalesce(action, chr(30)), coalesce(bucket, chr(30)), coalesce(caption, chr(30)), coalesce(hard_c, chr(30)), coalesce(hard_id::VARCHAR, chr(30)), coalesce(image, chr(30)), coalesce(image_id::VARCHAR, chr(30)), coalesce(label, chr(30)), coalesce(label_type, chr(30)), coalesce(scene::VARCHAR, chr(30)), coalesce(video_id::VARCHAR, chr(30)))) AS h FROM a)
+SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS first, CAST(sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS second FROM r""",
+    "mixed_batches": ANN + _pairs_sql(4).replace("{e}", "0") + """, od AS (SELECT image_id AS row_id, row_number() OVER (ORDER BY sha256('2026:0:filler:' || image_id)) - 1 AS nth FROM ann),
+ks AS (SELECT batch, k, (batch * 16 + k) % (SELECT count(*) FROM ann) AS nth FROM (SELECT DISTINCT batch FROM up), (SELECT unnest(range(16)) AS k)),
+sp AS (SELECT ks.batch, row_id, row_number() OVER (PARTITION BY ks.batch ORDER BY k) AS r FROM ks JOIN od USING (nth) WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.batch = ks.batch AND up.row_id = od.row_id))
+SELECT epoch, batch, pos, row_id FROM up UNION ALL SELECT 0, batch, r - 1 + 8, row_id FROM sp WHERE r <= 8""",
+    "grouped_batches": """WITH gs AS (SELECT source AS grp, count(*) AS size, least(8, count(*)) AS m, row_number() OVER (ORDER BY source) - 1 AS gi FROM documents WHERE source IS NOT NULL GROUP BY 1),
+bt AS (SELECT b, gs.*, row_number() OVER (PARTITION BY gi ORDER BY b) - 1 AS v FROM (SELECT unnest(range((SELECT count(*) // 16 FROM documents))) AS b) JOIN gs ON gi = CAST('0x' || substr(sha256('2026:0:pick:' || b), 1, 12) AS BIGINT) % (SELECT count(*) FROM gs)),
+vs AS (SELECT *, v // (size // m) AS lap, v % (size // m) AS turn FROM bt),
+lp AS (SELECT l.grp, l.lap, m, doc_id AS row_id, row_number() OVER (PARTITION BY l.grp, l.lap ORDER BY sha256('2026:0:lap:' || l.grp || '-' || l.lap || '-' || doc_id), doc_id) - 1 AS p FROM (SELECT DISTINCT grp, lap, m FROM vs) l JOIN documents ON source = l.grp),
+od AS (SELECT doc_id AS row_id, row_number() OVER (ORDER BY sha256('2026:0:fill:' || doc_id), doc_id) - 1 AS nth FROM documents)
+SELECT 0 AS epoch, b AS batch, p % lp.m AS pos, row_id FROM lp JOIN vs ON vs.grp = lp.grp AND vs.lap = lp.lap AND vs.turn = p // lp.m
+UNION ALL SELECT 0, b, nth % 16 + m, row_id FROM od JOIN vs ON b = nth // 16 WHERE nth % 16 < 16 - m""",
     "pair_batches": ANN + P0 + "SELECT epoch, batch, slot, a, b, grp FROM plan",
     "partner_index": ANN + P0 + "SELECT epoch, batch, pos, row_id, partner_pos FROM up",
     "itm_pairs_explicit": ANN + P0 + "SELECT batch, pos AS i, pos AS j, 1 AS label FROM up UNION ALL SELECT batch, pos, partner_pos, 0 FROM up UNION ALL SELECT batch, partner_pos, pos, 0 FROM up",

@@ -180,8 +180,24 @@ def l2_norm(spark, sf_dir):
 
 
 def temperature_clamp(spark, sf_dir):
-    x = spark.range(-20, 81).select((F.col("id") / 10).alias("logit_scale"))
-    return x.select("logit_scale", F.round(temperature(F.col("logit_scale")), 6).alias("temperature"), F.round(clamp(F.col("logit_scale"), 0.001, 0.5), 6).alias("clamped"))
+    """Temperatures of scales that the vectors' first components spread over -20 to 20."""
+    x = fixtures.gallery(spark, sf_dir).select("gallery_id", (F.get("vec", F.lit(0)).cast("double") * 20).alias("logit_scale"))
+    return x.select("gallery_id", F.round(temperature(F.col("logit_scale")), 6).alias("temperature"), F.round(clamp(F.col("logit_scale"), 0.001, 0.5), 6).alias("clamped"))
+
+
+def metric_log(spark, sf_dir) -> DataFrame:
+    """(run, step, map, r1, r10): retrieval metrics of each 10 queries, ten evaluations a run."""
+    r = blocks.ranks(_hits(spark, sf_dir, 0)).withColumn("at", F.floor(F.col("query_id") / 50))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return r.groupBy(F.floor(F.col("at") / 10).alias("run"), (F.col("at") % 10).alias("step")).agg(mean(1 / F.col("rank")).alias("map"), mean((F.col("rank") <= 1).cast("double")).alias("r1"), mean((F.col("rank") <= 10).cast("double")).alias("r10"))
+
+
+def label_report(spark, sf_dir) -> DataFrame:
+    """(name, split, map, r1, r5): retrieval metrics of the queries of each label; some labels are of another split than report."""
+    q = fixtures.retrieval_queries(spark, sf_dir).select("query_id", "label")
+    r = blocks.ranks(_hits(spark, sf_dir, 0)).join(q, "query_id")
+    out = r.groupBy("label").agg(F.avg(1 / F.col("rank")).alias("map"), F.avg((F.col("rank") <= 1).cast("double")).alias("r1"), F.avg((F.col("rank") <= 5).cast("double")).alias("r5"))
+    return out.select(F.concat(F.lit("label "), F.col("label").cast("string")).alias("name"), F.when(F.col("label") % 3 == 0, "dev").otherwise("report").alias("split"), "map", "r1", "r5")
 
 
 def rank_band_scores(spark, sf_dir):
@@ -311,7 +327,7 @@ SELECT round(coalesce(avg(ap), 0), 6) AS map_multi, count(*) AS queries FROM ap"
     "alpha_sweep_select": _SWEEP,
     "similarity_pairs": FXE + "SELECT query_id, count(*) AS n, round(max(score), 6) AS largest, round(min(score), 6) AS smallest, round(avg(score), 5) AS mean FROM s GROUP BY 1",
     "l2_norm": FXE + ", l AS (SELECT query_id, f, sqrt(list_dot_product(CAST(f AS DOUBLE[]), CAST(f AS DOUBLE[]))) AS n FROM qs) SELECT query_id, round(n, 6) AS length, CAST(1.0 AS DOUBLE) AS unit FROM l",
-    "temperature_clamp": "SELECT x / 10 AS logit_scale, round(least(greatest(exp(-(x / 10)), 1e-3), 0.5), 6) AS temperature, round(least(greatest(x / 10, 0.001), 0.5), 6) AS clamped FROM (SELECT unnest(range(-20, 81)) AS x)",
+    "temperature_clamp": "SELECT vec_id AS gallery_id, round(least(greatest(exp(-x), 1e-3), 0.5), 6) AS temperature, round(least(greatest(x, 0.001), 0.5), 6) AS clamped FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 20 AS x FROM embeddings)",
     "rank_band_scores": FXE
     + FUSED
     + """, b AS (SELECT s.query_id, s.gallery_id, CASE WHEN f.pos IS NOT NULL THEN max(s.score) OVER (PARTITION BY s.query_id) + (10 - f.pos + 1) / CAST(11.0 AS DOUBLE) ELSE s.score END AS band FROM s LEFT JOIN f USING (query_id, gallery_id)),

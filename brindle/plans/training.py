@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import dot
 from ..operators import batching, experiment, losses
-from ..sources import fixtures
+from ..operators.guards import assert_report
+from ..sources import fixtures, tables
+from . import retrieval
 
 TEMPERATURE, TAU, CAPACITY = 0.07, 0.01, 128
 
-#: Evaluations of one run; the fourth breaks the floor on r10.
-EVALS = [(100, 0.50, 0.30, 0.900), (200, 0.55, 0.35, 0.910), (300, 0.54, 0.36, 0.920), (400, 0.60, 0.40, 0.880), (500, 0.58, 0.41, 0.915), (600, 0.57, 0.39, 0.925), (700, 0.56, 0.38, 0.918), (800, 0.59, 0.42, 0.930)]
-FLOOR = 0.898
+#: Least r10 of an evaluation that is accepted, and rejected ones in a row that stop a run.
+FLOOR, PATIENCE = 0.7, 3
 
 
 def _rows(spark, sf_dir):
@@ -85,42 +86,50 @@ def itm_pairs_sampled(spark, sf_dir):
     return batching.sampled_negatives(p, ["batch"], TEMPERATURE)
 
 
+def _losses(spark, sf_dir):
+    """(epoch, step, a, b, c): three loss values of each batch, means of a third of its events' values each."""
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    third = lambda k: (1 + F.sum(F.when(F.col("event_id") % 3 == k, F.col("cents")).otherwise(0)) / 1000.0)
+    return e.groupBy(F.floor(F.col("event_id") / 2560).alias("epoch"), F.floor(F.col("event_id") / 32).alias("step")).agg(*[third(k).alias(n) for k, n in enumerate("abc")])
+
+
 def loss_weights_dwa(spark, sf_dir):
-    rows = spark.range(12).select(F.col("id").alias("step"), (2.0 / (F.col("id") + 1)).alias("itc"), (1.5 - F.col("id") / 20).alias("itm"), (F.lit(1.0) + (F.col("id") % 3) / 10).alias("ap"))
-    w = experiment.dynamic_weights(rows, ["itc", "itm", "ap"], "step")
-    return w.select("step", *[F.round(f"w_{n}", 6).alias(f"w_{n}") for n in ("itc", "itm", "ap")])
+    w = experiment.dynamic_weights(_losses(spark, sf_dir), ["a", "b", "c"], "step", by="epoch")
+    return w.select("epoch", "step", *[F.round(f"w_{n}", 6).alias(f"w_{n}") for n in "abc"])
 
 
 def weighted_losses(spark, sf_dir):
     """Fixed weights, and uncertainty weights exp(-s) w L + s."""
-    rows = spark.range(10).select(F.col("id").alias("step"), (2.0 / (F.col("id") + 1)).alias("a"), (1.5 - F.col("id") / 20).alias("b"))
-    s1, s2 = F.col("step") / 10.0, -(F.col("step") / 5.0)
+    rows = _losses(spark, sf_dir)
+    s1, s2 = (F.col("step") % 10) / 10.0, -((F.col("step") % 10) / 5.0)
     return rows.select("step", F.round(F.col("a") + 0.5 * F.col("b"), 6).alias("fixed"), F.round(F.exp(-s1) * F.col("a") + s1 + F.exp(-s2) * 0.5 * F.col("b") + s2, 6).alias("uncertainty"))
 
 
 def lr_schedule(spark, sf_dir):
-    return spark.range(101).select(F.col("id").alias("step"), F.round(experiment.lr_schedule(F.col("id"), 5, 100), 6).alias("factor"))
-
-
-def _log(spark):
-    return spark.createDataFrame(EVALS, "step long, map double, r1 double, r10 double")
+    """Factor of each batch of the events' training run."""
+    steps = tables.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 32).alias("step")).distinct()
+    last = steps.agg(F.max("step").alias("last"))
+    return steps.crossJoin(F.broadcast(last)).select("step", F.round(experiment.lr_schedule(F.col("step"), 5, F.col("last")), 6).alias("factor"))  # one row
 
 
 def early_stop(spark, sf_dir):
-    return experiment.early_stop(_log(spark), 3, FLOOR)
+    return experiment.early_stop(retrieval.metric_log(spark, sf_dir), PATIENCE, FLOOR, ["run"])
 
 
 def checkpoint_select(spark, sf_dir):
-    """Best by r10 then r1 (retriever), and best by map above the floor (reranker)."""
-    log = _log(spark)
-    a = log.orderBy(F.desc("r10"), F.desc("r1"), "step").limit(1).select(F.lit("retriever").alias("kind"), "step")
-    b = log.where(F.col("r10") >= FLOOR).orderBy(F.desc("map"), "step").limit(1).select(F.lit("reranker").alias("kind"), "step")
+    """Of each run the best by r10 then r1 (retriever), and the best by map above the floor (reranker)."""
+    log = retrieval.metric_log(spark, sf_dir)
+    first = lambda *order: F.max_by("step", F.struct(*[F.col(c) for c in order], -F.col("step"))).alias("step")
+    a = log.groupBy("run").agg(first("r10", "r1")).select("run", F.lit("retriever").alias("kind"), "step")
+    b = log.where(F.col("r10") >= FLOOR).groupBy("run").agg(first("map")).select("run", F.lit("reranker").alias("kind"), "step")
     return a.unionByName(b)
 
 
 def report_table(spark, sf_dir):
-    rows = spark.createDataFrame([("first", "report", 0.95029, 0.9185, 0.9915), ("two-stage", "report", 0.96757, 0.9465, 0.993), ("two-stage", "dev", 0.9, 0.9, 0.9)], "name string, split string, map double, r1 double, r5 double")
-    return rows.where("split = 'report'").select("name", *[experiment.percent(F.col(c)).alias(c) for c in ("map", "r1", "r5")])
+    """The report's table in per cent, of complete metrics of the report split only."""
+    rows = retrieval.label_report(spark, sf_dir).where("split = 'report'")
+    assert_report(rows, ("map", "r1", "r5"))
+    return rows.select("name", *[experiment.percent(F.col(c)).alias(c) for c in ("map", "r1", "r5")])
 
 
 QUERIES = [
@@ -140,7 +149,11 @@ bs AS (SELECT batch, epoch, min(seq) AS start FROM sq GROUP BY 1, 2),
 mm AS (SELECT a.batch, a.pos AS i, bs.start - b.seq AS j, a.batch - b.batch AS age, a.instance = b.instance OR a.caption = b.caption AS masked, list_dot_product(CAST(a.img AS DOUBLE[]), CAST(b.txt AS DOUBLE[])) AS sim
   FROM sq a JOIN bs ON bs.batch = a.batch JOIN sq b ON b.epoch = a.epoch AND b.seq < bs.start AND b.seq >= bs.start - 128)
 """
-_VALUES = "(VALUES " + ", ".join(f"({s}::BIGINT, {m}::DOUBLE, {r1}::DOUBLE, {r10}::DOUBLE)" for s, m, r1, r10 in EVALS) + ") v(step, map, r1, r10)"
+_LOSS = """WITH c AS (SELECT event_id // 2560 AS epoch, event_id // 32 AS step, event_id % 3 AS k, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+l AS (SELECT epoch, step, 1 + sum(CASE WHEN k = 0 THEN cents ELSE 0 END) / CAST(1000 AS DOUBLE) AS a, 1 + sum(CASE WHEN k = 1 THEN cents ELSE 0 END) / CAST(1000 AS DOUBLE) AS b, 1 + sum(CASE WHEN k = 2 THEN cents ELSE 0 END) / CAST(1000 AS DOUBLE) AS c FROM c GROUP BY 1, 2)
+"""
+_LOG = retrieval.FXE + """, lg AS (SELECT query_id // 500 AS run, query_id // 50 % 10 AS step, round(avg(1.0 / rank), 6) AS map, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 10)::INT), 6) AS r10 FROM rk GROUP BY 1, 2)
+"""
 
 SQL = {
     "itc_loss": SEQ
@@ -170,17 +183,27 @@ SELECT batch, max(size) AS size, round(max(size) / 128, 6) AS fill, round(avg(ag
     "similarity_diagnostics": SEQ
     + """, c AS (SELECT *, count(*) OVER (PARTITION BY batch, i) AS n FROM pp)
 SELECT batch, round(avg(sim) FILTER (own), 6) AS positive, round(avg(sim) FILTER (j = xor(i, 1)), 6) AS paired, round(avg(sim) FILTER (j = (i - 1 + n) % n), 6) AS random, round(avg((sim > 0)::INT), 6) AS above_zero FROM c GROUP BY 1""",
-    "loss_weights_dwa": """WITH l AS (SELECT step, 2.0::DOUBLE / (step + 1) AS itc, 1.5::DOUBLE - step / 20 AS itm, 1.0::DOUBLE + (step % 3) / 10 AS ap FROM (SELECT unnest(range(12)) AS step)),
-r AS (SELECT step, exp(lag(itc, 1) OVER w / greatest(lag(itc, 2) OVER w, 1e-8) / 2) AS a, exp(lag(itm, 1) OVER w / greatest(lag(itm, 2) OVER w, 1e-8) / 2) AS b, exp(lag(ap, 1) OVER w / greatest(lag(ap, 2) OVER w, 1e-8) / 2) AS c FROM l WINDOW w AS (ORDER BY step))
-SELECT step, round(coalesce(3 * a / (a + b + c), 1), 6) AS w_itc, round(coalesce(3 * b / (a + b + c), 1), 6) AS w_itm, round(coalesce(3 * c / (a + b + c), 1), 6) AS w_ap FROM r""",
-    "weighted_losses": """WITH l AS (SELECT step, 2.0::DOUBLE / (step + 1) AS a, 1.5::DOUBLE - step / 20 AS b, step / 10 AS s1, -(step / 5) AS s2 FROM (SELECT unnest(range(10)) AS step))
-SELECT step, round(a + 0.5::DOUBLE * b, 6) AS fixed, round(exp(-s1) * a + s1 + exp(-s2) * 0.5::DOUBLE * b + s2, 6) AS uncertainty FROM l""",
-    "lr_schedule": "SELECT step, round(CASE WHEN step < 5 THEN (step + 1) / 5 ELSE 0.5::DOUBLE * (1 + cos(pi() * least(1, (step - 5) / 95))) END, 6) AS factor FROM (SELECT unnest(range(101)) AS step)",
-    "early_stop": f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (ORDER BY step) AS k FROM {_VALUES}),
-f AS (SELECT 0::BIGINT AS k, (-1.0)::DOUBLE AS best, (-1)::BIGINT AS best_step, 0 AS bad, (-1)::BIGINT AS stop_step
-  UNION ALL SELECT l.k, CASE WHEN good THEN map ELSE best END, CASE WHEN good THEN step ELSE best_step END, CASE WHEN good THEN 0 ELSE bad + 1 END, CASE WHEN NOT good AND bad + 1 >= 3 THEN step ELSE -1 END
-  FROM (SELECT f.best, f.best_step, f.bad, l.*, l.map > f.best AND l.r10 >= {FLOOR} AS good FROM f JOIN l ON l.k = f.k + 1 WHERE f.stop_step < 0) l)
-SELECT best_step, best, bad, stop_step FROM f ORDER BY k DESC LIMIT 1""",
-    "checkpoint_select": f"SELECT 'retriever' AS kind, step FROM (SELECT * FROM {_VALUES} ORDER BY r10 DESC, r1 DESC, step LIMIT 1) UNION ALL SELECT 'reranker', step FROM (SELECT * FROM {_VALUES} WHERE r10 >= {FLOOR} ORDER BY map DESC, step LIMIT 1)",
-    "report_table": "SELECT * FROM (VALUES ('first', '95.03', '91.85', '99.15'), ('two-stage', '96.76', '94.65', '99.30')) v(name, map, r1, r5)",
+    "loss_weights_dwa": _LOSS
+    + """, r AS (SELECT epoch, step, exp(lag(a, 1) OVER w / greatest(lag(a, 2) OVER w, 1e-8) / 2) AS a, exp(lag(b, 1) OVER w / greatest(lag(b, 2) OVER w, 1e-8) / 2) AS b, exp(lag(c, 1) OVER w / greatest(lag(c, 2) OVER w, 1e-8) / 2) AS c FROM l WINDOW w AS (PARTITION BY epoch ORDER BY step))
+SELECT epoch, step, round(coalesce(3 * a / (a + b + c), 1), 6) AS w_a, round(coalesce(3 * b / (a + b + c), 1), 6) AS w_b, round(coalesce(3 * c / (a + b + c), 1), 6) AS w_c FROM r""",
+    "weighted_losses": _LOSS
+    + """, s AS (SELECT *, step % 10 / CAST(10 AS DOUBLE) AS s1, -(step % 10 / CAST(5 AS DOUBLE)) AS s2 FROM l)
+SELECT step, round(a + 0.5::DOUBLE * b, 6) AS fixed, round(exp(-s1) * a + s1 + exp(-s2) * 0.5::DOUBLE * b + s2, 6) AS uncertainty FROM s""",
+    "lr_schedule": """WITH s AS (SELECT DISTINCT event_id // 32 AS step FROM events), t AS (SELECT greatest(1, max(step) - 5)::DOUBLE AS wide FROM s)
+SELECT step, round(CASE WHEN step < 5 THEN (step + 1) / 5 ELSE 0.5::DOUBLE * (1 + cos(pi() * least(1, (step - 5) / wide))) END, 6) AS factor FROM s, t""",
+    "early_stop": _LOG
+    + f""", l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM lg),
+f AS (SELECT DISTINCT run, 0::BIGINT AS k, (-1.0)::DOUBLE AS best, (-1)::BIGINT AS best_step, 0 AS bad, (-1)::BIGINT AS stop_step FROM lg
+  UNION ALL SELECT run, k, CASE WHEN good THEN map ELSE best END, CASE WHEN good THEN step ELSE best_step END, CASE WHEN good THEN 0 ELSE bad + 1 END, CASE WHEN NOT good AND bad + 1 >= {PATIENCE} THEN step ELSE -1 END
+  FROM (SELECT f.best, f.best_step, f.bad, l.*, l.map > f.best AND l.r10 >= {FLOOR} AS good FROM f JOIN l ON l.run = f.run AND l.k = f.k + 1 WHERE f.stop_step < 0) l)
+SELECT run, best_step, best, bad, stop_step FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY k DESC) = 1""",
+    "checkpoint_select": _LOG
+    + f"""SELECT run, 'retriever' AS kind, step FROM lg QUALIFY row_number() OVER (PARTITION BY run ORDER BY r10 DESC, r1 DESC, step) = 1
+UNION ALL (SELECT run, 'reranker', step FROM lg WHERE r10 >= {FLOOR} QUALIFY row_number() OVER (PARTITION BY run ORDER BY map DESC, step) = 1)""",
+    "report_table": retrieval.FXE
+    + """, m AS (SELECT q_label AS label, avg(1.0 / rank) AS map, avg((rank <= 1)::INT) AS r1, avg((rank <= 5)::INT) AS r5 FROM rk JOIN (SELECT query_id, q_label FROM qs) USING (query_id) GROUP BY 1)
+SELECT 'label ' || label AS name, printf('%.2f', round(map * 100, 2)) AS map, printf('%.2f', round(r1 * 100, 2)) AS r1, printf('%.2f', round(r5 * 100, 2)) AS r5 FROM m WHERE label % 3 <> 0""",
+    "itm_pairs_sampled": SEQ
+    + """, u AS (SELECT batch, i, j, sim, masked OR own AS no, -ln(-ln(greatest(least(CAST('0x' || substr(sha256('2026:' || batch || ':' || i || ':' || j), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE), 1 - 1e-12::DOUBLE), 1e-12::DOUBLE))) AS noise FROM pp)
+SELECT batch, i, coalesce(max_by(j, sim / 0.07::DOUBLE + noise) FILTER (NOT no), max_by(j, noise) FILTER (i <> j)) AS j FROM u GROUP BY 1, 2""",
 }

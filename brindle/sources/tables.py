@@ -67,5 +67,11 @@ def shards(df: DataFrame, key: str, size: int, partitions: int | None = None) ->
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(n, x): row count and the exclusive or of row hashes; independent of order and partitioning."""
-    return df.select(F.xxhash64(*sorted(df.columns)).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"))
+    """(n, first, second): row count, and the sums modulo 2^60 of two parts of each row's SHA-256.
+
+    Independent of order and partitioning; as sums, unlike exclusive ors, count how often a row occurs. A row is its columns
+    as text in the order of their names, joined by unit separators, a null as a record separator."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(df.columns)])
+    part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda at: F.coalesce(F.sum(part(at)) % (1 << 60), F.lit(0)).cast("long")
+    return df.select(F.sha2(text.cast("binary"), 256).alias("h")).agg(F.count("*").alias("n"), total(1).alias("first"), total(16).alias("second"))

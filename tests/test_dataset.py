@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import geometry, text
-from brindle.operators import batching, sampling, splits
+from brindle.operators import batching, ordering, sampling, splits
 from brindle.operators.components import connected
 from brindle.operators.guards import ContractError, assert_empty, assert_ratios, duplicates, missing
 from brindle.sources import tables
@@ -40,7 +40,7 @@ def test_quotas(n, want):
 
 
 def test_quota_query_equals_the_helper(spark):
-    got = {(r.n, r.bucket): r.quota for r in sampling.quota_table(spark, [7, 30000]).collect()}
+    got = {(r.n, r.bucket): r.quota for r in sampling.quota_table(spark.createDataFrame([(7,), (30000,)], "n long")).collect()}
     assert got == {(n, b): q for n in (7, 30000) for b, q in sampling.quotas(n).items()}
 
 
@@ -95,9 +95,47 @@ def test_tokenizer_keeps_the_first_98_words_and_gives_a_mask(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'aa' AS lang", "'s' AS source", "0L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.image_id: r for r in dataset.tokenizer(spark, str(tmp_path)).collect()}
-    assert [sum(got[k].mask) for k in range(3)] == [100, 4, 2] and all(len(got[k].ids) == 100 == len(got[k].mask) for k in range(3))
-    assert got[0].ids[0] == 1 and got[0].ids[99] == 2 and len(set(got[0].ids[1:99])) > 90 and got[1].ids[3:5] == [2, 0]
-    assert all((i != 0) == (m == 1) for k in range(3) for i, m in zip(got[k].ids, got[k].mask, strict=True))
+    ids = {k: [int(x) for x in got[k].ids.split()] for k in range(3)}
+    assert [got[k].mask.count("1") for k in range(3)] == [100, 4, 2] and all(len(ids[k]) == 100 == len(got[k].mask) for k in range(3))
+    assert ids[0][0] == 1 and ids[0][99] == 2 and len(set(ids[0][1:99])) > 90 and ids[1][3:5] == [2, 0]
+    assert all((i != 0) == (m == "1") for k in range(3) for i, m in zip(ids[k], got[k].mask, strict=True))
+
+
+def test_numbers_within_groups(spark):
+    rows = [(None if k % 11 == 0 else "a" if k % 3 else "b", k % 7, k) for k in range(400)] + [("only", 1, 1000)]
+    d = spark.createDataFrame(rows, "grp string, x int, id long")
+    got = {r.id: r.rn for r in ordering.segmented(d, ["grp"], ["x", "id"], partitions=9).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {r[2]: n + 1 for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]))}
+    assert got == want
+    assert ordering.segmented(d.where("id < 0"), ["grp"], ["x"]).count() == 0
+    assert [r.rn for r in ordering.numbered(d, ["x", "id"], 5).orderBy("x", "id").collect()] == list(range(1, 402))
+
+
+def test_grouped_batches_walk_through_laps(spark):
+    sizes = {"a": 50, "b": 9, "c": 3, None: 20}
+    rows = [(k, g) for k, g in enumerate(g for g, n in sizes.items() for _ in range(n))]
+    of = dict(rows)
+    got = batching.grouped_batches(spark.createDataFrame(rows, "row_id long, grp string"), 8, 0.5, 1).collect()
+    batches = {}
+    for r in got:
+        batches.setdefault(r.batch, {})[r.pos] = r.row_id
+    assert sorted(batches) == list(range(82 // 8)) and all(sorted(b) == list(range(8)) for b in batches.values())
+    fill, seen = [], {}
+    for n in sorted(batches):
+        g = of[batches[n][0]]
+        m = min(4, sizes[g])
+        part = [batches[n][k] for k in range(m)]
+        assert {of[i] for i in part} == {g} and len(set(part)) == m
+        seen.setdefault(g, []).append(part)
+        fill += [batches[n][k] for k in range(m, 8)]
+    assert len(fill) == len(set(fill)) and None not in seen
+    for g, parts in seen.items():
+        lap = sizes[g] // min(4, sizes[g])
+        for k in range(0, len(parts), lap):
+            rows_of_lap = [i for p in parts[k : k + lap] for i in p]
+            assert len(rows_of_lap) == len(set(rows_of_lap))  # a lap repeats no row
 
 
 def test_boxes(spark):
@@ -125,6 +163,8 @@ def test_sources_and_sinks(spark, tmp_path):
     s = tables.shards(spark.range(10), "id", 4).groupBy("shard").count().orderBy("shard").collect()
     assert [r["count"] for r in s] == [4, 4, 2]
     assert tables.fingerprint(m).first() == tables.fingerprint(m.repartition(3)).first()
+    x, y = (spark.createDataFrame([(k,) for k in v], "id string") for v in ("aabb", "ccdd"))
+    assert tables.fingerprint(x).first() != tables.fingerprint(y).first() and tables.fingerprint(x.where("id = 'z'")).first().n == 0
 
 
 def test_contracts_break_the_build(spark):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import assignment, ranking
+from brindle.operators import assignment, blocks, ranking
 
 
 def scored(spark, sim, gt):
@@ -92,10 +92,86 @@ def test_matching_has_no_blocking_pair(spark):
             assert not (s[a, b] > (s[a, q[a]] if a in q else -1) and s[a, b] > s[g[b], b])
 
 
-def test_matching_in_rounds_equals_matching_in_one_task(spark):
-    chain = spark.createDataFrame([(q, q + d, float(100 - 2 * q - d)) for q in range(30) for d in (0, 1)] + [(50, 50, 1.0)], "query_id long, gallery_id long, score double")
-    a, b = ({(r.query_id, r.gallery_id) for r in assignment.stable_match(chain, fold=n).collect()} for n in (0, 1000))
-    assert a == b == {(q, q) for q in range(30)} | {(50, 50)}
+def one_by_one(lists, scores):
+    """Greedy resolution by a walk over the losers."""
+    tops = {q: x[0] for q, x in lists.items()}
+    groups = {}
+    for q in lists:
+        groups.setdefault(tops[q], []).append(q)
+    used, out = set(tops.values()), dict(tops)
+    for g, qs in groups.items():
+        keep = max(qs, key=lambda q: (scores[q][0], -q))
+        for q in [x for x in qs if x != keep]:
+            new = next((x for x in lists[q] if x not in used), None)
+            if new is not None:
+                used.add(new)
+                out[q] = new
+    return out
+
+
+def test_conflicts_on_random_lists(spark):
+    """Rounds give what a walk in order gives: greedy and stable resolution of crowded lists, with ties."""
+    rng = np.random.default_rng(7)
+    lists = {q: [int(g) for g in rng.choice(25, 6, replace=False)] for q in range(60)}
+    scores = {q: sorted((float(x) for x in rng.integers(0, 9, 6)), reverse=True) for q in lists}
+    for q in lists:  # equal scores: the smaller gallery id first
+        both = sorted(zip(scores[q], lists[q], strict=True), key=lambda x: (-x[0], x[1]))
+        lists[q], scores[q] = [g for _, g in both], [s for s, _ in both]
+    o = order(spark, lists.values(), scores.values())
+    got = {r.query_id: r.gallery_id for r in assignment.resolve(o, "greedy").where("pos = 1").collect()}
+    assert got == one_by_one(lists, scores)
+    edges = sorted((-s, q, g) for q in lists for s, g in zip(scores[q], lists[q], strict=True))
+    queries, galleries, want = set(), set(), set()
+    for _, q, g in edges:
+        if q not in queries and g not in galleries:
+            queries.add(q)
+            galleries.add(g)
+            want.add((q, g))
+    assert {(r.query_id, r.gallery_id) for r in assignment.stable_match(o).collect()} == want
+
+
+def test_matching_follows_a_chain(spark):
+    """Each query displaces the next one."""
+    chain = spark.createDataFrame([(q, q + d, float(q - d)) for q in range(8) for d in (0, 1)] + [(50, 50, 1.0)], "query_id long, gallery_id long, score double")
+    got = {(r.query_id, r.gallery_id) for r in assignment.stable_match(chain).collect()}
+    assert got == {(q, q) for q in range(8)} | {(50, 50)}
+
+
+def blocks_case(spark, n=300):
+    rng = np.random.default_rng(2)
+    g = rng.integers(-9, 10, (n, 6)).astype(np.float32)  # whole numbers: scores are exact
+    g[50:90] = g[7]  # equal rows: ties go by id
+    q = rng.integers(-9, 10, (17, 6)).astype(np.float32)
+    gallery = spark.createDataFrame([(k, v.tolist(), int(k % 5)) for k, v in enumerate(g)], "gallery_id long, vec array<float>, label int")
+    queries = spark.createDataFrame([(k, k * 3, v.tolist(), int(k % 6)) for k, v in enumerate(q)], "query_id long, gt_id long, vec array<float>, label int")
+    s = q.astype(float) @ g.astype(float).T
+    return queries, gallery, s
+
+
+def test_one_pass_over_all_pairs(spark, monkeypatch):
+    queries, gallery, s = blocks_case(spark)
+    monkeypatch.setattr(blocks, "BLOCK", 64)
+    monkeypatch.setattr(blocks, "PART", 5)
+    hits = blocks.scan(ranking.with_truth(queries, gallery, 6), gallery, 4, 6)
+    got = {(r.query_id, r.pos): r.gallery_id for r in blocks.candidates(hits, 4).collect()}
+    want = {(q, k + 1): int(g) for q, row in enumerate(s) for k, g in enumerate(np.lexsort((np.arange(len(row)), -np.round(row, 9)))[:4])}
+    assert got == want
+    rank = {r.query_id: (r["rank"], r.n) for r in blocks.ranks(hits).collect()}
+    assert rank == {q: (int((row > row[q * 3] - 1e-9).sum()), len(row)) for q, row in enumerate(s)}
+
+
+def test_average_precision_in_ranges_of_scores(spark):
+    """One range, and many that cut between equal scores, give the textbook's value."""
+    queries, gallery, s = blocks_case(spark)
+    want = {}
+    for q, row in enumerate(s):
+        o = np.lexsort((np.arange(len(row)), -np.round(row, 9)))
+        hit = np.flatnonzero(o % 5 == q % 6)
+        if len(hit):
+            want[q] = float((np.arange(1, len(hit) + 1) / (hit + 1)).mean())
+    for size, sample in ((10**6, 8), (20, 200)):
+        got = {r.query_id: r.ap for r in blocks.average_precision(queries, gallery, dim=6, size=size, sample=sample).collect()}
+        assert got.keys() == want.keys() and all(abs(got[q] - want[q]) < 1e-9 for q in want)
 
 
 def test_unknown_method(spark):
