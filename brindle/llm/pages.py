@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections import Counter
@@ -25,8 +26,10 @@ from .common import durable, fits_broadcast
 BROADCAST_HOSTS = 100_000
 #: What text counts in an element whose class, id or role has a word of furniture.
 DOUBT = 0.3
-#: Block elements that a path names, and levels above a block that it votes for.
-DEPTH = 30
+#: What a container's score is worth to the next one around it, and share of links in the text of a doubtful box that hides it.
+DECAY, LINKS = 0.7, 0.5
+#: Block elements that a path spells out; those further in are told apart by a hash of their names.
+SPELT = 30
 
 # Element names of HTML, and words of class names and ids that mark page furniture.
 _RAW = "script style noscript template textarea iframe svg math object select title"
@@ -35,7 +38,8 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _ENDS_P = _BLOCK - {"html", "body"}
 _SELF_CLOSING = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FURNITURE = frozenset("nav header footer aside form button menu dialog head".split())
-_NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header menu nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+_BOXES = frozenset("popup promo promoted related respond share sharing social toolbar widget".split())  # furniture if full of links
+_NOISE = _BOXES | frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header menu nav navbar navigation newsletter notice notices sidebar sponsor sponsored subscribe subscription".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
@@ -53,31 +57,56 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Element:
-    """An open element; path names the block elements from the root to it, down to DEPTH of them."""
+    """An open element; path names the block elements from the root to it. gate: the innermost element from it outward that
+    may be hidden, itself included."""
 
-    __slots__ = ("block", "container", "depth", "doubtful", "furniture", "name", "parent", "path", "size")
+    __slots__ = ("block", "container", "depth", "doubtful", "gate", "hidden", "kind", "links", "name", "parent", "path", "size")
 
-    def __init__(self, name: str, label: str, parent: _Element | None, furniture: bool = False, doubtful: bool = False):
-        above = parent.path if parent else ""
-        self.name, self.parent, self.furniture, self.size = name, parent, furniture, 0
+    def __init__(self, name: str, label: str, parent: _Element | None, kind: str = "", doubtful: bool = False):
+        self.name, self.parent, self.kind, self.size, self.links, self.hidden = name, parent, kind, 0, 0, None
         self.block = name in _BLOCK
         self.depth = (parent.depth if parent else 0) + self.block
-        self.path = (f"{above}/{label}" if above else label) if self.block and self.depth <= DEPTH else above
+        above = parent.path if parent else ""
+        if not self.block:
+            self.path = above
+        elif self.depth <= SPELT:
+            self.path = f"{above}/{label}" if above else label
+        else:  # as long as any other, so that time stays linear in the depth
+            head, _, tail = above.partition("/~")
+            self.path = f"{head}/~{hashlib.blake2b(f'{tail}/{label}'.encode(), digest_size=8).hexdigest()}"
         self.doubtful = doubtful or bool(parent and parent.doubtful)
         self.container = self.block and name not in _NO_CONTAINER
+        self.gate = self if kind else parent.gate if parent else None
+
+
+def _kind(tag: str, names: list[tuple[str, str]]) -> tuple[str, bool]:
+    """(what hides the element: 'element', 'name', 'box' or nothing; whether its names have a word of _NOISE at all).
+
+    Element names hide whatever they enclose. Of the others only containers are hidden for a class, id or role that is a
+    word of _NOISE as a whole: never a heading, a paragraph, a list item, a cell or an inline element."""
+    if tag in _FURNITURE:
+        return "element", False
+    if not names or tag in _NEVER:
+        return "", False
+    marks = {w.lower() for _, v in names for w in _WORDS.findall(v)} & _NOISE
+    whole = {w for _, v in names for w in v.lower().split()} & marks
+    if not whole or tag not in _BLOCK or tag in _NO_CONTAINER:
+        return "", bool(marks)
+    return ("name" if whole - _BOXES else "box"), True
 
 
 def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
     """(text, characters in links, innermost element around it) of each block of a page outside furniture, in order.
 
-    Furniture is told by element names, or by a class, id or role that is a word of _NOISE as a whole; it is hidden unless it holds most of the page's text outside links. Time is linear in the page's length,
-    however deep elements nest and however many are left open."""
+    Hidden are elements that are furniture by their own name, containers named by a word of _NOISE unless they enclose an
+    `article` or `main`, and boxes whose text is mostly links. Where nothing else on the page has text, named
+    containers are shown, and where there is still none, all but the head. Time is linear in the page's length, however
+    deep elements nest and however many are left open."""
     raw: list = []
     stack: list[_Element] = []
     opened: Counter[str] = Counter()
-    text: list[tuple[str, int, tuple]] = []
-    hiding: tuple[_Element, ...] = ()
-    whole = 0
+    gates: list[_Element] = []
+    text: list[tuple[str, int, _Element | None]] = []
 
     def flush():
         if text:
@@ -85,11 +114,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
             text.clear()
 
     def pop():
-        nonlocal hiding
-        e = stack.pop()
-        opened[e.name] -= 1
-        if hiding and e is hiding[-1]:
-            hiding = hiding[:-1]
+        opened[stack.pop().name] -= 1
 
     def close(names: set[str], within: set[str] = frozenset()) -> None:
         """Close the innermost open element of `names` and all in it, if no element of `within` is open inside it."""
@@ -106,13 +131,12 @@ def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
         kind = m.lastgroup
         if kind == "text":
             t = m["text"]
-            link = opened["a"] > 0
-            text.append((t, len(t) if link else 0, hiding))
-            if not link:
+            link, gate = opened["a"] > 0, stack[-1].gate if stack else None
+            text.append((t, len(t) if link else 0, gate))
+            if gate is not None:
                 n = len(t.strip())
-                whole += n
-                if hiding:
-                    hiding[-1].size += n
+                gate.size += n
+                gate.links += n if link else 0
             continue
         tag = m["tag"]
         if tag is None:
@@ -126,7 +150,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
                 close({tag})
             continue
         if tag == "br":
-            text.append((" ", 0, hiding))
+            text.append((" ", 0, stack[-1].gate if stack else None))
         if tag in _BLOCK:
             flush()
         if tag in _VOID:
@@ -142,50 +166,76 @@ def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
             continue
         parent = stack[-1] if stack else None
         names = [(a.lower(), b or c or d or "") for a, b, c, d in _NAMES.findall(m["attrs"])] if m["attrs"] else []
-        marks = {w.lower() for k, v in names for w in _WORDS.findall(v)} & _NOISE if names and tag not in _NEVER else set()
-        sure = bool(marks) and any(w in marks for _, v in names for w in v.lower().split())
+        hides, doubtful = _kind(tag, names)
+        label = tag
         if tag in _BLOCK:
             cls = " ".join(v for k, v in names if k == "class")
-            e = _Element(tag, tag + "".join("." + c for c in sorted(_DIGITS.sub("#", cls).split())), parent, tag in _FURNITURE or sure, bool(marks))
-        else:
-            e = _Element(tag, tag, parent, tag in _FURNITURE or sure)
+            label += "".join("." + c for c in sorted(_DIGITS.sub("#", cls).split()))
+        e = _Element(tag, label, parent, hides, doubtful and tag in _BLOCK)
+        if hides:
+            gates.append(e)
+        if tag in ("article", "main"):
+            g = e.gate
+            while g is not None and g.kind != "element" and g.hidden is None:
+                g.hidden = False
+                g = g.parent.gate if g.parent else None
         stack.append(e)
         opened[tag] += 1
-        if e.furniture and len(hiding) < DEPTH:
-            hiding = (*hiding, e)
     flush()
-    out = []
-    total: dict[int, int] = {}  # text within each piece of furniture and those inside it
-    for over in dict.fromkeys(h for pieces, _ in raw for _, _, h in pieces):
-        for e in over:
-            total.setdefault(id(e), 0)
-    seen: set[int] = set()
-    for pieces, _ in raw:
-        for _, _, over in pieces:
-            if over and id(over[-1]) not in seen:
-                seen.add(id(over[-1]))
-                for e in over:
-                    total[id(e)] += over[-1].size
-    for pieces, around in raw:
-        shown = [(t, n) for t, n, over in pieces if all(e.name != "head" and 2 * total[id(e)] > whole for e in over)]
-        t = _SPACES.sub(" ", _html.unescape("".join(t for t, _ in shown))).strip()
-        if t:
-            out.append((t, sum(n for _, n in shown), around))
-    return out
+    outer = lambda e: e.parent.gate if e.parent else None
+    for e in reversed(gates):  # inner ones first: a box counts what is in it as a whole
+        if (o := outer(e)) is not None:
+            o.size += e.size
+            o.links += e.links
+    for e in gates:  # outer ones first
+        own = e.kind == "element" or (e.hidden is None and (e.kind == "name" or e.links >= LINKS * max(1, e.size)))
+        o = outer(e)
+        above = o.hidden if o is not None else ""
+        e.hidden = "head" if e.name == "head" or above == "head" else "element" if e.kind == "element" or above == "element" else "name" if own or above == "name" else ""
+    for shown in ((), ("name",), ("name", "element")):
+        out = []
+        for pieces, around in raw:
+            seen = [(t, n) for t, n, g in pieces if g is None or not g.hidden or g.hidden in shown]
+            t = _SPACES.sub(" ", _html.unescape("".join(t for t, _ in seen))).strip()
+            if t:
+                out.append((t, sum(n for _, n in seen), around))
+        if out:
+            return out
+    return []
 
 
 def scores(found: list[tuple[str, int, _Element | None]]) -> dict[str, float]:
-    """Score of each container path: text outside links, less with each element between block and container, and less in
-    elements whose names have a word of _NOISE. Containers more than DEPTH levels above a block get nothing from it."""
-    out: dict[str, float] = {}
+    """Score of each container path: text outside links, less with each container between block and container, and less in
+    elements whose names have a word of _NOISE."""
+    gains: dict[_Element, float] = {}
     for text, links, e in found:
-        gain = max(0, len(text) - 2 * links) * (DOUBT if e is not None and e.doubtful else 1)
-        k = 0
-        while e is not None and k < DEPTH:
-            if e.container:
-                out[e.path] = out.get(e.path, 0) + gain * 0.7**k * (1.3 if e.name in ("article", "main") else 1)
-                k += 1
+        if e is not None:
+            gains[e] = gains.get(e, 0.0) + max(0, len(text) - 2 * links) * (DOUBT if e.doubtful else 1)
+    order, known = [], set(gains)
+    for e in gains:  # all elements around blocks
+        up = e.parent
+        while up is not None and up not in known:
+            known.add(up)
+            order.append(up)
+            up = up.parent
+    levels = {}
+    for e in [*gains, *order]:
+        way = []
+        while e is not None and e not in levels:
+            way.append(e)
             e = e.parent
+        n = levels[e] if e is not None else 0
+        for x in reversed(way):
+            n += 1
+            levels[x] = n
+    out: dict[str, float] = {}
+    for e in sorted(levels, key=levels.get, reverse=True):
+        gain = gains.get(e, 0.0)
+        if e.container:
+            out[e.path] = out.get(e.path, 0) + gain * (1.3 if e.name in ("article", "main") else 1)
+            gain *= DECAY
+        if e.parent is not None:
+            gains[e.parent] = gains.get(e.parent, 0.0) + gain
     return out
 
 

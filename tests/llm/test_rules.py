@@ -238,3 +238,44 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
     fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=Conf, master="spark://host:7077"), conf=Conf())
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(fake)
+
+
+ARTICLE = "<p>Some words of an article that goes on for a while, with a second clause.</p>"
+ARTICLE_TEXT = ARTICLE[3:-4]
+COMMENTS = "".join(f"<p>Comment {k} has a text that is long enough to win any vote.</p>" for k in range(20))
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article>{ARTICLE}</article><div class='comments'>{COMMENTS}</div>", ARTICLE_TEXT),
+        (f"<div>{ARTICLE}</div><div id=comments>{COMMENTS}</div>", ARTICLE_TEXT),
+        ("<nav><ul>" + "".join(f"<li>item number {k}</li>" for k in range(60)) + f"</ul></nav><div>{ARTICLE}</div>", ARTICLE_TEXT),
+        ('<p>He gave <span class="notice">two weeks</span> and left.</p>', "He gave two weeks and left."),
+        (f'<article><h2 class="header">Head</h2>{ARTICLE}</article>', f"Head\n{ARTICLE_TEXT}"),
+        (f'<article>{ARTICLE}<div class="related"><p>It says more about it.</p></div></article>', f"{ARTICLE_TEXT}\nIt says more about it."),
+        (f'<article>{ARTICLE}<div class="related"><a href=x>one thing</a> and <a href=y>another thing</a></div></article>', ARTICLE_TEXT),
+        (f'<div class="notice"><article>{ARTICLE}</article></div><div>tiny</div>', ARTICLE_TEXT),
+        ('<div class="notice">only this</div>', "only this"),
+        ("<nav>only a menu</nav>", "only a menu"),
+        ("<div>" * 60 + ARTICLE + "<nav>menu</nav>" + "</div>" * 60, ARTICLE_TEXT),
+        ("<div>" * 40 + f"<div class='a'>{ARTICLE}</div><div class='b'><p>else</p></div>" + "</div>" * 40, ARTICLE_TEXT),
+    ],
+)
+def test_furniture_of_a_lone_page(body, want):
+    assert pages.text_of(f"<html><head><title>no</title></head><body>{body}</body></html>", None) == want
+
+
+def test_long_comments_on_a_whole_host(spark):
+    data = [(k, f"http://h.example/{k}", f"<body><div class='post-{k}'><h1>Title {k}</h1>{ARTICLE}</div><section class='comments'>{COMMENTS * (k % 3)}</section></body>") for k in range(12)]
+    got = pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Title {k}\n{ARTICLE_TEXT}" for k in range(12)}
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    body = f"<article>{ARTICLE * 20000}</article>"
+    rows = [(1, "http://a.example/", body, "p", 1.0, "h"), (2, None, None, "q", 2.0, None), (2, None, None, "q", 2.0, None)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path string, score double, host string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 20000 * (len(ARTICLE_TEXT) + 1) - 1), (2, 0), (2, 0)]
+    deep = "<div>" * 100_000 + "deep" + "</div>" * 100_000
+    assert pages.text_of(deep, None) == "deep"
