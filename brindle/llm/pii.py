@@ -9,9 +9,10 @@ discover identifiers that no base pattern describes, whose contexts then support
 wherever they stand, other runs of words only where their own context says so. Contexts reach 48 characters; quotes
 around a value don't count as words, so `token = "x"` and `token = x` give one context.
 
-Besides the base finds, long tokens of letters and digits (`_secret_like`) are seeds of a fifth kind, `secret`. Their
-shape alone reports nothing: such a token becomes a span where a pattern that several of them share vouches for it, and
-so does any other value in that context.
+Besides the base finds, long tokens of letters and digits (`_secret_like`) seed a fifth kind, `secret`: two thirds of
+them, by a hash of the value. The rest are candidates like any other token. Their shape reports nothing: a seed becomes a
+span where a pattern that several share vouches for it, and what is no seed, of whatever shape, where the patterns'
+confidence says so. `evaluate` hides a third of the seeds of every kind and tells how many come back.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ TOKEN = r"(?<![A-Za-z0-9_.+@/=-])(?=[A-Za-z_.+@/=-]*+[0-9])[A-Za-z0-9_.+@/=-]{6,
 
 #: A token of the kind `secret` has this many characters, and letters and digits in it, at least.
 SECRET_SIZE, SECRET_LETTERS = 32, 5
+#: One in so many of these tokens is no seed, and one in so many seeds is hidden by evaluate().
+HELD_OUT = 3
 _QUOTES = "[\"'`]"
 MIN_SEEDS, CONFIDENCE, ROUNDS, PRIOR = 3, 0.8, 3, 1.0
 #: Least share of a pattern's contexts in the whole corpus that have a seed.
@@ -101,7 +104,11 @@ def _secret_like(v: Column) -> Column:
     return (F.char_length(v) >= SECRET_SIZE) & (F.char_length(F.regexp_replace(v, "[^A-Za-z]", "")) >= SECRET_LETTERS) & ~v.rlike(r"[.@()\[\]{}]")
 
 
-def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
+def _held_out(v: Column, salt: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), v), F.lit(HELD_OUT)) == 0
+
+
+def base_spans(df: DataFrame, text: str = "text", out: str = "base", hold: bool = True) -> DataFrame:
     """`df` with the base spans as array<struct<kind, s, e, v>>, by kind as listed, then start, and column `tokens`:
     other identifier-like tokens, of kind token or secret. Only texts that hold a character that a kind needs are searched for it."""
     t = F.col(text)
@@ -111,7 +118,7 @@ def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFram
         df = df.withColumn(f"__{name}", F.when(needed, matches(t, pattern, name)).otherwise(F.array().cast(SPANS)))
     df = df.withColumn(out, F.concat(*[_checked(F.col(f"__{k}"), k) for k in KINDS]))
     clear = lambda x, base: (F.length(_digits(x.v)) >= 5) & ~F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e))
-    named = lambda x: F.struct(F.when(_secret_like(x.v), "secret").otherwise("token").alias("kind"), x.s.alias("s"), x.e.alias("e"), x.v.alias("v"))
+    named = lambda x: F.struct(F.when(_secret_like(x.v) & (~_held_out(x.v, "seed") if hold else F.lit(True)), "secret").otherwise("token").alias("kind"), x.s.alias("s"), x.e.alias("e"), x.v.alias("v"))
     df = df.withColumn("tokens", let(F.col(out), lambda base: F.transform(F.filter("__token", lambda x: clear(x, base)), named)))
     return df.drop("__digit", "__token", *[f"__{k}" for k in KINDS])
 
@@ -131,17 +138,26 @@ def _contexts(text: Column, spans: Column) -> Column:
     return F.transform(spans, one)
 
 
-def occurrences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, base (spans) and near (base spans and tokens with their context words): one row per row of `df`."""
-    df = base_spans(df.select(*keys, text), text)
+def occurrences(df: DataFrame, keys: list[str], text: str = "text", hide: bool = False) -> DataFrame:
+    """keys, base (spans) and near (base spans and tokens with their context words): one row per row of `df`.
+
+    hide: a third of the seeds of every kind, by a hash of their value, are tokens like any other, and their kind is in `was`."""
+    df = base_spans(df.select(*keys, text), text, hold=not hide)
     lean = F.transform("base", lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e")))
-    return df.select(*keys, lean.alias("base"), _contexts(F.col(text), F.concat("base", "tokens")).alias("near"))
+    near = _contexts(F.col(text), F.concat("base", "tokens"))
+    if not hide:
+        return df.select(*keys, lean.alias("base"), near.alias("near"))
+    gone = lambda x: (x.kind != "token") & _held_out(x.v, "hide")
+    masked = F.transform(near, lambda x: x.withField("kind", F.when(gone(x), "token").otherwise(x.kind)))
+    was = F.transform(F.filter(near, gone), lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e")))
+    return df.select(*keys, F.filter(lean, lambda b: ~F.exists(was, lambda x: (x.s == b.s) & (x.e == b.e))).alias("base"), masked.alias("near"), was.alias("was"))
 
 
 def _sides() -> list[tuple[str, Column]]:
-    """(side, hash) of the patterns of one span with context words l2, l1, r1, r2; the last one may be null."""
+    """(side, hash) of the patterns of one span with context words l2, l1, r1, r2, null where the text begins or ends instead."""
     h = lambda *x: F.xxhash64(*x)
-    return [("l", h(F.lit("L"), "l2", "l1")), ("r", h(F.lit("R"), "r1", "r2")), ("b", h(F.lit("B"), "l1", "r1")), ("l", F.when(F.col("l1").rlike("[:=#]$"), h(F.lit("C"), "l1")))]
+    left, right = F.col("l1") != "", F.col("r1") != ""
+    return [("l", F.when(left, h(F.lit("L"), "l2", "l1"))), ("r", F.when(right, h(F.lit("R"), "r1", "r2"))), ("b", F.when(left | right, h(F.lit("B"), "l1", "r1"))), ("l", F.when(F.col("l1").rlike("[:=#]$"), h(F.lit("C"), "l1")))]
 
 
 def _patterns(near: DataFrame, *cols: str) -> DataFrame:
@@ -350,6 +366,20 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return out
 
 
+def evaluate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(kind, hidden, found, right): seeds that were hidden, discovered spans of the kind, and hidden seeds among them with their
+    kind. right / hidden is the recall of discovery; found less right are unseeded tokens or errors."""
+    rows = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(key)).alias("row"), F.col(text)).dropDuplicates(["row"])
+    seen = durable(occurrences(rows, [key, "row"], text, hide=True))
+    more = discover(seen.drop("was"), [key, "row"], rows, text)
+    hidden = seen.select("row", F.explode("was").alias("x")).select("row", "x.*")
+    both = more.withColumn("found", F.lit(1)).join(hidden.withColumn("hidden", F.lit(1)), ["row", "kind", "s", "e"], "full")
+    one = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    out = durable(both.groupBy("kind").agg(one("hidden").alias("hidden"), one("found").alias("found"), F.sum(F.when(F.col("hidden").isNotNull() & F.col("found").isNotNull(), 1).otherwise(0)).alias("right")))
+    drop_durable(seen, more)
+    return out
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base finds), base_sha256, spans (all), n_found (discovered), n_spans (all)."""
     got = find(docs)

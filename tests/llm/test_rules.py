@@ -279,3 +279,20 @@ def test_very_long_pages_and_clashing_columns(spark):
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 20000 * (len(ARTICLE_TEXT) + 1) - 1), (2, 0), (2, 0)]
     deep = "<div>" * 100_000 + "deep" + "</div>" * 100_000
     assert pages.text_of(deep, None) == "deep"
+
+
+def test_patterns_find_what_is_no_seed(spark):
+    """Values that no seed has, of the seeds' shape and of others, come from the contexts that seeds share; hidden seeds come back."""
+    r = random.Random(4)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    values = [hexa(40) for _ in range(40)] + ["hunter22", "open-sesame"]
+    data = [(k, f"{prose(12, 500 + k)} api token = \"{v}\" {prose(12, 900 + k)} {hexa(40)}x") for k, v in enumerate(values)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(pii.report(docs))
+    spans = {k: [(x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in got[k].spans.split(",") if x] for k, t in data}
+    assert all(("secret", v) in spans[k] for k, v in enumerate(values))
+    assert all(len(spans[k]) == 1 for k in spans)  # tokens of the same shape elsewhere have no pattern that vouches for them
+    seeds = spark.createDataFrame([(v,) for v in values[:40]], "v string").where(~pii._held_out(F.col("v"), "seed")).count()
+    assert 15 < seeds < 40
+    e = {x.kind: x for x in pii.evaluate(docs).collect()}["secret"]
+    assert 0 < e.hidden == e.right and e.found >= 42
