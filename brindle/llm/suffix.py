@@ -107,11 +107,13 @@ class Family:
         self._path = hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.levels: list[tuple[int, str]] = []
+        self.batches: list[str] = []
         self._fs.mkdirs(self._path(path))
         self.number = max([int(n.split("-")[1]) for n in self._names() if re.fullmatch("levels-[0-9]+", n)], default=0)
         if self.number:
-            lines = [r.value for r in spark.read.text(f"{path}/levels-{self.number}").collect()]
-            self.levels = sorted(((int(r), name) for r, name in (x.split(" ") for x in lines)), reverse=True)
+            lines = [r.value.split(" ") for r in spark.read.text(f"{path}/levels-{self.number}").collect()]
+            self.levels = sorted(((int(r), name) for r, name in lines if r != "batch"), reverse=True)
+            self.batches = [name for r, name in lines if r == "batch"]
 
     def _names(self) -> list[str]:
         return [x.getPath().getName() for x in self._fs.listStatus(self._path(self.path))]
@@ -121,7 +123,7 @@ class Family:
 
     def _keep(self, levels: list[tuple[int, str]]) -> None:
         out = self._fs.create(self._path(f"{self.path}/new"), True)
-        out.write("\n".join(f"{r} {name}" for r, name in levels).encode())
+        out.write("\n".join([f"{r} {name}" for r, name in levels] + [f"batch {name}" for name in self.batches]).encode())
         out.close()
         self._fs.rename(self._path(f"{self.path}/new"), self._path(f"{self.path}/levels-{self.number + 1}"))
         self._fs.delete(self._path(f"{self.path}/levels-{self.number}"), False)
@@ -136,16 +138,26 @@ class Family:
         array.groupBy("head", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "key").write.parquet(f"{self.path}/{name}")
         return name
 
-    def add(self, array: DataFrame, last: bool = False) -> DataFrame:
+    def side(self, kind: str, schema: str) -> DataFrame:
+        """The side tables of one kind of all batches, as one."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}-{b}" for b in self.batches])
+
+    def add(self, array: DataFrame, last: bool = False, sides: dict[str, DataFrame] | None = None) -> DataFrame:
         """Merge-scan a batch (head, key, n) against all levels, insert it, and return the suffixes met (head, key).
 
-        The `last` batch of a family that is thrown away afterwards isn't merged."""
+        The `last` batch of a family that is thrown away afterwards isn't merged. `sides` are tables kept with the batch,
+        beside the suffixes met; they appear together with it."""
         rank, name = 0, self._written(array)
         mine = self.level(name)
         met = mine.where("n > 1").select("head", "key")
         for _, other in self.levels:
             met = met.unionByName(mine.hint("merge").join(self.level(other).select("head", "key"), ["head", "key"]).select("head", "key"))
         met = durable(met.distinct())
+        if sides is not None:
+            batch = uuid.uuid4().hex
+            for kind, table in (sides | {"met": met}).items():
+                table.write.parquet(f"{self.path}/{kind}-{batch}")
+            self.batches = [*self.batches, batch]
         levels, own = list(self.levels), [name]
         while not last and levels and levels[-1][0] == rank:
             _, other = levels.pop()
@@ -224,8 +236,18 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     """(row, lo, hi): ranges of starts of strings that occur elsewhere, as many as repeated stretches at most. `docs` has row (a key) and text."""
     found = durable(suffixes(docs, length, window))
     again = repeated(found, batches)
-    cand = durable(found.select("row", "p", "before", "more", "key", "full").join(again, "key"))
+    cand = durable(found.select(*ENTRY).join(again, "key"))
     drop_durable(found)
+    out = _ranges(docs, cand, length)
+    drop_durable(again, cand)
+    return out
+
+
+ENTRY = ("row", "p", "before", "more", "key", "full")
+
+
+def _ranges(docs: DataFrame, cand: DataFrame, length: int) -> DataFrame:
+    """(row, lo, hi) from saved anchors that share their key with another one, all anchors of a key together."""
     # Anchors whose strings all repeat together; one of each such group stands for it below.
     groups = durable(cand.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "before", "more")).alias("x")))
     whole = cand.join(groups.where("n > 1").select("key", "full"), ["key", "full"], "left_semi")
@@ -248,7 +270,32 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     last = F.filter("ks", lambda k: ~F.array_contains("ks", k + 1))
     alone = alone.select("row", "i", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("x")).select("row", (F.col("i") + F.col("x.a")).alias("lo"), (F.col("i") + F.col("x.b")).alias("hi"))
     out = durable(whole.unionByName(together).unionByName(alone))
-    drop_durable(again, cand, groups, listed, alive)
+    drop_durable(groups, listed, alive)
+    return out
+
+
+def extend(new: DataFrame, path: str, length: int = LENGTH, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+    """dedup() of a batch of documents against all batches that earlier runs left in the family at `path`, which takes the batch.
+
+    The rows of `new`, and those earlier rows that a string of the new batch may repeat: their results replace the earlier
+    ones. So the last result of each row, over all runs, is what one run over all batches gives. Beside its suffix arrays
+    the family keeps the batches' texts, anchors, and suffixes met; of them a run reads the keys and rows concerned."""
+    family = Family(new.sparkSession, path)
+    kind = new.schema[key].dataType.simpleString()
+    rows = durable(new.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text", "id")))
+    found = durable(suffixes(rows.select("row", "text"), length, window))
+    met = family.add(array_of(found), sides={"texts": rows, "anchors": found.select(*ENTRY)})
+    drop_durable(found)
+    texts, anchored = family.side("texts", f"id {kind}, text string, row long"), family.side("anchors", "row long, p long, before short, more short, key long, full long")
+    ever = family.side("met", "head long, key long").select("key").distinct()
+    moved = durable(anchored.join(met.select("key").distinct(), "key", "left_semi").select("row").unionByName(rows.select("row")).distinct())
+    keys = anchored.join(moved, "row", "left_semi").select("key").distinct().join(ever, "key", "left_semi")
+    cand = durable(anchored.join(keys, "key", "left_semi"))
+    # Rows that occur twice have their anchors twice but are one text.
+    lists = _ranges(texts.select("row", "text").dropDuplicates(["row"]), cand, length).join(moved, "row", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    joined = texts.join(moved, "row", "left_semi").join(lists, "row", "left").select("id", "text", "ranges")
+    out = durable(_without(joined, length, key, kind, keep_text))
+    drop_durable(rows, met, moved, cand)
     return out
 
 
@@ -261,6 +308,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches:
     ranges = repeated_ranges(rows.select("row", "text"), length, window, batches)
     lists = ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = rows.join(lists, "row", "left").select("id", "text", "ranges")
+    return _without(joined, length, key, docs.schema[key].dataType.simpleString(), keep_text)
+
+
+def _without(joined: DataFrame, length: int, key: str, kind: str, keep_text: bool) -> DataFrame:
+    """The report of dedup() from id, text and ranges of starts."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
@@ -286,4 +338,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches:
             cols = [b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(left, pa.binary())] if keep_text else [])]
             yield pa.RecordBatch.from_arrays(cols, [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
 
-    return joined.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
