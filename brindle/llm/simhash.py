@@ -87,9 +87,10 @@ def within(queries: DataFrame, all_fps: DataFrame, radius: int = RADIUS, blocks:
 def following(ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, next_id): each distinct id with the next larger one, the last with the first. Nulls are left out.
 
-    Ids are dealt by range; within a range the order is local, and one row per range tells where the next begins."""
+    Ids are dealt by range; within a range the order is local, and one row per range tells where the next begins. The dealt
+    ids are saved, as bounds are drawn anew whenever they are computed and both uses must see the same ones."""
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = ids.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(parts, key).select(key, F.spark_partition_id().alias("p"))
+    rows = durable(ids.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(parts, key).select(key, F.spark_partition_id().alias("p")))
     local = rows.withColumn("n", F.lead(key).over(Window.partitionBy("p").orderBy(key)))
     firsts = rows.groupBy("p").agg(F.min(key).alias("f"))
     order = Window.orderBy("p")
@@ -103,9 +104,10 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     quarter = lambda x: F.floor(F.char_length(x) / 4).cast("int")
     most = docs.groupBy(key).agg(F.max(quarter(F.coalesce(F.col(text), F.lit("")))).alias("q"))
     want = following(docs, key).join(most, key).select(F.col(key).alias("for_id"), F.col("next_id").alias(key), "q")
-    heads = own.join(want, key).select(F.col("for_id").alias(key), F.expr("substring(text, 1, q)").alias("head")).groupBy(key).agg(F.min("head").alias("head"))
+    known = own.where(F.col(key).isNotNull())  # read by both joins in one form, so that texts are shuffled once
+    heads = known.join(want, key).select(F.col("for_id").alias(key), F.expr("substring(text, 1, q)").alias("head")).groupBy(key).agg(F.min("head").alias("head"))
     q = quarter(F.col("text"))
-    out = own.join(heads, key, "left").withColumn("q", q).withColumn("n", F.char_length("text"))
+    out = known.join(heads, key, "left").unionByName(own.where(F.col(key).isNull()).withColumn("head", F.lit(None).cast("string"))).withColumn("q", q).withColumn("n", F.char_length("text"))
     return out.select(key, "text", F.expr("concat(substring(text, 1, n - q), substring(coalesce(head, ''), 1, q))").alias("edited"))
 
 
