@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot
+from .blocks import matrix, pair_scores
 
 MASKED = -1e4
 
@@ -77,3 +82,93 @@ def memory_pairs(rows: DataFrame, capacity: int, dim: int = 64) -> DataFrame:
     mem = rows.select("epoch", "seq", F.col("batch").alias("m_batch"), F.col("txt").alias("t"), F.col("instance").alias("j_instance"), F.col("caption").alias("j_caption"), F.floor(F.col("seq") / capacity).alias("chunk"))
     out = asks.join(mem, ["epoch", "chunk"]).where((F.col("seq") < F.col("start")) & (F.col("seq") >= F.col("start") - capacity))
     return out.select("batch", "i", (F.col("start") - F.col("seq")).alias("j"), (F.col("batch") - F.col("m_batch")).alias("age"), "i_instance", "j_instance", "i_caption", "j_caption", dot(F.col("v"), F.col("t"), dim).alias("sim"))
+
+
+# ---------------------------------------------------------------- whole batches as matrices
+#
+# The same values without a table of pairs: a batch, which is as large as its sampler makes it, is one group, and its
+# similarities are a matrix in the task. Memory rows come to the few batches that see them.
+
+
+def _codes(t: pa.Table, column: str) -> np.ndarray:
+    return t[column].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[:, None] == b
+
+
+def _log_sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+
+def _by_batch(rows: DataFrame, value: Callable[[pa.Table], float | None]) -> DataFrame:
+    """(batch, loss) by `value` of each batch's rows in the order of pos; null values are left out."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        got = value(t.sort_by("pos"))
+        return pa.table({"batch": pa.array([] if got is None else [key[0].as_py()], pa.int64()), "loss": pa.array([] if got is None else [float(got)], pa.float64())})
+
+    return rows.groupBy("batch").applyInArrow(run, "batch long, loss double")
+
+
+def itc_of_batches(rows: DataFrame, temperature: float, dim: int = 64) -> DataFrame:
+    """itc() of rows (batch, pos, instance, img, txt)."""
+
+    def value(t: pa.Table) -> float:
+        x, own = pair_scores(matrix(t["img"], dim), matrix(t["txt"], dim)) / temperature, _codes(t, "instance")
+        same = _same(own, own).astype(float)
+        a = _log_sum_exp(x, 1) - (same / same.sum(1, keepdims=True) * x).sum(1)
+        b = _log_sum_exp(x, 0) - (same / same.sum(0, keepdims=True) * x).sum(0)
+        return (a.mean() + b.mean()) / 2
+
+    return _by_batch(rows.select("batch", "pos", "instance", "img", "txt"), value)
+
+
+def smooth_ap_of_batches(rows: DataFrame, tau: float, dim: int = 64) -> DataFrame:
+    """smooth_ap() of rows (batch, pos, instance, img, txt); a batch of one row has no rank to lose."""
+
+    def value(t: pa.Table) -> float | None:
+        if len(t) < 2:
+            return None
+        s, own = pair_scores(matrix(t["img"], dim), matrix(t["txt"], dim)), _codes(t, "instance")
+        same, ap = _same(own, own), []
+        for row, good in zip(s, same, strict=True):
+            at = np.flatnonzero(good)
+            ahead = 1 / (1 + np.exp(-np.clip((row - row[at][:, None]) / tau, -50, 50)))
+            ahead[np.arange(len(at)), at] = 0
+            ap.append(((1 + (ahead * good).sum(1)) / (1 + ahead.sum(1))).mean())
+        return 1 - float(np.mean(ap))
+
+    return _by_batch(rows.select("batch", "pos", "instance", "img", "txt"), value)
+
+
+def memory_rows(rows: DataFrame, capacity: int) -> DataFrame:
+    """(of, m_instance, m_caption, m_txt): the last `capacity` rows before each batch (of) in its epoch, for each batch that sees them.
+
+    rows: seq, batch, epoch, instance, caption, txt. A row is seen by batches that start within `capacity` rows after it,
+    which lie in two chunks of that size: an equi-join with one row per batch."""
+    starts = rows.groupBy("epoch", "batch").agg(F.min("seq").alias("start")).withColumn("chunk", F.floor(F.col("start") / max(1, capacity)))
+    chunk = F.explode(F.array_distinct(F.array(F.floor((F.col("seq") + 1) / max(1, capacity)), F.floor((F.col("seq") + capacity) / max(1, capacity))))).alias("chunk")
+    seen = rows.select("epoch", "seq", "instance", "caption", "txt", chunk).join(starts, ["epoch", "chunk"])
+    return seen.where((F.col("seq") < F.col("start")) & (F.col("seq") >= F.col("start") - capacity)).select(F.col("batch").alias("of"), *[F.col(c).alias(f"m_{c}") for c in ("instance", "caption", "txt")])
+
+
+def memory_loss_of_batches(rows: DataFrame, capacity: int, temperature: float, dim: int = 64) -> DataFrame:
+    """memory_loss() of rows (seq, batch, epoch, pos, instance, caption, img, txt) with a memory of `capacity` rows."""
+
+    def run(own: pa.Table, memory: pa.Table) -> pa.Table:
+        own = own.sort_by("pos")
+        n, q = len(own), matrix(own["img"], dim)
+        both = pa.concat_tables([own.select(["instance", "caption", "txt"]), memory.select(["m_instance", "m_caption", "m_txt"]).rename_columns(["instance", "caption", "txt"])])
+        instance, caption = _codes(both, "instance"), _codes(both, "caption")
+        x = pair_scores(q, matrix(both["txt"], dim)) / temperature
+        clash = _same(instance[:n], instance) | _same(caption[:n], caption)
+        clash[np.arange(n), np.arange(n)] = False
+        x[clash] = MASKED
+        loss = (_log_sum_exp(x, 1) - x[np.arange(n), np.arange(n)]).mean()
+        return pa.table({"batch": pa.array([own["batch"][0].as_py()], pa.int64()), "loss": pa.array([float(loss)])})
+
+    mine = rows.select("batch", "pos", "instance", "caption", "img", "txt")
+    return mine.groupBy("batch").cogroup(memory_rows(rows, capacity).groupBy("of")).applyInArrow(run, "batch long, loss double")

@@ -26,11 +26,11 @@ def _pairs(spark, sf_dir):
 
 
 def itc_loss(spark, sf_dir):
-    return losses.itc(_pairs(spark, sf_dir), TEMPERATURE).select("batch", F.round("loss", 6).alias("loss"))
+    return losses.itc_of_batches(_rows(spark, sf_dir), TEMPERATURE).select("batch", F.round("loss", 6).alias("loss"))
 
 
 def smooth_ap(spark, sf_dir):
-    return losses.smooth_ap(_pairs(spark, sf_dir), TAU).select("batch", F.round("loss", 6).alias("loss"))
+    return losses.smooth_ap_of_batches(_rows(spark, sf_dir), TAU).select("batch", F.round("loss", 6).alias("loss"))
 
 
 def itm_ce(spark, sf_dir):
@@ -48,9 +48,8 @@ def masked_pairs(spark, sf_dir):
 
 
 def memory_loss(spark, sf_dir):
-    cols = ["batch", "i", "i_instance", "j_instance", "i_caption", "j_caption", "sim", "own"]
-    both = _pairs(spark, sf_dir).select(*cols).unionByName(_memory(spark, sf_dir).withColumn("own", F.lit(False)).select(*cols))
-    return losses.memory_loss(losses.masked(both), TEMPERATURE).select("batch", F.round("loss", 6).alias("loss"))
+    rows = _rows(spark, sf_dir).withColumnRenamed("event_id", "seq")
+    return losses.memory_loss_of_batches(rows, CAPACITY, TEMPERATURE).select("batch", F.round("loss", 6).alias("loss"))
 
 
 def memory_window(spark, sf_dir):

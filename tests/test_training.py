@@ -91,3 +91,21 @@ def test_work_queue_resumes(spark, tmp_path):
 def test_score_stream(spark):
     got = jobs.score_stream(spark.range(3), lambda f: f["id"] * 2).orderBy("id").collect()
     assert [r.score for r in got] == [0, 2, 4]
+
+
+def test_batches_as_matrices_equal_pair_tables(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).astype(np.float32).tolist())(rng.normal(size=8))
+    data = [(k, k // 5, k // 20, k % 5, int(rng.integers(0, 9)), str(rng.integers(0, 12)), unit(), unit()) for k in range(63)]
+    rows = spark.createDataFrame(data, "seq long, batch long, epoch long, pos long, instance long, caption string, img array<float>, txt array<float>")
+    p = losses.in_batch_pairs(rows, 8).withColumn("own", F.col("i") == F.col("j"))
+    both = lambda a, b: ({r.batch: r.loss for r in a.collect()}, {r.batch: r.loss for r in b.collect()})
+    cols = ["batch", "i", "i_instance", "j_instance", "i_caption", "j_caption", "sim", "own"]
+    memory = losses.memory_pairs(rows, 12, 8).withColumn("own", F.lit(False))
+    cases = [
+        both(losses.itc(p, 0.07), losses.itc_of_batches(rows, 0.07, 8)), both(losses.smooth_ap(p, 0.01), losses.smooth_ap_of_batches(rows, 0.01, 8)),
+        both(losses.memory_loss(losses.masked(p.select(*cols).unionByName(memory.select(*cols))), 0.07), losses.memory_loss_of_batches(rows, 12, 0.07, 8)),
+        both(losses.memory_loss(losses.masked(p.select(*cols)), 0.07), losses.memory_loss_of_batches(rows, 0, 0.07, 8)),
+    ]
+    for a, b in cases:
+        assert len(a) == 13 and a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
