@@ -32,11 +32,6 @@ def temperature(logit_scale: Column, low: float = 1e-3, high: float = 0.5) -> Co
     return clamp(F.exp(-logit_scale), low, high)
 
 
-def log_sum_exp(value: Column, largest: Column) -> Column:
-    """Aggregate: log of the sum of exp(value), given the group's largest value."""
-    return F.first(largest) + F.log(F.sum(F.exp(value - largest)))
-
-
 def hash_uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the SHA-256 of the parts joined by colons; the same in every run and partitioning."""
     h = F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"), 256)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import batching, sampling, splits
-from ..operators.components import saved
-from ..operators.guards import duplicates, missing
+from ..operators.components import drop_saved, saved, shared_dir
+from ..operators.guards import assert_suite, duplicates, missing
 from ..operators.ordering import first_rows, numbered, segmented
 from ..sources import fixtures, tables
 
@@ -92,6 +94,13 @@ def reject_reasons(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("reason", sampling.reject_reason()).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def reject_cases(spark, sf_dir):
+    """Reject reasons where some pairs lack a target, some captions are blank and some pairs share their text."""
+    p = _pairs(spark, sf_dir).withColumn("hard_split", F.when(F.col("image_id") % 13 != 0, F.col("hard_split"))).withColumn("caption", F.when(F.col("image_id") % 11 == 0, " \t ").otherwise(F.col("caption")))
+    p = p.withColumn("hard_c", F.when(F.col("image_id") % 7 == 0, F.concat(F.lit("  "), "caption")).otherwise(F.col("hard_c")))
+    return p.groupBy("bucket", F.coalesce(sampling.reject_reason(), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def _candidate_order(p):
     """`p` with ord: within a bucket harder pairs first, then rarer labels, then by stable hash."""
     labels = p.groupBy("bucket", "label").agg(F.count("*").alias("of_label"))
@@ -118,10 +127,19 @@ def eval_queries(spark, sf_dir):
     return _queries(spark, sf_dir)[1].select("image_id", "bucket", "h")
 
 
-def eval_gallery(spark, sf_dir):
+def _suite(spark, sf_dir):
+    """The saved dev suite (image_id, bucket, split, is_query), after its contract is checked."""
     dev, q = _queries(spark, sf_dir)
     fill = sampling.fill_gallery(dev, q, sampling.quotas(40), SEED, "dev")
-    return q.select("image_id", "bucket", F.lit(True).alias("is_query")).unionByName(fill.select("image_id", "bucket", F.lit(False).alias("is_query")))
+    rows = q.select("image_id", "bucket", "split", F.lit(True).alias("is_query")).unionByName(fill.select("image_id", "bucket", "split", F.lit(False).alias("is_query")))
+    suite = saved(rows)
+    assert_suite(suite, "dev")
+    drop_saved(dev, q)
+    return suite
+
+
+def eval_gallery(spark, sf_dir):
+    return _suite(spark, sf_dir).select("image_id", "bucket", "is_query")
 
 
 def gallery_pool(spark, sf_dir):
@@ -310,6 +328,13 @@ def caption_coalesce(spark, sf_dir):
     return _ann(spark, sf_dir).select("image_id", F.md5(text.caption(enhanced, F.col("caption")).cast("binary")).alias("caption_md5"))
 
 
+def manifest_scan(spark, sf_dir):
+    """The report split of a manifest that is written in a folder per split: the others' files aren't opened."""
+    path = f"{shared_dir(spark)}/brindle-manifest-{uuid.uuid4().hex}"
+    tables.write_manifest(_with_split(spark, sf_dir).select("image_id", "video_id", "split"), path)
+    return tables.read_manifest(spark, path, "report")
+
+
 def split_filter(spark, sf_dir):
     return _with_split(spark, sf_dir).where("split = 'report'").select("image_id", "video_id", "split")
 
@@ -492,10 +517,10 @@ def augment_spec(spark, sf_dir):
 
 
 QUERIES = [
-    components, component_sizes, split_assign, split_summary, split_leakage, ordered_components, quota_apportion, reject_reasons, hard_score_order, rare_label_boost,
+    components, component_sizes, split_assign, split_summary, split_leakage, ordered_components, quota_apportion, reject_reasons, reject_cases, hard_score_order, rare_label_boost,
     eval_queries, eval_gallery, gallery_pool, suite_sorted, stable_hash_order, nested_subset, hard_edges, edge_degree, manifest_train, manifest_all, eval_caption_demote,
     manifest_joins, pair_index, label_counts, label_counts_topn, caption_distinct, dup_id_guard, missing_id_guard, instance_codes, first_occurrence_dedupe, chunk_partition,
-    table_fingerprint, shard_sizes, stride_sample, asset_union, text_key, caption_hash, long_caption_rate, label_bucket_path, path_rules, caption_coalesce, split_filter, query_filter,
+    table_fingerprint, shard_sizes, stride_sample, asset_union, text_key, caption_hash, long_caption_rate, label_bucket_path, path_rules, caption_coalesce, manifest_scan, split_filter, query_filter,
     cache_and_task_keys, caption_tasks, selected_tasks, limited_tasks, prompt_render, caption_gate, progress_replay, tokenizer, box_primary_union, box_coverage,
     pending_assets, fallback_assets, bbox_xywh, bbox_expand, box_normalise, parse_list_cell, keypoints_flat, pair_batches, partner_index, itm_pairs_explicit,
     epoch_reshuffle, mixed_batches, grouped_batches, augment_spec,

@@ -131,6 +131,8 @@ SQL = {
 x AS (SELECT one.*, bucket, ord, n * ratio AS exact, CAST(floor(n * ratio) AS BIGINT) AS whole FROM one, (VALUES ('goal', 0, CAST(0.37109 AS DOUBLE)), ('full', 1, CAST(0.34398 AS DOUBLE)), ('wentwrong', 2, CAST(0.28493 AS DOUBLE))) b(bucket, ord, ratio))
 SELECT "of", n, bucket, CAST(whole + CASE WHEN row_number() OVER (PARTITION BY "of" ORDER BY exact - whole DESC, ord) <= n - sum(whole) OVER (PARTITION BY "of") THEN 1 ELSE 0 END AS BIGINT) AS quota FROM x""",
     "reject_reasons": ANN + DEAL + "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM pr GROUP BY 1",
+    "reject_cases": ANN + DEAL + """, k AS (SELECT *, CASE WHEN image_id % 11 = 0 THEN '' ELSE key END AS k1 FROM pr), k2 AS (SELECT *, CASE WHEN image_id % 7 = 0 THEN k1 ELSE hard_key END AS h1 FROM k)
+SELECT bucket, CASE WHEN hard_split IS NULL OR image_id % 13 = 0 OR hard_id = image_id THEN 'missing_target' WHEN split <> 'train' OR hard_split <> 'train' THEN 'outside_train' WHEN coalesce(k1, '') = '' OR coalesce(h1, '') = '' THEN 'empty_text' WHEN k1 = h1 THEN 'same_text' ELSE 'ok' END AS reason, count(*) AS n FROM k2 GROUP BY 1, 2""",
     "hard_score_order": ANN + DEAL + "SELECT image_id, bucket, hardness, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, of_label, sha256('2026:train:order:' || image_id), image_id)::INT AS ord FROM (SELECT *, count(*) OVER (PARTITION BY bucket, label) AS of_label FROM pr)",
     "rare_label_boost": ANN + "SELECT bucket, label, count(*) AS n, round(pow(count(*), -0.25), 6) AS rarity FROM ann GROUP BY 1, 2",
     "eval_queries": ANN + EVAL + "SELECT image_id, bucket, h FROM eq",
@@ -166,6 +168,7 @@ SELECT "of", n, bucket, CAST(whole + CASE WHEN row_number() OVER (PARTITION BY "
   'train_webp/' || CASE doc_id % 6 WHEN 0 THEN 'a/' || doc_id || '.jpg' WHEN 1 THEN 'b/' || doc_id || '.jpg' WHEN 2 THEN 'imgs_3/full/' || doc_id || '.jpg'
     WHEN 3 THEN 'imgs_1/goal/' || doc_id || '.webp' WHEN 4 THEN 'c/' || doc_id || '.jpg' ELSE doc_id || '.jpg' END AS output FROM documents""",
     "caption_coalesce": "SELECT doc_id AS image_id, md5(CASE WHEN doc_id % 3 = 1 THEN 'x' || doc_id ELSE coalesce(nullif(trim(text), ''), '') END) AS caption_md5 FROM documents",
+    "manifest_scan": ANN + DEAL + "SELECT image_id, video_id, split FROM asp WHERE split = 'report'",
     "split_filter": ANN + DEAL + "SELECT image_id, video_id, split FROM asp WHERE split = 'report'",
     "query_filter": "SELECT doc_id AS image_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND trim(coalesce(text, '')) <> ''",
     "cache_and_task_keys": ANN + """SELECT image_id, image_id || ':' || lpad(lower(hex(CAST('0x' || substr(sha256(lower(trim(caption))), 1, 15) AS BIGINT))), 16, '0') AS cache_key, sha256('{"field":"caption","row":' || image_id || ',"type":"' || label_type || '"}') AS task_key FROM ann""",

@@ -108,7 +108,7 @@ def _candidate_report(order: DataFrame, truth: DataFrame, by: list[str] | None =
     """Report of a candidate order with coverage, second places and conflicts."""
     by = by or []
     r = ranking.rank_after_rerank(order, truth, K, by)
-    recall = [F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"r{k}") for k in (1, 5, 10, 50)]
+    recall = [F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"r{k}") for k in (1, 5, 10, 50, 200)]
     rep = r.groupBy(*by).agg(
         F.round(F.avg(1 / F.col("rank")), 6).alias("map"), *recall, F.round(F.avg((F.col("rank") <= K).cast("double")), 6).alias("coverage"), F.sum((F.col("rank") == 2).cast("long")).alias("rank2")
     )
@@ -274,7 +274,7 @@ pr AS (SELECT o.query_id, o.gallery_id, o.score, CASE WHEN o.gallery_id = m.gall
 def _report(order: str) -> str:
     return f""",
 fr AS (SELECT tr.query_id, coalesce(o.pos, 10 + first_rank - above) AS rank FROM tr LEFT JOIN {order} o ON o.query_id = tr.query_id AND o.gallery_id = tr.query_id)
-SELECT round(avg(1.0 / rank), 6) AS map, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 5)::INT), 6) AS r5, round(avg((rank <= 10)::INT), 6) AS r10, round(avg((rank <= 50)::INT), 6) AS r50,
+SELECT round(avg(1.0 / rank), 6) AS map, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 5)::INT), 6) AS r5, round(avg((rank <= 10)::INT), 6) AS r10, round(avg((rank <= 50)::INT), 6) AS r50, round(avg((rank <= 200)::INT), 6) AS r200,
   round(avg((rank <= 10)::INT), 6) AS coverage, sum((rank = 2)::INT)::BIGINT AS rank2, (SELECT count(*) - count(DISTINCT gallery_id) FROM {order} WHERE pos = 1) AS conflicts FROM fr
 """
 

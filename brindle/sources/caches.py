@@ -5,13 +5,14 @@ numbers that don't belong together."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, caption_hash
-from ..operators.guards import ContractError, assert_empty
+from ..operators.guards import ContractError, assert_empty, duplicates
 
 CANDIDATES = "brindle-candidates-1"
 
@@ -65,7 +66,9 @@ def write_ranking(order: DataFrame, path: str) -> None:
 def with_text_features(rows: DataFrame, features: DataFrame) -> DataFrame:
     """`rows` (image_id, caption) with feature from `features` (key, feature): by image and caption, else by image alone.
 
-    Keys of image and caption are those of cache_key(); older tables have plain image ids. A row without either raises."""
+    Keys of image and caption are those of cache_key(); older tables have plain image ids. A row without either raises,
+    and so does a key that the table has twice, as it would double rows."""
+    assert_empty(duplicates(features, "key"), "repeated keys of text features")
     f = features.select(F.col("key").alias("__k"), F.col("feature").alias("__f"))
     both = rows.withColumn("__both", cache_key(F.col("image_id"), caption_hash(F.col("caption")))).withColumn("__id", F.col("image_id").cast("string"))
     got = both.join(f, F.col("__both") == F.col("__k"), "left").drop("__k").withColumnRenamed("__f", "__f1")
@@ -74,18 +77,53 @@ def with_text_features(rows: DataFrame, features: DataFrame) -> DataFrame:
     return got.drop("__both", "__id", "__k", "__f", "__f1")
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write `df` as the table at `path`: whole under another name first, then renamed; the old table stays as .bak."""
-    sc = df.sparkSession.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(sc._jsc.hadoopConfiguration())
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    if fs.exists(at(path)):
-        fs.delete(at(f"{path}.bak"), True)
-        fs.rename(at(path), at(f"{path}.bak"))
-    if not fs.rename(at(new), at(path)):
-        raise ContractError(f"{new} could not be renamed")
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at, at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Published versions of the table at `path`, in order."""
+    at, fs = _files(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(at(path))] if fs.exists(at(path)) else []
+    return sorted(int(n[len("current-") :]) for n in names if re.fullmatch("current-[0-9]+", n))
+
+
+def publish(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Make `df` the table at `path`, and return its version; the last `keep` versions stay readable.
+
+    A version is a folder of its own. It is current once its pointer, a file written under another name, is renamed: one
+    step, so a reader finds either the table before or this one, whole, and a writer that breaks off leaves no trace
+    in what is read. Of two writers of one version the second's rename fails."""
+    spark = df.sparkSession
+    at, fs = _files(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    old = _versions(spark, path)
+    version = (old[-1] if old else 0) + 1
+    pointer = at(f"{path}/.{name}")
+    out = fs.create(pointer, True)
+    out.write(name.encode())
+    out.close()
+    if fs.exists(at(f"{path}/current-{version}")) or not fs.rename(pointer, at(f"{path}/current-{version}")):
+        raise ContractError(f"version {version} of {path} was published by another writer")
+    for n in [v for v in old if v <= version - keep]:
+        gone = _pointed(spark, path, n)
+        fs.delete(at(f"{path}/current-{n}"), False)
+        fs.delete(at(f"{path}/{gone}"), True)
+    return version
+
+
+def _pointed(spark: SparkSession, path: str, version: int) -> str:
+    return spark.read.text(f"{path}/current-{version}").first().value
+
+
+def current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The published table at `path`, or an earlier version of it that is still kept."""
+    there = _versions(spark, path)
+    if not there or (version is not None and version not in there):
+        raise ContractError(f"no version {version or ''} at {path}")
+    return spark.read.parquet(f"{path}/{_pointed(spark, path, version or there[-1])}")
 
 
 def write_by_prefix(df: DataFrame, path: str, key: str) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.guards import ContractError
+
 ANNOTATION = "image_id string, hard_i_id string, video_id long, image string, hard_i string, caption string, hard_c string, anomaly string, normal string, action string, scene string, source_caption string"
 
 
@@ -18,6 +20,36 @@ def read_annotations(spark: SparkSession, glob: str, schema: str = ANNOTATION) -
     return rows.withColumn("file_no", F.regexp_extract(F.input_file_name(), r"(\d+)\.jsonl?$", 1).cast("int"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines of text files, blank ones included in the count; lines count from 1.
+
+    A file is read in splits. A line's number is its place in its split plus the lines of the splits before it, which
+    are counted in a row per split, so no task reads a file whole."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    size = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = size.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    return raw.join(starts, ["file", "block"]).select("file", (F.col("i") + F.col("shift")).alias("line"), "value")
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of JSON line logs with file and line. Blank lines are skipped; a malformed one raises an error that names
+    file and line of the first."""
+    full = f"{schema}, __bad string"
+    rows = read_lines(spark, path).where(F.trim("value") != "").withColumn("x", F.from_json("value", full, {"columnNameOfCorruptRecord": "__bad"}))
+    bad = rows.where(F.col("x").isNull() | F.col("x.__bad").isNotNull() | ~F.trim("value").startswith("{")).select("file", "line").orderBy("file", "line").limit(1).collect()
+    if bad:
+        raise ContractError(f"malformed record in {bad[0].file}, line {bad[0].line}")
+    return rows.select("file", "line", "x.*").drop("__bad")
+
+
+def last_records(log: DataFrame, *keys: str) -> DataFrame:
+    """The last record of each key of a log read by read_log(), in the order of file and line."""
+    rest = [c for c in log.columns if c not in (*keys, "file", "line")]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("file", "line")).alias("x"))
+    return last.select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
 def read_items(spark: SparkSession, path: str, value: str) -> DataFrame:
     """Rows of a JSON document whose `items` is a list of objects or an object keyed by image id. `value`: fields as DDL."""
     text = spark.read.text(path, wholetext=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -95,4 +95,18 @@ def score_stream(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], n
         for f in frames:
             yield f.assign(**{name: scorer(f).astype("float64")})
 
-    return rows.mapInPandas(run, rows.withColumn(name, F.lit(0.0)).schema)
+    scored = rows.mapInPandas(run, rows.withColumn(name, F.lit(0.0)).schema)
+    return scored.observe("scoring", F.count(F.lit(1)).alias("rows"), F.sum(F.col(name).isNull().cast("long")).alias("without"))
+
+
+def throughput(query: StreamingQuery) -> DataFrame:
+    """(batch, rows, without, seconds, per_second) of the recent batches of a query over score_stream(): rows scored, rows
+    without a score, and the time that the batch took. Spark keeps as many as spark.sql.streaming.numRecentProgressUpdates says."""
+    out = []
+    for p in query.recentProgress:
+        seen = (p["observedMetrics"] or {}).get("scoring")
+        if seen is not None:
+            seconds = p["batchDuration"] / 1000
+            out.append((int(p["batchId"]), int(seen["rows"]), int(seen["without"] or 0), seconds, int(seen["rows"]) / max(seconds, 1e-3)))
+    return SparkSession.active().createDataFrame(out, "batch long, rows long, without long, seconds double, per_second double")
+

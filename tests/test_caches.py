@@ -42,11 +42,52 @@ def test_text_features_by_key_then_by_id(spark):
         caches.with_text_features(rows, feats.where("key <> '2'"))
 
 
-def test_replace_keeps_the_old_table(spark, tmp_path):
+def test_repeated_feature_keys(spark):
+    rows = spark.createDataFrame([(1, "A dog")], "image_id long, caption string")
+    with pytest.raises(ContractError, match="repeated keys"):
+        caches.with_text_features(rows, spark.createDataFrame([("1", [1.0]), ("1", [2.0])], "key string, feature array<double>"))
+
+
+def test_published_versions(spark, tmp_path):
     path = str(tmp_path / "t")
-    for n in (1, 2, 3):
-        caches.replace(spark.range(n), path)
-    assert spark.read.parquet(path).count() == 3 and spark.read.parquet(path + ".bak").count() == 2
+    with pytest.raises(ContractError, match="no version"):
+        caches.current(spark, path)
+    assert [caches.publish(spark.range(n), path) for n in (1, 2, 3)] == [1, 2, 3]
+    assert caches.current(spark, path).count() == 3 and caches.current(spark, path, 2).count() == 2
+    with pytest.raises(ContractError):
+        caches.current(spark, path, 1)
+    (tmp_path / "t" / "v-half-written").mkdir()  # a writer that broke off
+    assert caches.current(spark, path).count() == 3
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v-")]) == 3
+
+
+def test_logs_name_the_malformed_line(spark, tmp_path):
+    lines = [f'{{"key": "k{n % 50}", "output": "o{n}"}}' for n in range(2000)]
+    lines[3:3] = ["", "  "]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('{"key": "k1", "output": "later"}\n')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits
+    try:
+        numbers = tables.read_lines(spark, str(tmp_path / "a.jsonl")).collect()
+        assert {r.line: r.value for r in numbers} == dict(enumerate(lines, 1))
+        last = {r.key: r.output for r in tables.last_records(tables.read_log(spark, str(tmp_path / "*.jsonl"), "key string, output string"), "key").collect()}
+        assert last == {f"k{k}": f"o{1950 + k}" for k in range(50)} | {"k1": "later"}
+        lines[1500] = '{"key": "k1", "out'
+        (tmp_path / "a.jsonl").write_text("\n".join(lines))
+        with pytest.raises(ContractError, match="a.jsonl, line 1501"):
+            tables.read_log(spark, str(tmp_path / "*.jsonl"), "key string, output string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_scoring_counts_rows_and_time(spark, tmp_path):
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    query = jobs.score_stream(stream, lambda f: f["id"] * 2).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = jobs.throughput(query).collect()
+    assert len(got) == 2 and sum(r.rows for r in got) == 40 and all(r.seconds > 0 and r.per_second > 0 and r.without == 0 for r in got)
 
 
 def test_prefix_folders_images_and_shard_digests(spark, tmp_path):
