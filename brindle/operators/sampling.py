@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,45 +91,63 @@ def fill_gallery(rows: DataFrame, queries: DataFrame, quota: dict[str, int], see
 def nested_subsets(ordered: DataFrame, sizes: list[int]) -> DataFrame:
     """(size, image_id): subsets that contain each other, each filling its bucket quotas in order without repeating a text.
 
-    ordered: image_id, bucket, ord, key, hard_key. A choice depends on all texts used before, so the walk is sequential. It
-    sees hashes of the first rows of each bucket only, four times the largest size; where a bucket runs out of them,
-    because many texts repeat, the walk begins anew with twice as many, so it never needs the whole table at once unless
-    the answer depends on it."""
-    lean = saved(ordered.select("image_id", "bucket", "ord", F.xxhash64("key").alias("key"), F.xxhash64("hard_key").alias("hard_key")))
-    most, depth = lean.agg(F.max("ord")).first()[0] or 0, 4 * max(sizes)
+    ordered: image_id, bucket, ord, key, hard_key. Size by size and bucket by bucket, the first rows are taken that share no
+    text with a row taken before; see first_apart()."""
+    rows = saved(ordered.select("image_id", "bucket", "ord", F.xxhash64("key").alias("key"), F.xxhash64("hard_key").alias("hard_key")))
+    chosen: list[DataFrame] = []
+    have = dict.fromkeys(BUCKETS, 0)
+    for k, n in enumerate(sizes):
+        for b, q in quotas(n).items():
+            if q > have[b]:
+                used = functools.reduce(DataFrame.unionByName, [_texts(c) for c in chosen]) if chosen else None
+                got = first_apart(rows.where(F.col("bucket") == b), q - have[b], used)
+                if got is None:
+                    raise ValueError(f"bucket {b} is exhausted at size {n}")
+                chosen.append(got.withColumn("from", F.lit(k)))
+                have[b] = q
+    drop_saved(rows)
+    every = functools.reduce(DataFrame.unionByName, chosen)
+    return every.select(F.explode(F.slice(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("from") + 1, len(sizes))).alias("size"), "image_id")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode(F.array("key", "hard_key")).alias("t"))
+
+
+def _without(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    for side in ("key", "hard_key"):
+        rows = rows.join(texts.select(F.col("t").alias(side)), side, "left_anti")
+    return rows
+
+
+def first_apart(rows: DataFrame, n: int, used: DataFrame | None = None) -> DataFrame | None:
+    """The first n of `rows` (image_id, ord, key, hard_key), saved, that share no text with `used` (t) or an earlier one of them;
+    None if there are fewer.
+
+    That is the beginning of the lexicographically first independent set. A row that holds the first use of both its
+    texts is in it, whatever other rows do; each round takes all such rows at once and drops those that share a text with
+    them. Only a beginning of the rows is looked at, twice as long where repeated texts use it up."""
+    left, depth = rows if used is None else _without(rows, used), 4 * n
     while True:
-        out = saved(_walk(lean.where(F.col("ord") <= depth), sizes, depth >= most))
-        if out.where("size < 0").isEmpty():
-            drop_saved(lean)
+        open_ = saved(left.orderBy("ord").limit(depth).select("image_id", "ord", "key", "hard_key"))
+        whole = open_.count() < depth
+        taken: list[DataFrame] = []
+        while not open_.isEmpty():
+            first = open_.select("ord", F.explode(F.array("key", "hard_key")).alias("t")).groupBy("t").agg(F.min("ord").alias("first"))
+            free = open_
+            for side in ("key", "hard_key"):
+                free = free.join(first.select(F.col("t").alias(side), F.col("first").alias(f"first_{side}")), side)
+            free = saved(free.where((F.col("first_key") == F.col("ord")) & (F.col("first_hard_key") == F.col("ord"))).select(*open_.columns))
+            taken.append(free)
+            rest = saved(_without(open_, _texts(free)))
+            drop_saved(open_)
+            open_ = rest
+        drop_saved(open_)
+        if taken and sum(t.count() for t in taken) >= n:
+            out = saved(functools.reduce(DataFrame.unionByName, taken).orderBy("ord").limit(n))
+            drop_saved(*taken)
             return out
-        drop_saved(out)
+        drop_saved(*taken)
+        if whole:
+            return None
         depth *= 2
-
-
-def _walk(rows: DataFrame, sizes: list[int], final: bool) -> DataFrame:
-    """nested_subsets() of few rows; one row of size -1 if a bucket runs out, an error if that is `final`."""
-
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["bucket", "ord"])
-        lists = {b: list(x[["image_id", "key", "hard_key"]].itertuples(index=False, name=None)) for b, x in p.groupby("bucket")}
-        at, used, have, out = dict.fromkeys(lists, 0), set(), dict.fromkeys(lists, 0), []
-        chosen: list[int] = []
-        for n in sizes:
-            for b, q in quotas(n).items():
-                rows = lists.get(b, [])
-                while have.get(b, 0) < q:
-                    if at.get(b, 0) >= len(rows):
-                        if final:
-                            raise ValueError(f"bucket {b} is exhausted at size {n}")
-                        return pd.DataFrame([(-1, 0)], columns=["size", "image_id"])
-                    i, key, hard = rows[at[b]]
-                    at[b] += 1
-                    if key in used or hard in used:
-                        continue
-                    used |= {key, hard}
-                    have[b] += 1
-                    chosen.append(i)
-            out += [(n, i) for i in chosen]
-        return pd.DataFrame(out, columns=["size", "image_id"])
-
-    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(walk, "size long, image_id long")

@@ -41,7 +41,7 @@ pr AS (SELECT x.*, y.split AS hard_split, y.bucket AS hard_bucket, y.video_id AS
 )
 QUOTA = """,
 qb(bucket, ord, ratio) AS (VALUES ('goal', 0, CAST(0.37109 AS DOUBLE)), ('full', 1, CAST(0.34398 AS DOUBLE)), ('wentwrong', 2, CAST(0.28493 AS DOUBLE))),
-qx AS (SELECT n, bucket, ord, n * ratio AS exact, CAST(floor(n * ratio) AS BIGINT) AS whole FROM (SELECT unnest([7, 20, 40, 100, 1000, 2000, 5000, 10000, 30000, 50000]) AS n), qb),
+qx AS (SELECT n, bucket, ord, n * ratio AS exact, CAST(floor(n * ratio) AS BIGINT) AS whole FROM (SELECT unnest([7, 20, 40, 80, 100, 1000, 2000, 5000, 10000, 30000, 50000]) AS n), qb),
 quota AS (SELECT n, bucket, ord, whole + CASE WHEN row_number() OVER (PARTITION BY n ORDER BY exact - whole DESC, ord) <= n - sum(whole) OVER (PARTITION BY n) THEN 1 ELSE 0 END AS quota FROM qx)
 """
 EVAL = (
@@ -131,6 +131,17 @@ SQL = {
 x AS (SELECT one.*, bucket, ord, n * ratio AS exact, CAST(floor(n * ratio) AS BIGINT) AS whole FROM one, (VALUES ('goal', 0, CAST(0.37109 AS DOUBLE)), ('full', 1, CAST(0.34398 AS DOUBLE)), ('wentwrong', 2, CAST(0.28493 AS DOUBLE))) b(bucket, ord, ratio))
 SELECT "of", n, bucket, CAST(whole + CASE WHEN row_number() OVER (PARTITION BY "of" ORDER BY exact - whole DESC, ord) <= n - sum(whole) OVER (PARTITION BY "of") THEN 1 ELSE 0 END AS BIGINT) AS quota FROM x""",
     "reject_reasons": ANN + DEAL + "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM pr GROUP BY 1",
+    "nested_subset": ANN + DEAL + QUOTA + """,
+el AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, of_label, sha256('2026:train:order:' || image_id), image_id) AS nth FROM (SELECT *, count(*) OVER (PARTITION BY bucket, label) AS of_label FROM pr WHERE reason IS NULL)),
+bl AS (SELECT """ + ", ".join(f"[{', '.join(f'list({c} ORDER BY nth) FILTER (bucket = {b!r})' for b in ('goal', 'full', 'wentwrong'))}] AS {n}" for c, n in (("image_id", "ids"), ("key", "ks"), ("hard_key", "hs"))) + """ FROM el),
+ph AS (SELECT row_number() OVER (ORDER BY n, ord) AS i, ord + 1 AS b, quota AS upto, n FROM quota WHERE n IN (20, 40, 80)),
+walk AS (SELECT CAST(0 AS BIGINT) AS step, CAST(1 AS BIGINT) AS i, CAST([1, 1, 1] AS BIGINT[]) AS ptr, CAST([0, 0, 0] AS BIGINT[]) AS have, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS got, CAST([] AS BIGINT[]) AS since
+  UNION ALL SELECT step + 1, CASE WHEN full_b THEN i + 1 ELSE i END, CASE WHEN full_b THEN ptr ELSE list_transform([1, 2, 3], lambda x: ptr[x] + CASE WHEN x = b THEN 1 ELSE 0 END) END,
+    CASE WHEN full_b OR clash THEN have ELSE list_transform([1, 2, 3], lambda x: have[x] + CASE WHEN x = b THEN 1 ELSE 0 END) END, CASE WHEN full_b OR clash THEN used ELSE list_concat(used, [k, h]) END,
+    CASE WHEN full_b OR clash THEN got ELSE list_append(got, id) END, CASE WHEN full_b OR clash THEN since ELSE list_append(since, n) END
+  FROM (SELECT *, list_contains(used, k) OR list_contains(used, h) AS clash FROM (SELECT walk.*, ph.b, ph.n, have[ph.b] >= upto AS full_b, ids[ph.b][ptr[ph.b]] AS id, ks[ph.b][ptr[ph.b]] AS k, hs[ph.b][ptr[ph.b]] AS h FROM walk JOIN ph ON ph.i = walk.i CROSS JOIN bl))),
+fin AS (SELECT unnest(got) AS image_id, unnest(since) AS n FROM (SELECT * FROM walk ORDER BY step DESC LIMIT 1))
+SELECT CAST(s.n AS BIGINT) AS size, image_id FROM fin JOIN (SELECT DISTINCT n FROM ph) s ON s.n >= fin.n""",
     "reject_cases": ANN + DEAL + """, k AS (SELECT *, CASE WHEN image_id % 11 = 0 THEN '' ELSE key END AS k1 FROM pr), k2 AS (SELECT *, CASE WHEN image_id % 7 = 0 THEN k1 ELSE hard_key END AS h1 FROM k)
 SELECT bucket, CASE WHEN hard_split IS NULL OR image_id % 13 = 0 OR hard_id = image_id THEN 'missing_target' WHEN split <> 'train' OR hard_split <> 'train' THEN 'outside_train' WHEN coalesce(k1, '') = '' OR coalesce(h1, '') = '' THEN 'empty_text' WHEN k1 = h1 THEN 'same_text' ELSE 'ok' END AS reason, count(*) AS n FROM k2 GROUP BY 1, 2""",
     "hard_score_order": ANN + DEAL + "SELECT image_id, bucket, hardness, row_number() OVER (PARTITION BY bucket ORDER BY hardness DESC, of_label, sha256('2026:train:order:' || image_id), image_id)::INT AS ord FROM (SELECT *, count(*) OVER (PARTITION BY bucket, label) AS of_label FROM pr)",
