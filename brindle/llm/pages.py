@@ -60,10 +60,10 @@ class _Element:
     """An open element; path names the block elements from the root to it. gate: the innermost element from it outward that
     may be hidden, itself included."""
 
-    __slots__ = ("block", "container", "depth", "doubtful", "gate", "hidden", "kind", "links", "name", "parent", "path", "size")
+    __slots__ = ("block", "container", "depth", "doubtful", "free", "gate", "hidden", "kind", "links", "name", "parent", "path", "size")
 
     def __init__(self, name: str, label: str, parent: _Element | None, kind: str = "", doubtful: bool = False):
-        self.name, self.parent, self.kind, self.size, self.links, self.hidden = name, parent, kind, 0, 0, None
+        self.name, self.parent, self.kind, self.size, self.links, self.hidden, self.free = name, parent, kind, 0, 0, 0, False
         self.block = name in _BLOCK
         self.depth = (parent.depth if parent else 0) + self.block
         above = parent.path if parent else ""
@@ -79,28 +79,48 @@ class _Element:
         self.gate = self if kind else parent.gate if parent else None
 
 
+#: Why an element may be hidden, as bits: its names, its own name, the head.
+_BY_NAME, _BY_ELEMENT, _HEAD = 1, 2, 4
+
+
 def _kind(tag: str, names: list[tuple[str, str]]) -> tuple[str, bool]:
-    """(what hides the element: 'element', 'name', 'box' or nothing; whether its names have a word of _NOISE at all).
+    """(what may hide the element: 'element', 'form', 'name', 'box', 'inline' or nothing; whether its names have a word of
+    _NOISE at all).
 
     Element names hide whatever they enclose. Of the others only containers are hidden for a class, id or role that is a
-    word of _NOISE as a whole: never a heading, a paragraph, a list item, a cell or an inline element."""
+    word of _NOISE as a whole: never a heading, a paragraph, a list item or a cell, and inline elements only between sentences."""
     if tag in _FURNITURE:
-        return "element", False
+        return ("form" if tag == "form" else "element"), False
     if not names or tag in _NEVER:
         return "", False
     marks = {w.lower() for _, v in names for w in _WORDS.findall(v)} & _NOISE
     whole = {w for _, v in names for w in v.lower().split()} & marks
-    if not whole or tag not in _BLOCK or tag in _NO_CONTAINER:
+    if not whole or tag in _NO_CONTAINER:
         return "", bool(marks)
-    return ("name" if whole - _BOXES else "box"), True
+    return ("inline" if tag not in _BLOCK else "name" if whole - _BOXES else "box"), True
+
+
+def _after_sentences(pieces: list[tuple[str, int, _Element | None]]) -> set[_Element]:
+    """The named inline elements that end their block and begin after the end of a sentence, or are the whole block."""
+    first: dict[_Element, str] = {}
+    last: dict[_Element, int] = {}
+    tail, before = -1, ""
+    for k, (t, _, g) in enumerate(pieces):
+        if g is not None and g.kind == "inline":
+            first.setdefault(g, before)
+            last[g] = k
+        if t := t.rstrip():
+            tail, before = k, t[-1]
+    return {e for e, x in first.items() if last[e] >= tail and (not x or x in ".!?:;…»”\"")}
 
 
 def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
     """(text, characters in links, innermost element around it) of each block of a page outside furniture, in order.
 
     Hidden are elements that are furniture by their own name, containers named by a word of _NOISE unless they enclose an
-    `article` or `main`, and boxes whose text is mostly links. Where nothing else on the page has text, named
-    containers are shown, and where there is still none, all but the head. Time is linear in the page's length, however
+    `article` or `main`, boxes whose text is mostly links, forms that enclose no `h1`, `article` or `main`, and named inline
+    elements that stand after the last sentence of their block. Where nothing else on the page has text, named
+    containers are shown, where there is still none, the others but named ones, and at last all but the head. Time is linear in the page's length, however
     deep elements nest and however many are left open."""
     raw: list = []
     stack: list[_Element] = []
@@ -174,10 +194,14 @@ def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
         e = _Element(tag, label, parent, hides, doubtful and tag in _BLOCK)
         if hides:
             gates.append(e)
-        if tag in ("article", "main"):
+        if tag in ("article", "main", "h1"):
             g = e.gate
-            while g is not None and g.kind != "element" and g.hidden is None:
-                g.hidden = False
+            while g is not None and g.kind != "element" and not (g.free and tag != "h1"):
+                if tag != "h1":
+                    g.free = True
+                elif g.kind == "form":
+                    g.free = True
+                    break
                 g = g.parent.gate if g.parent else None
         stack.append(e)
         opened[tag] += 1
@@ -188,14 +212,15 @@ def blocks(page: str) -> list[tuple[str, int, _Element | None]]:
             o.size += e.size
             o.links += e.links
     for e in gates:  # outer ones first
-        own = e.kind == "element" or (e.hidden is None and (e.kind == "name" or e.links >= LINKS * max(1, e.size)))
         o = outer(e)
-        above = o.hidden if o is not None else ""
-        e.hidden = "head" if e.name == "head" or above == "head" else "element" if e.kind == "element" or above == "element" else "name" if own or above == "name" else ""
-    for shown in ((), ("name",), ("name", "element")):
+        named = e.kind == "name" or (e.kind == "box" and e.links >= LINKS * max(1, e.size))
+        own = _HEAD if e.name == "head" else _BY_ELEMENT if e.kind == "element" else 0 if e.free else _BY_ELEMENT if e.kind == "form" else _BY_NAME if named else 0
+        e.hidden = own | (o.hidden if o is not None else 0)
+    for shown in (0, _BY_NAME, _BY_ELEMENT, _BY_NAME | _BY_ELEMENT):
         out = []
         for pieces, around in raw:
-            seen = [(t, n) for t, n, g in pieces if g is None or not g.hidden or g.hidden in shown]
+            loose = _after_sentences(pieces)
+            seen = [(t, n) for t, n, g in pieces if g is None or (not g.hidden & ~shown and g not in loose)]
             t = _SPACES.sub(" ", _html.unescape("".join(t for t, _ in seen))).strip()
             if t:
                 out.append((t, sum(n for _, n in seen), around))

@@ -221,7 +221,7 @@ def test_generated_pages_give_their_articles(spark):
     assert {k: got[k].text for k in want} == want
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<a '", "<b>x", "<div>x", "<!", "<p><b>x", "<nav>x", "<td>x", "</p>", "<ul><li>x", "&amp;", "<script>"])
+@pytest.mark.parametrize("piece", ["<a ", "<a '", "<b>x", "<div>x", "<!", "<p><b>x", "<nav>x", "<td>x", "</p>", "<ul><li>x", "&amp;", "<script>", "<span class=ad>x.", "x. <span class=ad>x</span>"])
 def test_broken_pages_take_linear_time(piece):
     began = time.time()
     pages.text_of(piece * 40_000, None)
@@ -258,6 +258,9 @@ COMMENTS = "".join(f"<p>Comment {k} has a text that is long enough to win any vo
         (f'<div class="notice"><article>{ARTICLE}</article></div><div>tiny</div>', ARTICLE_TEXT),
         ('<div class="notice">only this</div>', "only this"),
         ("<nav>only a menu</nav>", "only a menu"),
+        (f"<form><h1>Head</h1>{ARTICLE}<div class='sidebar'>no</div></form><div>tiny</div>", f"Head\n{ARTICLE_TEXT}"),
+        (f"<div>{ARTICLE}</div><form><p>Your name and what you think of it all</p></form>", ARTICLE_TEXT),
+        (f'<div><p>{ARTICLE_TEXT} <span class="share">Share me</span></p></div>', ARTICLE_TEXT),
         ("<div>" * 60 + ARTICLE + "<nav>menu</nav>" + "</div>" * 60, ARTICLE_TEXT),
         ("<div>" * 40 + f"<div class='a'>{ARTICLE}</div><div class='b'><p>else</p></div>" + "</div>" * 40, ARTICLE_TEXT),
     ],
