@@ -21,6 +21,7 @@ from .common import drop_durable, durable
 BITS, BLOCKS, RADIUS = 128, 8, 6
 _STRETCH, _MAX_WEIGHT = 2048, 15
 _LANES = 0x0001000100010001
+_SALTS = 1000
 
 
 def _weight(word: Column) -> Column:
@@ -34,11 +35,13 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", carry: l
     keys. A constant term of weight 1 votes in every text, so that null, empty and blank texts get one fingerprint too."""
     carry = carry or []
     terms = F.split(F.concat(F.lit("\x01 "), F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+")
-    rows = texts.select(*keys, *carry, F.posexplode(terms).alias("__at", "__w")).where(F.col("__w") != "")
+    # Lanes are summed per row and stretch, so that repeated rows can't make them overflow.
+    rows = texts.select(*keys, *carry, F.monotonically_increasing_id().alias("__row"), terms.alias("__terms"))
+    rows = rows.select(*keys, *carry, "__row", F.posexplode("__terms").alias("__at", "__w")).where(F.col("__w") != "")
     halves = [F.xxhash64(F.col("__w"), F.lit(s)) for s in range(BITS // 64)]
-    rows = rows.select(*keys, *carry, F.floor(F.col("__at") / _STRETCH).cast("int").alias("__part"), _weight(F.col("__w")).alias("__v"), *[h.alias(f"__h{n}") for n, h in enumerate(halves)])
+    rows = rows.select(*keys, *carry, "__row", F.floor(F.col("__at") / _STRETCH).cast("int").alias("__part"), _weight(F.col("__w")).alias("__v"), *[h.alias(f"__h{n}") for n, h in enumerate(halves)])
     lane = lambda n, i: F.shiftrightunsigned(F.col(f"__h{n}"), i).bitwiseAND(F.lit(_LANES))
-    packed = rows.groupBy(*keys, "__part").agg(
+    packed = rows.groupBy(*keys, "__row", "__part").agg(
         *[F.max(c).alias(c) for c in carry], F.sum("__v").alias("__total"), *[F.sum(lane(n, i) * F.col("__v")).alias(f"__s{n}_{i}") for n in range(BITS // 64) for i in range(16)]
     )
     bit = lambda n, b: F.shiftrightunsigned(F.col(f"__s{n}_{b % 16}"), b // 16 * 16).bitwiseAND(F.lit(0xFFFF))
@@ -99,16 +102,21 @@ def following(ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, edited: the last floor(n/4) characters replaced by the first as many (or all) of the next document."""
+    """at, text, edited: the last floor(n/4) characters replaced by the first as many (or all) of the next document.
+
+    `at` holds the id and a salt, and the result is partitioned by it. Rows without id have no next document; they are
+    spread by a hash of their text, and repeated ones count once."""
     own = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     quarter = lambda x: F.floor(F.char_length(x) / 4).cast("int")
+    at = lambda col, salt: F.struct(F.col(col).alias("id"), F.coalesce(salt.cast("int"), F.lit(0)).alias("salt")).alias("at")
     most = docs.groupBy(key).agg(F.max(quarter(F.coalesce(F.col(text), F.lit("")))).alias("q"))
-    want = following(docs, key).join(most, key).select(F.col(key).alias("for_id"), F.col("next_id").alias(key), "q")
-    known = own.where(F.col(key).isNotNull())  # read by both joins in one form, so that texts are shuffled once
-    heads = known.join(want, key).select(F.col("for_id").alias(key), F.expr("substring(text, 1, q)").alias("head")).groupBy(key).agg(F.min("head").alias("head"))
-    q = quarter(F.col("text"))
-    out = known.join(heads, key, "left").unionByName(own.where(F.col(key).isNull()).withColumn("head", F.lit(None).cast("string"))).withColumn("q", q).withColumn("n", F.char_length("text"))
-    return out.select(key, "text", F.expr("concat(substring(text, 1, n - q), substring(coalesce(head, ''), 1, q))").alias("edited"))
+    want = following(docs, key).join(most, key).select(F.col(key).alias("for_id"), at("next_id", F.lit(0)), "q")
+    nameless = own.where(F.col(key).isNull()).distinct().select(at(key, F.pmod(F.xxhash64("text"), F.lit(_SALTS)) + 1), "text")
+    # Both joins read the texts in one form, so that they are shuffled once, and all grouping by `at` keeps that shuffle.
+    rows = own.where(F.col(key).isNotNull()).select(at(key, F.lit(0)), "text").unionByName(nameless).repartition("at")
+    heads = rows.join(want, "at").select(at("for_id", F.lit(0)), F.expr("substring(text, 1, q)").alias("head")).groupBy("at").agg(F.min("head").alias("head"))
+    out = rows.join(heads, "at", "left").withColumn("q", quarter(F.col("text"))).withColumn("n", F.char_length("text"))
+    return out.select("at", "text", F.expr("concat(substring(text, 1, n - q), substring(coalesce(head, ''), 1, q))").alias("edited"))
 
 
 def compare(docs: DataFrame, radius: int = RADIUS, query_every: int = 20) -> DataFrame:
@@ -123,14 +131,14 @@ def compare(docs: DataFrame, radius: int = RADIUS, query_every: int = 20) -> Dat
     times = docs.groupBy(own.alias("row")).agg(F.count("*").alias("times")).where("times > 1")
     digest = F.sha2(F.col("edited").cast("binary"), 256)
     quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"d{k}") for k in range(4)]
-    tall = both.select("doc_id", F.xxhash64("text", "doc_id").alias("row"), F.char_length("text").cast("long").alias("n_chars"), *quarters, F.explode(F.array(F.struct(F.lit(0).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(1).alias("is_edited"), F.col("edited").alias("t")))).alias("x"))
-    tall = tall.select("doc_id", "row", "n_chars", "d0", "d1", "d2", "d3", "x.is_edited", "x.t")
-    fp = fingerprints(tall, ["doc_id", "row", "is_edited"], "t", ["n_chars", "d0", "d1", "d2", "d3"])
+    tall = both.select("at", F.xxhash64("text", "at.id").alias("row"), F.char_length("text").cast("long").alias("n_chars"), *quarters, F.explode(F.array(F.struct(F.lit(0).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(1).alias("is_edited"), F.col("edited").alias("t")))).alias("x"))
+    tall = tall.select("at", "row", "n_chars", "d0", "d1", "d2", "d3", "x.is_edited", "x.t")
+    fp = fingerprints(tall, ["at", "row", "is_edited"], "t", ["n_chars", "d0", "d1", "d2", "d3"])
     pick = lambda k, name: F.max(F.when(F.col("is_edited") == k, F.col("fp"))).alias(name)
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
-    one = fp.groupBy("doc_id", "row", "n_chars", "d0", "d1", "d2", "d3").agg(pick(0, "fingerprint"), pick(1, "edited_fingerprint"))
+    one = fp.groupBy("at", "row", "n_chars", "d0", "d1", "d2", "d3").agg(pick(0, "fingerprint"), pick(1, "edited_fingerprint"))
     one = one.join(times, "row", "left").withColumn("each", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("times").cast("int"), F.lit(1)))))
-    one = durable(one.select("doc_id", "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint"))
+    one = durable(one.select(F.col("at.id").alias("doc_id"), "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint"))
     after = following(one).join(one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fp")), "next_id").select("doc_id", "next_fp")
     copies = one.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n"))
     asked = one.where(F.col("doc_id") % query_every == 0).select(F.col("fingerprint").alias("fp"))

@@ -1,5 +1,6 @@
 """Rules that the operators state for odd rows, and parts of them against plain Python."""
 
+import hashlib
 import random
 import struct
 import time
@@ -319,3 +320,13 @@ def test_three_runs_of_a_family_give_what_one_run_gives(spark, tmp_path):
         last |= by
     assert sorted(x for v in last.values() for x in v) == want and any(x[2] for x in want)
     assert [rank for rank, _ in suffix.Family(spark, path).levels] == [1, 0]
+
+
+def test_fingerprints_of_repeated_long_rows(spark):
+    text = " ".join(f"longword{k % 7}x{k % 3}" for k in range(3000))
+    d = spark.createDataFrame([(1, text)] * 12 + [(2, text), (None, text), (None, text), (None, None)], "doc_id long, text string")
+    got = simhash.compare(d).collect()
+    assert len(got) == 16 and len({r.fingerprint for r in got if r.n_chars}) == 1
+    assert sorted(str(r.doc_id) for r in got) == ["1"] * 12 + ["2"] + ["None"] * 3
+    cut = text[: len(text) - len(text) // 4]
+    assert {(r.n_chars, r.edited_sha256) for r in got if r.doc_id is None} == {(len(t), hashlib.sha256(e.encode()).hexdigest()) for t, e in ((text, cut), ("", ""))}
