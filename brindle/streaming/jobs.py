@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def work_queue(tasks: DataFrame, done_path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], key: str = "task_key") -> StreamingQuery:
@@ -50,24 +52,54 @@ def ring_memory(rows: DataFrame, capacity: int) -> DataFrame:
     return rows.groupBy("epoch").applyInPandasWithState(step, "epoch long, batch long, filled long, clock long", "seen long, clock long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Ring(StatefulProcessor):
+    """The last `capacity` rows of an epoch: one map entry per batch that still has rows in the memory."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clock = handle.getValueState("clock", "clock long")
+        self.batches = handle.getMapState("batches", "born long", "ids array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        clock = self.clock.get()[0] if self.clock.exists() else 0
+        kept = deque(sorted((k[0], list(v[0])) for k, v in self.batches.iterator())) if clock and self.batches.exists() else deque()
+        size = sum(len(ids) for _, ids in kept)
+        for batch, f in pd.concat(rows).sort_values(["batch", "pos"]).groupby("batch", sort=True):
+            held = [(i, clock - born) for born, ids in kept for i in ids][max(0, size - self.capacity) :]
+            if held:
+                yield pd.DataFrame({"epoch": key[0], "batch": batch, "row_id": [i for i, _ in held], "age": [age for _, age in held]})
+            new = f.row_id.tolist()[max(0, len(f) - self.capacity) :]
+            if new:
+                kept.append((clock, new))
+                self.batches.updateValue((clock,), (new,))
+                size += len(new)
+            while kept and size - len(kept[0][1]) >= self.capacity:
+                born, gone = kept.popleft()
+                self.batches.removeKey((born,))
+                size -= len(gone)
+            clock += 1
+        self.clock.update((clock,))
+
+    def close(self) -> None:
+        pass
+
+
 def ring_contents(rows: DataFrame, capacity: int) -> DataFrame:
-    """(epoch, batch, row_id, age): the rows that a FIFO memory holds when each batch arrives; one state per epoch.
+    """(epoch, batch, row_id, age): the rows that a FIFO memory holds when each batch arrives, oldest first; one state per epoch.
 
-    rows: epoch, batch, pos, row_id, batches of an epoch in order. age counts batches; the state is the last `capacity`
-    rows with their batches. A capacity of 0 holds nothing, and of a batch larger than it the last rows stay."""
+    rows: epoch, batch, pos, row_id, batches of an epoch in order. age counts batches. A batch is written to the state once
+    and removed when its last row has left the memory. A capacity of 0 holds nothing, and of a batch larger than it the last
+    rows stay. Keyed map state needs the RocksDB state store, which the caller's session sets (rocksdb_state)."""
+    if capacity < 0:
+        raise ValueError("the capacity can't be negative")
+    return rows.groupBy("epoch").transformWithStateInPandas(_Ring(capacity), "epoch long, batch long, row_id long, age long", "append", "none")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, born, clock = state.get if state.exists else ([], [], 0)
-        ids, born, out = list(ids), list(born), []
-        for batch, f in pd.concat(frames).sort_values(["batch", "pos"]).groupby("batch", sort=True):
-            out += [(key[0], batch, i, clock - b) for i, b in zip(ids, born, strict=True)]
-            ids += f.row_id.tolist()
-            born += [clock] * len(f)
-            ids, born, clock = ids[len(ids) - min(capacity, len(ids)) :], born[len(born) - min(capacity, len(born)) :], clock + 1
-        state.update((ids, born, clock))
-        yield pd.DataFrame(out, columns=["epoch", "batch", "row_id", "age"])
-
-    return rows.groupBy("epoch").applyInPandasWithState(step, "epoch long, batch long, row_id long, age long", "ids array<long>, born array<long>, clock long", "append", GroupStateTimeout.NoTimeout)
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """Keep the state of the session's new streaming queries in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def best_so_far(log: DataFrame, floor: float, patience: int) -> DataFrame:

@@ -138,6 +138,7 @@ def test_ring_memory_holds_the_last_rows(spark, tmp_path, capacity):
     spark.createDataFrame(rows, "epoch long, batch long, pos long, row_id long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("epoch long, batch long, pos long, row_id long").parquet(str(tmp_path / "in"))
     name = f"ring{capacity}"
+    jobs.rocksdb_state(spark)
     query = jobs.ring_contents(stream, capacity).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     want = set()
@@ -145,3 +146,20 @@ def test_ring_memory_holds_the_last_rows(spark, tmp_path, capacity):
         before = sorted(r for r in rows if r[0] == e and r[1] < b)
         want |= {(e, b, r[3], b - r[1]) for r in before[len(before) - min(capacity, len(before)) :]}
     assert {tuple(r) for r in spark.table(name).collect()} == want
+
+
+def test_ring_memory_goes_on_after_a_restart(spark, tmp_path):
+    jobs.rocksdb_state(spark)
+    rows = [(e, b, p, 100 * e + 10 * b + p) for e in range(2) for b in range(6) for p in range(b % 3 + 1)]
+    schema, place = "epoch long, batch long, pos long, row_id long", {k: str(tmp_path / k) for k in ("in", "out", "cp")}
+    for upto in (2, 4, 6):  # each run of the query sees two new batches, one in each micro-batch
+        for b in (upto - 2, upto - 1):
+            spark.createDataFrame([r for r in rows if r[1] == b], schema).coalesce(1).write.mode("append").parquet(place["in"])
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place["in"])
+        jobs.ring_contents(stream, 4).writeStream.format("parquet").option("checkpointLocation", place["cp"]).trigger(availableNow=True).start(place["out"]).awaitTermination(120)
+    want = set()
+    for e, b in {r[:2] for r in rows}:
+        before = sorted(r for r in rows if r[0] == e and r[1] < b)
+        want |= {(e, b, r[3], b - r[1]) for r in before[-4:]}
+    got = [tuple(r) for r in spark.read.parquet(place["out"]).collect()]
+    assert len(got) == len(want) and set(got) == want
