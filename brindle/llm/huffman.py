@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import drop_durable, durable, flat, mix, prefix_hash, slices, span_hash
+from .common import drop_durable, durable, flat, mix, prefix_hash, slices, small_batches, span_hash, trimmed
 
 #: Longest code in bits; a table of 2**LIMIT entries decodes any code in one step.
 LIMIT = 16
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 _MEMO = 1_000_000
-_SLICE = 4 << 20
+_SLICE = 2 << 20
+#: Bytes whose pieces are hashed at once: the arrays that this takes hold some fifty bytes for each.
+_HASHED = 1 << 18
 #: Byte-level pre-splitting always cuts before a blank, tab or line end that follows something else, and between a
 #: letter or digit (ASCII, or Latin letter of lead byte C3) and one of the signs. Other white space and separators are
 #: odd: a text that holds one is not cut.
@@ -106,6 +108,15 @@ def _pieces(data: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray, n
     return s, np.append(s[1:], n)
 
 
+def _hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of the adjoining pieces s..e, a stretch of pieces at a time; a longer piece is a stretch of its own."""
+    h, check = np.empty(len(s), np.uint64), np.empty(len(s), np.uint64)
+    for i, j in slices(np.append(s, e[-1]), _HASHED):
+        part, a, b = data[s[i] : e[j - 1]], s[i:j] - s[i], e[i:j] - s[i]
+        h[i:j], check[i:j] = span_hash(prefix_hash(part), a, b), span_hash(prefix_hash(part, _OTHER_BYTE), a, b)
+    return h, check
+
+
 def encode_flat(path: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts of a flat buffer in their stored type, offsets of each text's ids), as the library gives them with
     add_special_tokens=False: nothing is put around a text, and an added token that stands in it gets its own id.
@@ -116,7 +127,7 @@ def encode_flat(path: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     s, e = _pieces(data, off, path)
     if not len(s):
         return np.zeros(0, kind), np.zeros(len(off), np.int64)
-    h, check = span_hash(prefix_hash(data), s, e), span_hash(prefix_hash(data, _OTHER_BYTE), s, e)
+    h, check = _hashes(data, s, e)
     keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     if (check[first][inverse] != check).any():
         keys, first, inverse = np.arange(len(h), dtype=np.uint64), np.arange(len(h)), np.arange(len(h))
@@ -163,7 +174,7 @@ def tokenize(df: DataFrame, path: str, end: int | None, text: str = "text", key:
                 out = [ids[x:y].tobytes() + tail for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at) + extra), pa.array(out, pa.binary())], [key, "n_ids", "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_ids long, ids binary")
+    return df.select(key, text).mapInArrow(trimmed(run), f"`{key}` {df.schema[key].dataType.simpleString()}, n_ids long, ids binary")
 
 
 # ---------------------------------------------------------------- codes
@@ -255,16 +266,18 @@ def counts(ids: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for b in batches:
-            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
-            if len(c) < len(total):
-                c, total = total, c
-            c = c.copy()
-            c[: len(total)] += total
-            total = c
+            ids = np.frombuffer(b"".join(b.column(0).to_pylist()), kind)
+            for i in range(0, len(ids), BLOCK_IDS):  # counting takes eight bytes an id
+                c = np.bincount(ids[i : i + BLOCK_IDS])
+                if len(c) < len(total):
+                    c, total = total, c
+                c = c.copy()
+                c[: len(total)] += total
+                total = c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def lengths_of(ids: DataFrame, kind: str, limit: int = LIMIT) -> np.ndarray:
@@ -309,7 +322,7 @@ def write(ids: DataFrame, kind: str, lengths: np.ndarray, path: str, key: str =
         ids.select(key, "n_ids", "ids")
         .repartitionByRange(parts, key)
         .sortWithinPartitions(key)
-        .mapInArrow(run, "part int, start long, keys array<long>, sizes array<long>, checkpoints array<long>, bits binary")
+        .mapInArrow(trimmed(run), "part int, start long, keys array<long>, sizes array<long>, checkpoints array<long>, bits binary")
         .write.parquet(path)
     )
 
@@ -327,7 +340,8 @@ def read(spark: SparkSession, path: str, lengths: np.ndarray, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, start, keys, sizes, at, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i in range(b.num_rows):
+                part, start, keys, sizes, at, bits = (c[i].as_py() for c in b.columns)
                 sizes = np.array(sizes, np.int64)
                 ids = unpack(bits, np.array(at, np.int64), int(sizes.sum()), table)
                 end = np.cumsum(sizes)
@@ -335,7 +349,7 @@ def read(spark: SparkSession, path: str, lengths: np.ndarray, key: str = "doc_id
                 cols = [pa.array(keys, pa.int64()), pa.array(start + end - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([part] * len(keys), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(raw, pa.binary())] if keep_ids else [])], [key, "at", "n_tokens", "ids_crc32", "part", *(["ids"] if keep_ids else [])])
 
-    docs = blocks.select("part", "start", "keys", "sizes", "checkpoints", "bits").mapInArrow(run, f"`{key}` long, at long, n_tokens long, ids_crc32 long, part int" + ", ids binary" * keep_ids)
+    docs = blocks.select("part", "start", "keys", "sizes", "checkpoints", "bits").mapInArrow(trimmed(run), f"`{key}` long, at long, n_tokens long, ids_crc32 long, part int" + ", ids binary" * keep_ids)
     out = docs.join(F.broadcast(first), docs.part == first.p)
     return out.select(key, (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
@@ -344,7 +358,10 @@ def round_trip(df: DataFrame, path: str, folder: str, end: int | None = 0, text:
     """Tokenize every text, write the ids as Huffman-coded files to `folder`, and read those back.
 
     Null and empty texts hold the end id only. Rows that share a key stay separate documents next to each other, in
-    no fixed order; a null key sorts first. An empty table gives an empty folder and no rows."""
+    no fixed order; a null key sorts first. An empty table gives an empty folder and no rows. Memory follows the longest
+    text, not the number of rows or partitions: workers see 1,000 texts and hash a stretch of them at a time, and give back
+    what they held when a task ends."""
+    small_batches(df.sparkSession, 1000)
     ids = durable(tokenize(df, path, end, text, key))
     kind = width(path)
     lengths = lengths_of(ids, kind)

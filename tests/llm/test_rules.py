@@ -330,3 +330,23 @@ def test_fingerprints_of_repeated_long_rows(spark):
     assert sorted(str(r.doc_id) for r in got) == ["1"] * 12 + ["2"] + ["None"] * 3
     cut = text[: len(text) - len(text) // 4]
     assert {(r.n_chars, r.edited_sha256) for r in got if r.doc_id is None} == {(len(t), hashlib.sha256(e.encode()).hexdigest()) for t, e in ((text, cut), ("", ""))}
+
+
+def test_token_ids_take_little_memory():
+    import tracemalloc
+
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choices(vocabulary, k=600)) for _ in range(1500)] + ["x" * 300_000 + " end"]
+    data, off = common.flat(__import__("pyarrow").array(texts))
+    path, got = P.path("byte_bpe_50k.json"), []
+    t = huffman.tokenizer(path)
+    tracemalloc.start()
+    for i, j in common.slices(off, huffman._SLICE):
+        ids, cut = huffman.encode_flat(path, data[off[i] : off[j]], off[i : j + 1] - off[i])
+        got += [ids[a:b].copy() for a, b in zip(cut, cut[1:], strict=False)]
+        del ids
+    most = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in got)
+    tracemalloc.stop()
+    assert len(data) > 5_000_000 and most < 120_000_000, most
+    assert all(x.tolist() == t.encode(y, add_special_tokens=False).ids for x, y in zip(got[::50] + got[-1:], texts[::50] + texts[-1:], strict=True))
