@@ -31,7 +31,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return suffix.dedup(read(spark, sf_dir, "documents", "doc_id", "text"), passage=suffix.PASSAGE)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,27 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable, flat, mix, prefix_hash, shared_dir, slices, span_hash
+from .common import drop_durable, durable, flat, mix, powers, prefix_hash, shared_dir, slices, small_batches, span_hash, trimmed, words
 
 LENGTH, GRAM, WINDOW, STRETCH, BATCHES = 400, 16, 200, 16, 4
+PASSAGE, PASSAGE_WINDOW, WORD_GRAM = 50, 32, 4
 _U = np.uint64
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(document, p, lo, hi, head, key, full): strings starting at lo..hi have anchor p; positions within the document.
-
-    head: eight bytes at p, big-endian; key: hash of the bytes from p on that all these strings hold; full: hash of
-    all bytes of these strings."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(7))
-    n = len(data)
+def _chosen(h: np.ndarray, off: np.ndarray, length: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(document, p, lo, hi) of each anchor, given the prefix hash of bytes or words: positions of the whole buffer."""
     sizes = np.diff(off)
     keep = sizes >= length
     if not keep.any():
-        return none
-    h = prefix_hash(data)
-    at = np.arange(n - GRAM + 1)
-    gram = span_hash(h, at, at + GRAM) & _U(0xFFFFFFFF00000000) | at.astype(np.uint64)
-    low, reach = gram, 1
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    at = np.arange(len(h) - gram)
+    low, reach = span_hash(h, at, at + gram) & _U(0xFFFFFFFF00000000) | at.astype(np.uint64), 1
     while reach * 2 <= window:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
@@ -65,9 +59,25 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, window: int
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(p)) - 1
     p, lo, hi = p[a], starts[a], starts[b]
-    doc = np.searchsorted(off, lo, "right") - 1
-    key = span_hash(h, p, p + (length - window + 1))
+    return np.searchsorted(off, lo, "right") - 1, p, lo, hi
+
+
+def _hashes(h: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, full) of anchors: hashes of what all strings from p on, and any string, of an anchor hold."""
     full = mix(span_hash(h, lo, hi + length) + (p - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return span_hash(h, p, p + (length - window + 1)), full
+
+
+def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(document, p, lo, hi, head, key, full): strings starting at lo..hi have anchor p; positions within the document.
+
+    head: eight bytes at p, big-endian; key: hash of the bytes from p on that all these strings hold; full: hash of
+    all bytes of these strings."""
+    h = prefix_hash(data)
+    doc, p, lo, hi = _chosen(h, off, length, window, GRAM)
+    if not len(p):
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    key, full = _hashes(h, p, lo, hi, length, window)
     head = np.zeros(len(p), np.uint64)
     for k in range(8):
         head = head << _U(8) | data[p + k].astype(np.uint64)
@@ -92,7 +102,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Dat
                     cols = [_long(rows[i + doc]), _long(p), pa.array((p - lo).astype(np.int16)), pa.array((hi - lo).astype(np.int16)), _long(head ^ _U(1 << 63)), _long(key), _long(full)]
                     yield pa.RecordBatch.from_arrays(cols, ["row", "p", "before", "more", "head", "key", "full"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, p long, before short, more short, head long, key long, full long")
+    return docs.select("row", "text").mapInArrow(trimmed(run), "row long, p long, before short, more short, head long, key long, full long")
 
 
 class Family:
@@ -229,7 +239,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "own", "i", "outer", "core", "singles"])
 
-    return docs.select("row", "text", "at").mapInArrow(run, "row long, own boolean, i long, outer long, core long, singles array<long>")
+    return docs.select("row", "text", "at").mapInArrow(trimmed(run), "row long, own boolean, i long, outer long, core long, singles array<long>")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
@@ -280,6 +290,7 @@ def extend(new: DataFrame, path: str, length: int = LENGTH, window: int = WINDOW
     The rows of `new`, and those earlier rows that a string of the new batch may repeat: their results replace the earlier
     ones. So the last result of each row, over all runs, is what one run over all batches gives. Beside its suffix arrays
     the family keeps the batches' texts, anchors, and suffixes met; of them a run reads the keys and rows concerned."""
+    small_batches(new.sparkSession, 1000)
     family = Family(new.sparkSession, path)
     kind = new.schema[key].dataType.simpleString()
     rows = durable(new.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text", "id")))
@@ -299,20 +310,88 @@ def extend(new: DataFrame, path: str, length: int = LENGTH, window: int = WINDOW
     return out
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def _word_sums(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix hash of the words of all texts of a flat buffer, offsets of each text's words)."""
+    w, _, d = words(data, off)
+    h = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * powers(len(w) + 1)[0][: len(w)], out=h[1:])
+    return h, np.searchsorted(d, np.arange(len(off)))
+
+
+def shared_words(docs: DataFrame, length: int = PASSAGE, window: int = PASSAGE_WINDOW) -> DataFrame:
+    """(row, n_shared_words): words within runs of `length` words that another row of `docs` (row, text) holds as well.
+
+    Words are those of op7, A-Z lower-cased; rows without such words are left out. The search is that of the bytes, over
+    words: anchors that meet in another row, all strings of an anchor at once where these are the same, else one by one."""
+
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = flat(b.column(1))
+            rows = np.asarray(b.column(0))
+            for i, j in slices(off):
+                h, at = _word_sums(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                doc, p, lo, hi = _chosen(h, at, length, window, WORD_GRAM)
+                if len(p):
+                    key, full = _hashes(h, p, lo, hi, length, window)
+                    cols = [_long(rows[i + doc]), pa.array((lo - at[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int16)), _long(key), _long(full)]
+                    yield pa.RecordBatch.from_arrays(cols, ["row", "lo", "more", "key", "full"])
+
+    def singles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = flat(b.column(1))
+            for k, (row, listed) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                h, _ = _word_sums(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
+                lo = np.array([x["lo"] for x in listed], np.int64)
+                n = np.array([x["more"] for x in listed], np.int64) + 1
+                i = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                own = np.repeat(np.array([x["own"] for x in listed], bool), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row)), pa.array(own), pa.array(i.astype(np.int32)), _long(span_hash(h, i, i + length))], ["row", "own", "i", "s"])
+
+    found = durable(docs.select("row", "text").mapInArrow(trimmed(found_in), "row long, lo int, more short, key long, full long"))
+    met = found.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("key")
+    cand = durable(found.join(met, "key", "left_semi"))
+    drop_durable(found)
+    groups = durable(cand.groupBy("key", "full").agg(F.min(F.struct("row", "lo", "more")).alias("x"), F.max("row").alias("b")))
+    apart = groups.where("x.row = b")
+    whole = cand.join(groups.where("x.row < b").select("key", "full"), ["key", "full"], "left_semi").select("row", "lo", (F.col("lo") + F.col("more")).alias("hi"))
+    # Strings that the documents of a key don't hold all together are compared with each other, and with one of each group that several rows hold.
+    lone = cand.join(apart.select("key", "full"), ["key", "full"], "left_semi").select("row", "lo", "more", F.lit(True).alias("own"))
+    one = groups.where("x.row < b").join(apart.select("key").distinct(), "key", "left_semi").select("x.row", "x.lo", "x.more", F.lit(False).alias("own"))
+    listed = lone.unionByName(one).groupBy("row").agg(F.collect_list(F.struct("lo", "more", "own")).alias("at"))
+    singles = durable(docs.join(listed, "row").select("row", "text", "at").mapInArrow(trimmed(singles_in), "row long, own boolean, i int, s long"))
+    again = singles.groupBy("s").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.bool_and("own").alias("own")).where("a < b OR NOT own").select("s")
+    alone = singles.where("own").join(again, "s", "left_semi").select("row", F.col("i").alias("lo"), F.col("i").alias("hi"))
+    ranges = whole.unionByName(alone).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("r"))
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def joined(a, x):
+        end = F.greatest(a["end"], x["hi"] + length)
+        return F.struct(end.alias("end"), (a["n"] + end - F.greatest(a["end"], x["lo"])).cast("long").alias("n"))
+
+    out = durable(ranges.select("row", F.aggregate("r", none, joined, lambda a: a["n"]).alias("n_shared_words")))
+    drop_durable(cand, groups, singles)
+    return out
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES, key: str = "doc_id", text: str = "text", keep_text: bool = False, passage: int | None = None) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of each row.
 
     Null texts count as empty and texts shorter than `length` bytes keep all. Repeated rows are documents of their
-    own, so each of them repeats the other."""
+    own, so each of them repeats the other. With `passage`, n_shared_words follows: how many of the row's words stand in
+    a run of that many words that a row with another key or text holds as well. These are only counted, not removed."""
+    small_batches(docs.sparkSession, 1000)
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text", "id"))
     ranges = repeated_ranges(rows.select("row", "text"), length, window, batches)
     lists = ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = rows.join(lists, "row", "left").select("id", "text", "ranges")
-    return _without(joined, length, key, docs.schema[key].dataType.simpleString(), keep_text)
+    joined = rows.join(lists, "row", "left")
+    if passage is not None:
+        joined = joined.join(shared_words(rows.select("row", "text"), passage), "row", "left").withColumn("n_shared_words", F.coalesce("n_shared_words", F.lit(0).cast("long")))
+    return _without(joined.select("id", "text", "ranges", *["n_shared_words"] * (passage is not None)), length, key, docs.schema[key].dataType.simpleString(), keep_text)
 
 
 def _without(joined: DataFrame, length: int, key: str, kind: str, keep_text: bool) -> DataFrame:
-    """The report of dedup() from id, text and ranges of starts."""
+    """The report of dedup() from id, text and ranges of starts. Further columns, all long, follow."""
+    more = joined.columns[3:]
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
@@ -335,7 +414,7 @@ def _without(joined: DataFrame, length: int, key: str, kind: str, keep_text: boo
                 spans.append(n)
                 sha.append(hashlib.sha256(raw).hexdigest())
                 left.append(raw)
-            cols = [b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(left, pa.binary())] if keep_text else [])]
-            yield pa.RecordBatch.from_arrays(cols, [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
+            cols = [b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(left, pa.binary())] if keep_text else []), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(cols, [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []), *more])
 
-    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(trimmed(run), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text + "".join(f", {c} long" for c in more))

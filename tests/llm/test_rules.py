@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import struct
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -350,3 +352,30 @@ def test_token_ids_take_little_memory():
     tracemalloc.stop()
     assert len(data) > 5_000_000 and most < 120_000_000, most
     assert all(x.tolist() == t.encode(y, add_special_tokens=False).ids for x, y in zip(got[::50] + got[-1:], texts[::50] + texts[-1:], strict=True))
+
+
+def test_words_of_passages_that_other_documents_hold(spark):
+    """Passages of 45 to 60 words below 400 bytes, in other case and white space, twice in one document, in copies and in odd rows."""
+    r, texts = random.Random(12), []
+    vocabulary = [f"w{k}" for k in range(4000)]
+    passages = [r.choices(vocabulary, k=80) for _ in range(4)]
+    for k in range(60):
+        n, at = r.choice((45, 49, 50, 51, 60)), r.randrange(20)
+        part = [w.upper() if k % 3 else w for w in passages[k % 4][at : at + n]]
+        texts.append((" ", "\n", " \t")[k % 3].join(r.choices(vocabulary, k=r.randrange(90)) + part + r.choices(vocabulary, k=r.randrange(70))))
+    alone = " ".join(r.choices(vocabulary, k=60))
+    texts += [f"{alone} x {alone}", texts[5], " ".join(passages[0][:50]), " ".join(passages[0][:49]), "a " * 300, "A\n" * 40 + "b", "a " * 50, "", None, " \n "]
+    table = list(enumerate(texts)) + [(3, texts[3]), (None, " ".join(passages[1])), (500, " ".join(r.choices(vocabulary, k=70)))] + [(500, alone[::-1])] * 2
+    of = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for _, t in table]
+    holders = {}
+    for row, w in zip(table, of, strict=True):
+        for i in range(len(w) - 49):
+            holders.setdefault(tuple(w[i : i + 50]), set()).add(row)
+    want = []
+    for row, w in zip(table, of, strict=True):
+        hit = {j for i in range(len(w) - 49) if len(holders[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)}
+        want.append((row[0], len((row[1] or "").encode()), len(hit)))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = suffix.dedup(df, passage=50).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_shared_words) for x in got) == Counter(want) and sum(n > 0 for *_, n in want) > 30
+    assert Counter(tuple(x)[:5] for x in got) == Counter(map(tuple, suffix.dedup(df).collect()))  # what is removed stays as it was
