@@ -348,7 +348,8 @@ def shared_words(docs: DataFrame, length: int = PASSAGE, window: int = PASSAGE_W
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row)), pa.array(own), pa.array(i.astype(np.int32)), _long(span_hash(h, i, i + length))], ["row", "own", "i", "s"])
 
     found = durable(docs.select("row", "text").mapInArrow(trimmed(found_in), "row long, lo int, more short, key long, full long"))
-    met = found.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("key")
+    # Joined with saved tables, so that the rows of a very frequent key can be split over tasks.
+    met = durable(found.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("key"))
     cand = durable(found.join(met, "key", "left_semi"))
     drop_durable(found)
     groups = durable(cand.groupBy("key", "full").agg(F.min(F.struct("row", "lo", "more")).alias("x"), F.max("row").alias("b")))
@@ -359,7 +360,7 @@ def shared_words(docs: DataFrame, length: int = PASSAGE, window: int = PASSAGE_W
     one = groups.where("x.row < b").join(apart.select("key").distinct(), "key", "left_semi").select("x.row", "x.lo", "x.more", F.lit(False).alias("own"))
     listed = lone.unionByName(one).groupBy("row").agg(F.collect_list(F.struct("lo", "more", "own")).alias("at"))
     singles = durable(docs.join(listed, "row").select("row", "text", "at").mapInArrow(trimmed(singles_in), "row long, own boolean, i int, s long"))
-    again = singles.groupBy("s").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.bool_and("own").alias("own")).where("a < b OR NOT own").select("s")
+    again = durable(singles.groupBy("s").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.bool_and("own").alias("own")).where("a < b OR NOT own").select("s"))
     alone = singles.where("own").join(again, "s", "left_semi").select("row", F.col("i").alias("lo"), F.col("i").alias("hi"))
     ranges = whole.unionByName(alone).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("r"))
     none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -369,7 +370,7 @@ def shared_words(docs: DataFrame, length: int = PASSAGE, window: int = PASSAGE_W
         return F.struct(end.alias("end"), (a["n"] + end - F.greatest(a["end"], x["lo"])).cast("long").alias("n"))
 
     out = durable(ranges.select("row", F.aggregate("r", none, joined, lambda a: a["n"]).alias("n_shared_words")))
-    drop_durable(cand, groups, singles)
+    drop_durable(met, cand, groups, singles, again)
     return out
 
 
