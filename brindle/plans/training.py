@@ -57,9 +57,9 @@ def memory_window(spark, sf_dir):
 
 
 def memory_diagnostics(spark, sf_dir):
-    m = _memory(spark, sf_dir).withColumn("own", F.lit(False))
-    per = losses.masked(m).groupBy("batch", "i").agg(F.max(F.when(~F.col("masked"), F.col("sim"))).alias("hardest"), F.count("*").alias("size"), F.avg("age").alias("age"))
-    return per.groupBy("batch").agg(F.max("size").alias("size"), F.round(F.max("size") / CAPACITY, 6).alias("fill"), F.round(F.avg("age"), 6).alias("age"), F.round(F.avg("hardest"), 6).alias("hardest"))
+    rows, vectors = fixtures.sequence_keys(spark, sf_dir)
+    m = losses.memory_diagnostics_of_batches(rows.withColumnRenamed("event_id", "seq"), CAPACITY, vectors=vectors)
+    return m.select("batch", "size", F.round(F.col("size") / CAPACITY, 6).alias("fill"), F.round("age", 6).alias("age"), F.round("hardest", 6).alias("hardest"))
 
 
 def memory_state(spark, sf_dir):
