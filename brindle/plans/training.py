@@ -48,8 +48,9 @@ def masked_pairs(spark, sf_dir):
 
 
 def memory_loss(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumnRenamed("event_id", "seq")
-    return losses.memory_loss_of_batches(rows, CAPACITY, TEMPERATURE).select("batch", F.round("loss", 6).alias("loss"))
+    rows, vectors = fixtures.sequence_keys(spark, sf_dir)
+    loss = losses.memory_loss_of_batches(rows.withColumnRenamed("event_id", "seq"), CAPACITY, TEMPERATURE, vectors=vectors)
+    return loss.select("batch", F.round("loss", 6).alias("loss"))
 
 
 def memory_window(spark, sf_dir):

@@ -40,7 +40,7 @@ def test_memory_in_spans_of_batches(spark, monkeypatch, most):
         assert x.keys() == want.keys() and all(math.isclose(x[k], want[k], abs_tol=1e-9) for k in want)
 
 
-@pytest.mark.parametrize("name", ["memory_diagnostics"])
+@pytest.mark.parametrize("name", ["memory_loss", "memory_diagnostics"])
 def test_held_vectors_are_not_shuffled(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "vec_id" in plan and "embedding" not in plan.replace("embeddings.parquet", "")
