@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import losses
+from brindle.operators import blocks, losses
 from brindle.plans import registry
 
 
@@ -44,3 +44,19 @@ def test_memory_in_spans_of_batches(spark, monkeypatch, most):
 def test_held_vectors_are_not_shuffled(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "vec_id" in plan and "embedding" not in plan.replace("embeddings.parquet", "")
+
+
+@pytest.mark.parametrize("size, sample", [(10**6, 8), (20, 200)])
+def test_average_precision_in_rounds_of_queries(spark, monkeypatch, size, sample):
+    """No round deals out more than its share of the pairs, and the values are those of one round."""
+    rng = np.random.default_rng(3)
+    gallery = spark.createDataFrame([(k, rng.integers(-3, 4, 4).astype(float).tolist(), k % 5) for k in range(200)], "gallery_id long, vec array<float>, label int")
+    queries = spark.createDataFrame([(k, rng.integers(-3, 4, 4).astype(float).tolist(), k % 6) for k in range(30)], "query_id long, vec array<float>, label int")
+    met, seen = blocks._met, []
+    monkeypatch.setattr(blocks, "_met", lambda q, g, *a: (seen.append(q.count() * g.count()), met(q, g, *a))[1])
+    got = []
+    for pairs in (1 << 25, 1500):
+        monkeypatch.setattr(blocks, "ROUND", pairs)
+        got.append({r.query_id: r.ap for r in blocks.average_precision(queries, gallery, dim=4, size=size, sample=sample).collect()})
+    assert got[0] == got[1] and set(got[0]) == {k for k in range(30) if k % 6 < 5}
+    assert seen[0] == 6000 and len(seen) > 4 and sum(seen[1:]) == 6000 and max(seen[1:]) < 4000
