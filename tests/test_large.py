@@ -1,11 +1,13 @@
 """What bounds the work of queries on large tables, and that it changes no value."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.llm import mtree
 from brindle.operators import blocks, losses
 from brindle.plans import registry
 
@@ -60,3 +62,17 @@ def test_average_precision_in_rounds_of_queries(spark, monkeypatch, size, sample
         got.append({r.query_id: r.ap for r in blocks.average_precision(queries, gallery, dim=4, size=size, sample=sample).collect()})
     assert got[0] == got[1] and set(got[0]) == {k for k in range(30) if k % 6 < 5}
     assert seen[0] == 6000 and len(seen) > 4 and sum(seen[1:]) == 6000 and max(seen[1:]) < 4000
+
+
+def test_pivots_are_compared_in_steps():
+    """Products of a batch's rows with thousands of pivots would take hundreds of MB in each Python worker."""
+    rng = np.random.default_rng(1)
+    x, pivots = rng.normal(size=(6000, 65)), rng.normal(size=(3000, 65))
+    tracemalloc.start()
+    near, d = mtree._nearest(x, pivots)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    for k in (0, 349, 350, 5999):
+        assert near[k] == mtree._distances(pivots, x[k]).argmin() and math.isclose(d[k], mtree._distances(pivots, x[k]).min())
+    assert len(mtree._nearest(x[:0], pivots)[0]) == 0
